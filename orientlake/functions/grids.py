@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 GOLDEN_TURN = math.pi * (3 - math.sqrt(5))
 
@@ -108,7 +108,7 @@ def nearest_grid_index(order: int):
     The grid is a constant of known size (72 * 8^order rotations), built once
     per worker; each Arrow batch is one matrix product, in bounded slices.
     """
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def nearest(rot: pd.Series, tilt: pd.Series, psi: pd.Series) -> pd.Series:
         grid = grid_matrices(order)
         m = zyz_matrices(rot.to_numpy(), tilt.to_numpy(), psi.to_numpy()).reshape(-1, 9)

@@ -177,26 +177,28 @@ def place_key(df: DataFrame, tolerance: float) -> list[Column]:
             S.coordinate_cell(F.col(y), tolerance).alias("cy")]
 
 
-def shared_places(tables: list[DataFrame], row_id: str, tolerance: float = 0.5) -> DataFrame:
+def shared_places(tables: list[DataFrame], row_id: str, tolerance: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Row ids of the particles found in every table, one column ``id_<i>`` per table.
 
-    A place used twice within one table breaks the one-to-one match and raises
-    an error when the result is read.
+    Columns in ``carry`` come along as ``<column>_<i>``, so one shuffle serves
+    match and values. A place used twice within one table breaks the
+    one-to-one match and raises an error when the result is read.
     """
     all_rows = None
     for i, t in enumerate(tables):
-        rows = t.select(F.lit(i).alias("file"), F.col(row_id).alias("_id"), *place_key(t, tolerance))
+        rows = t.select(F.lit(i).alias("file"), F.struct(F.col(row_id).alias("id"), *carry).alias("_v"), *place_key(t, tolerance))
         all_rows = rows if all_rows is None else all_rows.unionByName(rows)
     aggs = []
     for i in range(len(tables)):
         mine = F.col("file") == i
-        aggs += [F.count(F.when(mine, 1)).alias(f"n_{i}"), F.min(F.when(mine, F.col("_id"))).alias(f"id_{i}")]
+        aggs += [F.count(F.when(mine, 1)).alias(f"n_{i}"), F.min(F.when(mine, F.col("_v"))).alias(f"v_{i}")]
     merged = all_rows.groupBy("mic", "cx", "cy").agg(*aggs)
     for i in range(len(tables)):
         merged = merged.where(F.col(f"n_{i}") > 0)
     worst = F.greatest(*[F.col(f"n_{i}") for i in range(len(tables))])
-    one = F.when(worst == 1, F.col("id_0")).otherwise(F.raise_error(F.lit("a place is used twice in one table")).cast("bigint"))
-    return merged.select("mic", "cx", "cy", one.alias("id_0"), *[f"id_{i}" for i in range(1, len(tables))])
+    one = F.when(worst == 1, F.col("v_0.id")).otherwise(F.raise_error(F.lit("a place is used twice in one table")).cast("bigint"))
+    return merged.select("mic", "cx", "cy", one.alias("id_0"), *[F.col(f"v_{i}.id").alias(f"id_{i}") for i in range(1, len(tables))],
+                         *[F.col(f"v_{i}.{c}").alias(f"{c}_{i}") for i in range(len(tables)) for c in carry])
 
 
 def set_difference(everything: DataFrame, good: DataFrame, row_id: str, margin: float = 5.0,

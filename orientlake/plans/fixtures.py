@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from orientlake.operators.compare import pose_errors
+from orientlake.operators.match import match_by_name
 from orientlake.operators.ordered import number_rows
+from orientlake.plans.sqltext import angle_sql, matrix_sql, sym_trace_sql
 from orientlake.session import source_fingerprint, table_once
 
 ROW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -70,6 +73,20 @@ def particles_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both pose assignments of each shared particle compared: angle under D2 and shift length."""
+    key = ("pairs", sf_dir, source_fingerprint(spark, f"{sf_dir}/lineitem.parquet"))
+    return table_once(spark, key, "pairs", lambda: _pairs(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = particles(spark, sf_dir), particles_b(spark, sf_dir)
+    keep = ["image_name", "rot", "tilt", "psi", "dx", "dy"]
+    errors = pose_errors(match_by_name(a.select("pid", "optics_group", "half", *keep), b.select("score", "fom", *keep)), "D2")
+    return errors.selectExpr("pid", "optics_group", "half", "err", "shift_err", "score_2 as score", "fom_2 as fom",
+                             "cast(err <= 3 as int) as correct")
+
+
 def optics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").selectExpr(
         "cast(r_regionkey + 1 as bigint) as optics_group",
@@ -112,6 +129,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same tables for the checking engine ------------------------------------------------
 
+def _pairs_sql() -> str:
+    m = ", ".join(f"{e} as {{0}}{k // 3}{k % 3}" for k, e in enumerate(matrix_sql("rot", "tilt", "psi")))
+    return f"""select a.pid, a.optics_group, a.half, {angle_sql(sym_trace_sql('D2', 'a', 'b'))} as err,
+ sqrt((a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy)) as shift_err, b.score, b.fom,
+ cast({angle_sql(sym_trace_sql('D2', 'a', 'b'))} <= 3 as int) as correct
+from (select pid, optics_group, half, dx, dy, {m.format('a')} from particles) a
+ join (select pid, dx, dy, score, fom, {m.format('b')} from particles_b) b on a.pid = b.pid"""
+
+
 _SQL = {
     "particles": """particles as (
 select pid,
@@ -152,10 +178,11 @@ from (select vol_id, z, plane, unnest(range(1, 65)) as i from planes) u)""",
 select user_id as run, event_id as step, event_id // 1000 as epoch,
  case when event_type = 'error' then null else value end as loss from events)""",
 }
-_NEEDS = {"particles_b": ["particles"], "particles_c": ["particles"]}
+_SQL["pe"] = "pe as (" + _pairs_sql() + ")"
+_NEEDS = {"pe": ["particles", "particles_b"], "particles_b": ["particles"], "particles_c": ["particles"]}
 
 
-def sql_with(*names: str, body: str) -> str:
+def sql_with(*names: str, body: str, recursive: bool = False) -> str:
     """``body`` behind the common table expressions it reads; parts starting
     with a bare name are derived tables, anything longer is taken as written."""
     ordered: list[str] = []
@@ -164,4 +191,4 @@ def sql_with(*names: str, body: str) -> str:
             text = _SQL.get(need, need)
             if text not in ordered:
                 ordered.append(text)
-    return "with " + ",\n".join(ordered) + "\n" + body
+    return ("with recursive " if recursive else "with ") + ",\n".join(ordered) + "\n" + body
