@@ -34,7 +34,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per comparison log: run folder, file and the figures found in it."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value")
     run = F.element_at(F.split("file", "/"), -2)
     cells = []

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orientlake.frames import MissingColumns
+from orientlake.session import cut
 
 BLOCKS = T.ArrayType(T.StructType([
     T.StructField("block", T.StringType()), T.StructField("at", T.StringType()),
@@ -67,7 +68,8 @@ def assign_blocks(lines: DataFrame) -> DataFrame:
     before = F.filter("blocks", lambda b: b["at"] < F.col("at"))
     looped = rows.withColumn("b", F.element_at(before, -1)).select(
         "file", "at", F.col("b.block").alias("block"), F.col("b.columns").alias("columns"),
-        F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^['\"]|['\"]$", "")).alias("tokens"))
+        F.when(F.col("text").rlike("['\"]"), F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^['\"]|['\"]$", "")))
+        .otherwise(F.split("text", r"\s+")).alias("tokens"))
     single = headers.select("file", F.explode("blocks").alias("b")).where(F.size("b.values") > 0).select(
         "file", F.col("b.at").alias("at"), F.col("b.block").alias("block"), F.col("b.columns").alias("columns"), F.col("b.values").alias("tokens"))
     return looped.unionByName(single)
@@ -113,8 +115,12 @@ def typed_table(rows: DataFrame, block: str, columns: list[str]) -> DataFrame:
 
 
 def read_star(spark: SparkSession, paths: str | list[str], required: list[str] = ()) -> tuple[DataFrame, DataFrame | None]:
-    """(particles, optics or None) of many STAR files."""
-    rows = read_blocks(spark, paths)
+    """(particles, optics or None) of many STAR files.
+
+    The text is taken apart once, into a columnar table in the shared folder;
+    finding the types and reading the values then cost no second parse.
+    """
+    rows = cut(read_blocks(spark, paths), "star")
     found = block_columns(rows)
     block = pick_block(found, required)
     missing = [c for c in required if c not in found[block]]
@@ -143,7 +149,7 @@ def star_lines(df: DataFrame, block: str, preamble: list[str]) -> DataFrame:
                 continue
             if not started:
                 started = True
-                yield pa.RecordBatch.from_arrays([pa.array(head)], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
             yield batch
     return body.mapInArrow(run, "value string")
 
