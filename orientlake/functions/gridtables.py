@@ -70,20 +70,11 @@ def grid_neighbours(order: int, k: int, limit: int | None = None) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def neighbour_pose(order: int, k: int, limit: int | None = None):
-    """Pandas UDF: mean rotation of the winner's grid neighbours weighted by their probabilities, and their sum."""
+def neighbour_pose(probabilities: np.ndarray, order: int, k: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean rotation [N, 9] of the winners' grid neighbours weighted by their probabilities, and the sums of those."""
     from orientlake.operators.consensus import nearest_rotations
-    names = [f"r{i}{j}" for i in range(3) for j in range(3)]
-    kind = T.StructType([T.StructField(c, T.DoubleType()) for c in [*names, "score"]])
-
-    @F.pandas_udf(kind)
-    def pose(probabilities: pd.Series) -> pd.DataFrame:
-        p = np.stack(probabilities.to_numpy())
-        grid, near = grid_matrices(order)[:limit], grid_neighbours(order, k, limit)
-        idx = near[np.round(p, 12).argmax(axis=1)]
-        w = np.take_along_axis(p, idx, 1)
-        mean = np.einsum("nk,nkc->nc", w / w.sum(axis=1, keepdims=True), grid[idx])
-        out = pd.DataFrame(nearest_rotations(mean.reshape(-1, 3, 3)).reshape(-1, 9), columns=names)
-        out["score"] = w.sum(axis=1)
-        return out
-    return pose
+    grid, near = grid_matrices(order)[:limit], grid_neighbours(order, k, limit)
+    idx = near[np.round(probabilities, 12).argmax(axis=1)]
+    w = np.take_along_axis(probabilities, idx, 1)
+    mean = np.einsum("nk,nkc->nc", w / w.sum(axis=1, keepdims=True), grid[idx])
+    return nearest_rotations(mean.reshape(-1, 3, 3)).reshape(-1, 9), w.sum(axis=1)

@@ -59,7 +59,7 @@ def match_auto(spark, sf):
     return M.match_auto(a, b, "pid", 5.0).select("pid", "pid_2", F.round("distance", 6).alias("distance"))
 
 
-KEY_SQL = f"{BASE.format('micrograph')} as mic, cast(round_even(x / 0.5, 0) as bigint) as cx, cast(round_even(y / 0.5, 0) as bigint) as cy"
+KEY_SQL = f"concat({BASE.format('micrograph')}, '_', cast(pid // 409600 as string)) as mic, cast(round_even(x / 0.5, 0) as bigint) as cx, cast(round_even(y / 0.5, 0) as bigint) as cy"
 CONSENSUS_SQL = f"""k0 as (select pid, {KEY_SQL} from particles), k1 as (select pid, {KEY_SQL} from jit), k2 as (select pid, {KEY_SQL} from particles_c),
 matched as (select k0.mic, k0.cx, k0.cy, k0.pid as id_0, k1.pid as id_1, k2.pid as id_2 from k0 join k1 using (mic, cx, cy) join k2 using (mic, cx, cy))"""
 JIT_SQL = "jit as (select pid, image_name, micrograph, optics_group, half, x + case when pid % 9 = 4 then 0.5 else 0 end as x, y, rot, tilt, psi, score from particles_b0)"
@@ -67,6 +67,15 @@ B0_SQL = """particles_b0 as (select b.pid, b.image_name, b.micrograph, b.optics_
  from particles_b b join particles a on a.pid = b.pid)"""
 
 
+def placed(df):
+    """Micrographs told apart by blocks of rows, so that no place repeats however long the table is."""
+    return df.withColumn("micrograph", F.concat("micrograph", F.lit("_"), F.expr("cast(pid div 409600 as string)")))
+
+
+def three(spark, sf):
+    return [placed(t) for t in (fx.particles(spark, sf), jittered(spark, sf), fx.particles_c(spark, sf))]
+
+
 def jittered(spark, sf):
     """The second assignment at the places of the first, one row in nine moved by half a pixel."""
     p = fx.particles_b(spark, sf)
@@ -77,7 +86,7 @@ def jittered(spark, sf):
 @query("consensus_match", fx.sql_with("particles", "particles_b", "particles_c", B0_SQL, JIT_SQL, CONSENSUS_SQL, body="""
 select mic, cx, cy, id_0, id_1, id_2 from matched"""))
 def consensus_match(spark, sf):
-    return M.shared_places([fx.particles(spark, sf), jittered(spark, sf), fx.particles_c(spark, sf)], "pid")
+    return M.shared_places(three(spark, sf), "pid")
 
 
 @query("picking_intersection", fx.sql_with("particles", "particles_b", body=f"""

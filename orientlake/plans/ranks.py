@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from orientlake.functions import grids as G, gridtables as GT, rotations as R
+from orientlake.images.jobs import map_images
 from orientlake.operators import ranking as K
 from orientlake.plans import fixtures as fx
 from orientlake.plans.registry import query
@@ -89,9 +90,13 @@ def substep_refine(spark, sf):
 
 @query("neighbor_pose")
 def neighbor_pose(spark, sf):
-    p = logits(spark, sf).withColumn("p", K.softmax(F.transform("logits", lambda v: v.cast("double") * 8)))
-    q = p.withColumn("q", GT.neighbour_pose(0, 5, 64)("p"))
-    return q.select("vec_id", F.round("q.score", 6).alias("score"), *[(F.round(f"q.{c}", 6) + F.lit(0.0)).alias(c) for c in R.entries("r")])
+    p = logits(spark, sf).select("vec_id", K.softmax(F.transform("logits", lambda v: v.cast("double") * 8)).alias("p"))
+
+    def fn(c):
+        m, score = GT.neighbour_pose(c["p"], 0, 5, 64)
+        return {"score": score, **{name: m[:, i] for i, name in enumerate(R.entries("r"))}}
+    q = map_images(p, ["vec_id"], {n: T.DoubleType() for n in ["score", *R.entries("r")]}, fn)
+    return q.select("vec_id", F.round("score", 6).alias("score"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in R.entries("r")])
 
 
 GRID_TRACES = fx.sql_with("particles", SQL_MATRIX("m", "particles", "r"), f"grid as ({grid_sql(0)})",

@@ -9,7 +9,7 @@ from orientlake.operators import calibrate, compare, consensus as C, directional
 from orientlake.operators.match import shared_places
 from orientlake.operators.ordered import grouped_quantiles
 from orientlake.plans import fixtures as fx
-from orientlake.plans.joins import B0_SQL, BASE, CONSENSUS_SQL, JIT_SQL, jittered
+from orientlake.plans.joins import B0_SQL, BASE, CONSENSUS_SQL, JIT_SQL, three
 from orientlake.plans.poses import pair_table
 from orientlake.plans.registry import query
 from orientlake.plans.sqltext import SQL_MATRIX, angle_sql, grid_sql, matrix_sql, sym_trace_sql, trace_sql
@@ -66,10 +66,6 @@ AVG_SQL = "sums as (select pid, max_err, mean_err, " + ", ".join(
     f"(m0{i}{j} + m1{i}{j} + m2{i}{j}) / 3.0 as a{i}{j}" for i in range(3) for j in range(3)) + " from wide)"
 
 
-def three(spark, sf):
-    return [fx.particles(spark, sf), jittered(spark, sf), fx.particles_c(spark, sf)]
-
-
 @query("consensus_pair_error", fx.sql_with(*THREE, body="select pid, round(max_err, 4) as max_err, round(mean_err, 4) as mean_err from wide"))
 def consensus_pair_error(spark, sf):
     wide = compare.pairwise_errors(shared_places(three(spark, sf), "pid", 0.5, ("rot", "tilt", "psi")), 3, "D2")
