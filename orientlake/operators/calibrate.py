@@ -9,7 +9,7 @@ from orientlake.frames import finite
 from orientlake.functions.optics import logistic
 from orientlake.operators import stats as S
 from orientlake.operators.filters import clip_quantiles
-from orientlake.operators.ordered import counted_values, seeded_rank
+from orientlake.operators.ordered import seeded_rank
 from orientlake.session import cut
 
 
@@ -56,13 +56,14 @@ def evaluate(df: DataFrame, score: str, label: str, err: str, key: str, winsor:
     span = F.lit(size["hi"] - size["lo"] + 1e-12)
     raw = F.least(F.greatest((F.col("f") - F.lit(size["lo"])) / span, F.lit(1e-6)), F.lit(1 - 1e-6))
     test = rows.where("is_test").withColumns({"p_raw": raw, "p_cal": logistic(F.lit(a) * F.col("f") + F.lit(b))})
+    test = cut(test.select("y", "p_raw", "p_cal"), "heldout")
     out = S.spearman(rows, "s", "e").select(F.lit(score).alias("score"), "n", "spearman").withColumns({
-        "a": F.lit(a), "b": F.lit(b),
-        "roc_auc": S.roc_auc(rows, "s", "y").scalar(), "pr_auc": S.pr_auc(rows, "s", "y").scalar(),
-        "pearson": S.pearson(rows, "s", "e").select("pearson").scalar()})
+        "a": F.lit(a), "b": F.lit(b), "pearson": S.pearson(rows, "s", "e").select("pearson").scalar()})
+    out = out.crossJoin(S.ranking_measures(rows, "s", "y"))
     for tag, p in (("raw", "p_raw"), ("cal", "p_cal")):
+        # one row beside one row
+        out = out.crossJoin(S.ranking_measures(test, p, "y").withColumnsRenamed({m: f"test_{m}_{tag}" for m in ("roc_auc", "pr_auc")}))
         out = out.withColumns({
-            f"test_roc_auc_{tag}": S.roc_auc(test, p, "y").scalar(), f"test_pr_auc_{tag}": S.pr_auc(test, p, "y").scalar(),
             f"test_brier_{tag}": S.brier(test, p, "y").scalar(), f"test_logloss_{tag}": S.log_loss(test, p, "y").scalar(),
             f"test_ece_{tag}": S.calibration_error(test, p, "y").scalar()})
     return out

@@ -135,18 +135,32 @@ def grouped_quantiles(df: DataFrame, col: str, probs: dict[str, float], group: S
     """Exact linearly interpolated quantiles, one column per entry of ``probs``.
 
     NULL values are left out. Works on counts per distinct value, so neither a
-    hot group nor a hot value meets in one task.
+    hot group nor a hot value meets in one task. Totals per bucket tell which
+    buckets hold the wanted ranks; only those are sorted.
     """
-    counts = counted_values(df.where(F.col(col).isNotNull()), col, group)
-    placed = prefix_sums(counts, [col], ["n"], group, by=col)
-    aggs = []
+    counts = value_bucket(cut(counted_values(df.where(F.col(col).isNotNull()), col, group), "counts"), col)
+    keys = [*group, "_bucket"]
+    # at most one row per bucket and group
+    across = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket")
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_sum")).select(
+        *keys, "_sum", F.coalesce(F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    ranks = {}
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("n_total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        holds = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        ranks[name] = (F.floor(pos), F.ceil(pos), pos - F.floor(pos))
+    wanted = F.lit(False)
+    for lo, hi, _ in ranks.values():
+        for k in (lo, hi):
+            wanted = wanted | ((F.col("_off") <= k) & (k < F.col("_off") + F.col("_sum")))
+    rows = counts.join(totals.where(wanted), keys)
+    inside = Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("_end", F.col("_off") + F.sum("n").over(inside))
+    aggs = []
+    for name, (lo, hi, t) in ranks.items():
+        holds = lambda k: (F.col("_end") - F.col("n") <= k) & (k < F.col("_end"))
         aggs += [F.max(F.when(holds(lo), F.col(col))).alias(f"_lo_{name}"),
-                 F.max(F.when(holds(hi), F.col(col))).alias(f"_hi_{name}"),
-                 F.max(pos - lo).alias(f"_t_{name}")]
+                 F.max(F.when(holds(hi), F.col(col))).alias(f"_hi_{name}"), F.max(t).alias(f"_t_{name}")]
     out = placed.groupBy(*group).agg(*aggs)
     return out.select(*group, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_t_{n}")).alias(n) for n in probs])
@@ -154,5 +168,5 @@ def grouped_quantiles(df: DataFrame, col: str, probs: dict[str, float], group: S
 
 def average_ranks(df: DataFrame, col: str) -> DataFrame:
     """Per distinct value: count ``n``, average rank ``rank`` and total ``n_total``."""
-    placed = prefix_sums(counted_values(df, col), [col], ["n"], by=col)
+    placed = prefix_sums(cut(counted_values(df, col), "counts"), [col], ["n"], by=col)
     return placed.select(col, "n", "n_total", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"))

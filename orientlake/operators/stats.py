@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orientlake.frames import finite
 from orientlake.operators.ordered import average_ranks, counted_values, grouped_quantiles, prefix_sums
+from orientlake.session import cut
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,27 +36,6 @@ def histogram(df: DataFrame, col: str, bins: int, low: Column | None = None, hig
                       (F.col("n") * 100.0 / F.col("_t")).alias("pct"))
 
 
-def otsu(hist: DataFrame, bins: int, low: Column, high: Column, group: list[str] = ()) -> DataFrame:
-    """Bin centre that splits a histogram (bin, n) with the largest variance between classes, first on ties.
-
-    A histogram has at most ``bins`` rows per group.
-    """
-    width = (high - low) / F.lit(float(bins))
-    rows = hist.withColumns({"_c": low + (F.col("bin") + 0.5) * width, "_lo": low}).withColumn("_nc", F.col("n") * F.col("_c"))
-    # bounded: one row per bin
-    placed = prefix_sums(rows, ["bin"], ["n", "_nc"], group, bucket=F.lit(0))
-    w0 = (F.col("n_before") + F.col("n")) / F.col("n_total")
-    m0 = (F.col("_nc_before") + F.col("_nc")) / F.col("n_total")
-    mt = F.col("_nc_total") / F.col("n_total")
-    w1 = F.lit(1.0) - w0
-    gap = m0 / w0 - (mt - m0) / w1
-    valid = (w0 >= 1e-10) & (w1 >= 1e-10)
-    var = F.when(valid, F.round(w0 * w1 * gap * gap, 12))
-    best = placed.withColumn("_v", var).groupBy(*group).agg(
-        F.max_by("_c", F.struct(F.col("_v"), -F.col("bin"))).alias("_best"), F.max("_v").alias("_m"), F.min("_c").alias("_first"))
-    return best.select(*group, F.when(F.col("_m").isNotNull(), F.col("_best")).otherwise(F.col("_first")).alias("threshold"))
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; NULL below three rows or without variance."""
     rows = df.where(finite(F.col(x)) & finite(F.col(y))).select(x, y)
@@ -80,24 +60,28 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     rows = df.where(finite(F.col(score)) & F.col(label).isNotNull())
-    return prefix_sums(counted_values(rows, score, pos=F.col(label).cast("bigint")), [score], ["n", "pos"], by=score)
+    counts = cut(counted_values(rows, score, pos=F.col(label).cast("bigint")), "counts")
+    return prefix_sums(counts, [score], ["n", "pos"], by=score)
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve, ties counted half; NULL with one class only."""
+def ranking_measures(df: DataFrame, score: str, label: str) -> DataFrame:
+    """roc_auc (ties counted half) and pr_auc (average precision over distinct thresholds); NULL with one class only."""
     r = _by_score(df, score, label)
-    rank_sum = F.sum(F.col("pos") * (F.col("n_before") + (F.col("n") + 1) / 2.0))
     p, n = F.max("pos_total").cast("double"), F.max("n_total").cast("double")
-    return r.agg(F.when((p > 0) & (p < n), (rank_sum - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"))
+    both = (p > 0) & (p < n)
+    rank_sum = F.sum(F.col("pos") * (F.col("n_before") + (F.col("n") + 1) / 2.0))
+    above = (F.col("n_total") - F.col("n_before")).cast("double")
+    hits = (F.col("pos_total") - F.col("pos_before")).cast("double")
+    return r.agg(F.when(both, (rank_sum - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"),
+                 F.when(both, F.sum(F.col("pos") / F.col("pos_total") * hits / above)).alias("pr_auc"))
+
+
+def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    return ranking_measures(df, score, label).select("roc_auc")
 
 
 def pr_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Average precision over distinct thresholds; NULL with one class only."""
-    r = _by_score(df, score, label)
-    above = (F.col("n_total") - F.col("n_before")).cast("double")
-    hits = (F.col("pos_total") - F.col("pos_before")).cast("double")
-    p, n = F.max("pos_total"), F.max("n_total")
-    return r.agg(F.when((p > 0) & (p < n), F.sum(F.col("pos") / F.col("pos_total") * hits / above)).alias("pr_auc"))
+    return ranking_measures(df, score, label).select("pr_auc")
 
 
 def youden(df: DataFrame, score: str, label: str, fn_cost: float = 2.0) -> DataFrame:

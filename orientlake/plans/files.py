@@ -31,7 +31,7 @@ def star_pick_block(spark, sf):
         rows = fx.particles(spark, sf).where(F.col("half") == half).select("pid", "micrograph", "x", "y")
         star.star_lines(rows, block, [f"data_{other}", "", "_version 3", "_note 'two words'"]).write.text(path)
         blocks = cut(star.read_blocks(spark, path), "blocks")
-        found = star.block_columns(blocks)
+        found = star.block_layouts(blocks)
         picked = star.pick_block(found, ["micrograph", "x", "y"])
         part = star.typed_table(blocks, picked, found[picked]).select(F.lit(picked).alias("block"), "pid", "x", "y")
         out = part if out is None else out.unionByName(part)

@@ -11,6 +11,7 @@ from orientlake.images import jobs as J, kernels as K
 from orientlake.operators.poses import expand_by_symmetry
 from orientlake.plans import fixtures as fx
 from orientlake.plans.registry import query
+from orientlake.session import shuffle_width
 
 SIDE = 8
 CTF = ["defocus_u", "defocus_v", "defocus_ang", "kv", "cs", "w", "px"]
@@ -20,7 +21,9 @@ def posed(spark, sf):
     """Every image with the pose, optics and half of the particle of the same number."""
     p = fx.particles(spark, sf).withColumn("vec_id", F.col("pid") - 1)
     p = p.select("vec_id", "half", "optics_group", "rot", "tilt", "psi", "dx", "dy", "defocus_u", "defocus_v", "defocus_ang", "fom")
-    return fx.images(spark, sf).select("vec_id", "label", "pixels").join(p, "vec_id").join(fx.optics(spark, sf).drop("box"), "optics_group")
+    rows = fx.images(spark, sf).select("vec_id", "label", "pixels").join(p, "vec_id").join(fx.optics(spark, sf).drop("box"), "optics_group")
+    # few bytes per image but much work: the kernels need many tasks, whatever the size of the table says
+    return rows.repartition(shuffle_width(spark), "vec_id")
 
 
 def pixel_rows(df, col="pixels_out", digits=6):

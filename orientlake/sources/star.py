@@ -59,8 +59,8 @@ def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def assign_blocks(lines: DataFrame) -> DataFrame:
-    """Data rows of (file, at, text) lines, each with the block it stands in."""
-    is_header = F.col("text").rlike(r"^(data_|loop_|_)")
+    """Data rows of (file, at, text) lines, each with its block, the columns of that and a number for their layout."""
+    is_header = F.col("text").startswith("_") | F.col("text").startswith("data_") | F.col("text").startswith("loop_")
     parse = F.pandas_udf(_parse_headers, BLOCKS)
     headers = lines.where(is_header).groupBy("file").agg(
         F.sort_array(F.collect_list(F.struct("at", "text"))).alias("h")).select("file", parse("h").alias("blocks"))
@@ -68,38 +68,53 @@ def assign_blocks(lines: DataFrame) -> DataFrame:
     before = F.filter("blocks", lambda b: b["at"] < F.col("at"))
     looped = rows.withColumn("b", F.element_at(before, -1)).select(
         "file", "at", F.col("b.block").alias("block"), F.col("b.columns").alias("columns"),
-        F.when(F.col("text").rlike("['\"]"), F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^['\"]|['\"]$", "")))
+        F.when(F.col("text").contains("'") | F.col("text").contains('"'), F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^['\"]|['\"]$", "")))
         .otherwise(F.split("text", r"\s+")).alias("tokens"))
     single = headers.select("file", F.explode("blocks").alias("b")).where(F.size("b.values") > 0).select(
         "file", F.col("b.at").alias("at"), F.col("b.block").alias("block"), F.col("b.columns").alias("columns"), F.col("b.values").alias("tokens"))
-    return looped.unionByName(single)
+    return looped.unionByName(single).withColumn("layout", F.xxhash64("columns"))
 
 
-def block_columns(rows: DataFrame) -> dict[str, list[str]]:
-    """Column names per block over all files, in first-seen order: a bounded header table."""
-    found: dict[str, list[str]] = {}
-    for r in rows.groupBy("block", "columns").agg(F.min("file").alias("file")).orderBy("file").collect():
-        names = found.setdefault(r["block"], [])
-        names += [c for c in r["columns"] if c not in names]
+def block_layouts(rows: DataFrame) -> dict[str, dict[int, list[str]]]:
+    """Per block its column layouts by number, first file first: a table of headers, not of rows."""
+    found: dict[str, dict[int, list[str]]] = {}
+    heads = rows.groupBy("block", "layout").agg(F.min(F.struct("file", "columns")).alias("f")).orderBy("f.file")
+    for r in heads.collect():
+        found.setdefault(r["block"], {})[r["layout"]] = list(r["f"]["columns"])
     return found
 
 
-def pick_block(found: dict[str, list[str]], required: list[str] = ()) -> str:
+def layout_columns(layouts: dict[int, list[str]]) -> list[str]:
+    return list(dict.fromkeys(c for columns in layouts.values() for c in columns))
+
+
+def pick_block(found: dict[str, dict[int, list[str]]], required: list[str] = ()) -> str:
     """particles, else data_particles, else the first block with the required columns."""
     for name in ("particles", "data_particles"):
         if name in found:
             return name
-    for name, columns in found.items():
-        if set(required) <= set(columns):
+    for name, layouts in found.items():
+        if set(required) <= set(layout_columns(layouts)):
             return name
     raise MissingColumns(f"no block with {list(required)}; blocks are {list(found)}")
 
 
-def typed_table(rows: DataFrame, block: str, columns: list[str]) -> DataFrame:
+def _value(column: str, layouts: dict[int, list[str]]) -> F.Column:
+    """The token of a column; one plain position when all layouts agree on it."""
+    places = {number: columns.index(column) if column in columns else None for number, columns in layouts.items()}
+    if len(set(places.values())) == 1:
+        return F.get("tokens", F.lit(next(iter(places.values()))))
+    value = F.lit(None).cast("string")
+    for number, place in places.items():
+        if place is not None:
+            value = F.when(F.col("layout") == number, F.get("tokens", F.lit(place))).otherwise(value)
+    return value
+
+
+def typed_table(rows: DataFrame, block: str, layouts: dict[int, list[str]]) -> DataFrame:
     """One block as a table; a column is BIGINT or DOUBLE when all its values read as such. Order: file, at."""
-    mine = rows.where(F.col("block") == block)
-    texts = mine.select("file", "at", *[
-        F.get("tokens", F.array_position("columns", F.lit(c)).cast("int") - 1).alias(c) for c in columns])
+    columns = layout_columns(layouts)
+    texts = rows.where(F.col("block") == block).select("file", "at", *[_value(c, layouts).alias(c) for c in columns])
     tests = []
     for c in columns:
         present = F.col(c).isNotNull()
@@ -121,9 +136,9 @@ def read_star(spark: SparkSession, paths: str | list[str], required: list[str] =
     finding the types and reading the values then cost no second parse.
     """
     rows = cut(read_blocks(spark, paths), "star")
-    found = block_columns(rows)
+    found = block_layouts(rows)
     block = pick_block(found, required)
-    missing = [c for c in required if c not in found[block]]
+    missing = [c for c in required if c not in layout_columns(found[block])]
     if missing:
         raise MissingColumns(f"missing columns in block {block}: {missing}")
     optics = None
