@@ -59,14 +59,14 @@ def evaluate(df: DataFrame, score: str, label: str, err: str, key: str, winsor:
     test = cut(test.select("y", "p_raw", "p_cal"), "heldout")
     out = S.spearman(rows, "s", "e").select(F.lit(score).alias("score"), "n", "spearman").withColumns({
         "a": F.lit(a), "b": F.lit(b), "pearson": S.pearson(rows, "s", "e").select("pearson").scalar()})
-    out = out.crossJoin(S.ranking_measures(rows, "s", "y"))
+    measures = lambda df, s: S.ranking_measures(df, s, "y").select(F.struct("roc_auc", "pr_auc")).scalar()
+    out = out.withColumn("_m", measures(rows, "s")).withColumns({m: F.col(f"_m.{m}") for m in ("roc_auc", "pr_auc")})
     for tag, p in (("raw", "p_raw"), ("cal", "p_cal")):
-        # one row beside one row
-        out = out.crossJoin(S.ranking_measures(test, p, "y").withColumnsRenamed({m: f"test_{m}_{tag}" for m in ("roc_auc", "pr_auc")}))
+        out = out.withColumn("_m", measures(test, p)).withColumns({f"test_{m}_{tag}": F.col(f"_m.{m}") for m in ("roc_auc", "pr_auc")})
         out = out.withColumns({
             f"test_brier_{tag}": S.brier(test, p, "y").scalar(), f"test_logloss_{tag}": S.log_loss(test, p, "y").scalar(),
             f"test_ece_{tag}": S.calibration_error(test, p, "y").scalar()})
-    return out
+    return out.drop("_m")
 
 
 def report(df: DataFrame, scores: dict[str, float], label: str, err: str, key: str) -> DataFrame:

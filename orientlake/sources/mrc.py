@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Sample types by file mode, and the length of the main header.
@@ -15,7 +18,6 @@ RANGE_BYTES = 32 << 20
 
 
 def _open(path: str):
-    from pyarrow import fs
     if "://" not in path:
         path = path.removeprefix("file:")
     system, inner = fs.FileSystem.from_uri(path)
@@ -93,22 +95,53 @@ def scan_volumes(spark: SparkSession, glob: str, px: float | None = None) -> Dat
 def write_stacks(images: DataFrame, folder: str, stack: str = "stack", index: str = "index", side_x: str = "nx", side_y: str = "ny", px: float = 1.0) -> DataFrame:
     """One file per stack below ``folder``; returns (path, images written).
 
-    A stack is one file, so one task writes it; stacks are sized by the caller.
+    A file is written by one task, but as a stream of batches in index order:
+    its memory does not grow with the stack.
     """
     base = folder.rstrip("/") + "/"
-
-    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-        ordered = pdf.sort_values(index)
-        target = base + key[0]
-        system, inner = fs.FileSystem.from_uri(target if "://" in target else target.removeprefix("file:"))
-        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        # written under another name first, so that a repeated task leaves one whole file
-        part = f"{inner}.{np.random.default_rng().integers(1 << 62):x}.part"
-        with system.open_output_stream(part) as f:
-            f.write(make_header(int(ordered[side_x].iloc[0]), int(ordered[side_y].iloc[0]), len(ordered), px))
-            for p in ordered["pixels"]:
-                f.write(np.asarray(p, dtype="<f4").tobytes())
-        system.move(part, inner)
-        return pd.DataFrame({"path": [target], "n": [len(ordered)]})
-    return images.groupBy(stack).applyInPandas(write, "path string, n bigint")
+    sizes = images.groupBy(stack).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = images.select(F.col(stack).alias("stack"), F.col(index).alias("index"), F.col(side_x).alias("nx"), F.col(side_y).alias("ny"), "pixels").join(
+        sizes.select(F.col(stack).alias("stack"), "_n"), "stack").repartition("stack").sortWithinPartitions("stack", "index")
+
+    def run(batches):
+        current = None
+
+        def close(done):
+            done["file"].close()
+            # the file had another name until it was whole, so a repeated task leaves no torn one
+            done["system"].move(done["part"], done["inner"])
+            return pa.RecordBatch.from_arrays([pa.array([done["target"]]), pa.array([done["n"]], pa.int64())], names=["path", "n"])
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            start = 0
+            while start < len(names):
+                stop = start
+                while stop < len(names) and names[stop] == names[start]:
+                    stop += 1
+                if current is None or current["stack"] != names[start]:
+                    if current is not None:
+                        yield close(current)
+                    target = base + str(names[start])
+                    system, inner = fs.FileSystem.from_uri(target if "://" in target else target.removeprefix("file:"))
+                    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+                    part = f"{inner}.{uuid.uuid4().hex}.part"
+                    row = {n: batch.column(batch.schema.get_field_index(n))[start].as_py() for n in ("nx", "ny", "_n")}
+                    current = {"stack": names[start], "target": target, "system": system, "inner": inner, "part": part, "n": 0,
+                               "file": system.open_output_stream(part)}
+                    current["file"].write(make_header(row["nx"], row["ny"], row["_n"], px))
+                pixels = batch.column(batch.schema.get_field_index("pixels")).slice(start, stop - start)
+                current["file"].write(pixels.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+                current["n"] += stop - start
+                start = stop
+        if current is not None:
+            yield close(current)
+    return ordered.mapInArrow(run, "path string, n bigint")
+
+
+def rewrite_stacks(images: DataFrame, plan: DataFrame, folder: str, px: float = 1.0) -> DataFrame:
+    """Images (stack, index) copied into the new stacks and places of a regrouping plan (stack, index, new_stack, new_index)."""
+    moved = images.join(plan, ["stack", "index"]).select(
+        F.concat(F.lit("stack_"), F.lpad(F.col("new_stack").cast("string"), 6, "0"), F.lit(".mrcs")).alias("stack"),
+        F.col("new_index").alias("index"), "nx", "ny", "pixels")
+    return write_stacks(moved, folder, px=px)

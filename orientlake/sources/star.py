@@ -18,6 +18,10 @@ BLOCKS = T.ArrayType(T.StructType([
     T.StructField("block", T.StringType()), T.StructField("at", T.StringType()),
     T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.StringType()))]))
 TOKEN = r"""'[^']*'|"[^"]*"|\S+"""
+# a test by pattern: casting text that is no number costs an exception per row
+WHOLE = r"^[+-]?\d{1,18}$"
+LONG = r"^[+-]?\d{19,}$"
+NUMBER = r"^(?i:[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|[+-]?inf(inity)?)$"
 OPTICS_LIMIT = 100_000
 
 
@@ -112,14 +116,17 @@ def _value(column: str, layouts: dict[int, list[str]]) -> F.Column:
 
 
 def typed_table(rows: DataFrame, block: str, layouts: dict[int, list[str]]) -> DataFrame:
-    """One block as a table; a column is BIGINT or DOUBLE when all its values read as such. Order: file, at."""
+    """One block as a table; a column is BIGINT or DOUBLE when all its values read as such. Order: file, at.
+
+    Whole numbers of more than 18 digits keep their column text, so that none loses a digit.
+    """
     columns = layout_columns(layouts)
     texts = rows.where(F.col("block") == block).select("file", "at", *[_value(c, layouts).alias(c) for c in columns])
     tests = []
     for c in columns:
         present = F.col(c).isNotNull()
-        tests += [F.count(F.when(present & F.col(c).try_cast("bigint").isNull(), 1)).alias(f"i_{c}"),
-                  F.count(F.when(present & F.col(c).try_cast("double").isNull(), 1)).alias(f"d_{c}"), F.count(c).alias(f"n_{c}")]
+        tests += [F.count(F.when(present & ~F.col(c).rlike(WHOLE), 1)).alias(f"i_{c}"),
+                  F.count(F.when(present & ~(F.col(c).rlike(NUMBER) & ~F.col(c).rlike(LONG)), 1)).alias(f"d_{c}"), F.count(c).alias(f"n_{c}")]
     seen = texts.agg(*tests).first()
     out = []
     for c in columns:

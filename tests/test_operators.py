@@ -239,3 +239,40 @@ def test_stream_survives_a_restart(spark, tmp_path):
         I.run_to_end(I.start(I.file_stream(spark, src, df.schema, 1), I.numbered_sink(sink), state))
     got = I.read_sink(spark, sink, df.schema)
     assert got.count() == 100 and got.select("id").distinct().count() == 100
+
+
+def test_rewrite_stacks(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    data = {(s, i): rng.standard_normal(16).astype("f4") for s in ("a", "b") for i in range(1, 6)}
+    rows = [(s, i, 4, 4, [float(v) for v in p]) for (s, i), p in data.items()]
+    images = spark.createDataFrame(rows, "stack string, index bigint, nx int, ny int, pixels array<float>")
+    plan = spark.createDataFrame([(s, i, 1 + (i > 3), (i if i <= 3 else i - 3) + (3 if i <= 3 else 2) * (s == "b")) for s, i in data],
+                                 "stack string, index bigint, new_stack bigint, new_index bigint")
+    written = mrc.rewrite_stacks(images, plan, str(tmp_path), 1.5).collect()
+    assert sorted(r["n"] for r in written) == [4, 6]
+    back = {(r["path"].rsplit("_", 1)[1], r["index"]): r["pixels"] for r in mrc.scan_images(spark, str(tmp_path / "*.mrcs")).collect()}
+    for r in plan.collect():
+        assert np.array_equal(np.array(back[(f"{r['new_stack']:06d}.mrcs", r["new_index"])], dtype="f4"), data[(r["stack"], r["index"])])
+
+
+def test_sql_functions(spark):
+    from orientlake.functions.sqlfunctions import register
+    register(spark)
+    assert spark.sql("select count(*) from local_grid(4.0D, 2.0D)").first()[0] == 125
+    assert spark.sql("select count(*) from symmetry_ops('O')").first()[0] == 24
+    r = spark.sql("select rot_error(rot_matrix(10D, 20D, 30D), rot_matrix(10D, 20D, 42D)) as e").first()["e"]
+    assert abs(r - 12) < 1e-6
+    q = spark.sql("select project_rotation(sum(r[0]), sum(r[1]), sum(r[2]), sum(r[3]), sum(r[4]), sum(r[5]), sum(r[6]), sum(r[7]), sum(r[8])) as q "
+                  "from (select rot_matrix(10D, 20D, cast(id as double)) as r from range(0, 11))").first()["q"]
+    assert np.allclose(list(q), G.zyz_matrices(10.0, 20.0, 5.0).ravel(), atol=1e-9)
+
+
+def test_scores_from_a_user_model(spark):
+    from orientlake.extend import score_images
+    import pyarrow as pa
+    df = spark.createDataFrame([(i, [float(i)] * 4) for i in range(6)], "id bigint, pixels array<double>")
+
+    def model(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float("nan") if p[0] == 5 else p[0] for p in b.column(1).to_pylist()])], names=["id", "s"])
+    assert {r["id"] for r in score_images(df, model, "id bigint, s double", "s", 2.0).collect()} == {3, 4}
