@@ -10,7 +10,9 @@ from orientlake.functions import optics as O, rotations as R
 from orientlake.images import jobs as J, kernels as K
 from orientlake.operators.poses import expand_by_symmetry
 from orientlake.plans import fixtures as fx
+from orientlake.plans.poses import LAMBDA
 from orientlake.plans.registry import query
+from orientlake.plans.sqltext import ctf_sql
 from orientlake.session import shuffle_width
 
 SIDE = 8
@@ -50,7 +52,13 @@ def circular_mask(spark, sf):
     return pixel_rows(m)
 
 
-@query("ctf_image")
+POSED_SQL = """posed as (select vec_id, half, optics_group, rot, tilt, psi, dx, dy, defocus_u, defocus_v, defocus_ang, fom, px, kv, cs, w
+ from embeddings join particles on pid = vec_id + 1 join optics using (optics_group))"""
+
+
+@query("ctf_image", fx.sql_with("particles", "optics", POSED_SQL, body=f"""
+, f as (select posed.*, i, ((i // 5) - 4) / 8.0 / px as fy, (i % 5) / 8.0 / px as fx from posed, range(40) r(i))
+select vec_id, cast(i as int) as i, round({ctf_sql(LAMBDA)}, 6) + 0.0 as v from f"""))
 def ctf_image(spark, sf):
     return pixel_rows(J.ctf_image(posed(spark, sf).select("vec_id", *CTF), ["vec_id"], SIDE), "ctf")
 
@@ -65,7 +73,20 @@ def preprocess_images(spark, sf):
     return pixel_rows(J.preprocess(posed(spark, sf).select("vec_id", "pixels", *CTF), ["vec_id"], 0.8, 12, radius=4.5))
 
 
-@query("lowpass")
+def _spectrum_sql(value, name="ft"):
+    """Plain transform of each 8 x 8 picture at every (ky, kx) from 0 to 7."""
+    arg = "2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0"
+    return f"""{name} as (select vec_id, ky, kx, sum(({value}) * cos({arg})) as re, -sum(({value}) * sin({arg})) as im
+ from px, range(8) a(ky), range(8) b(kx) group by 1, 2, 3)"""
+
+
+R_SQL = "sqrt(pow(case when ky < 4 then ky else ky - 8 end / 8.0, 2) + pow(case when kx < 4 then kx else kx - 8 end / 8.0, 2))"
+
+
+@query("lowpass", fx.sql_with(PIX, _spectrum_sql("v"), body=f"""
+, g as (select *, {R_SQL} as r from ft), h as (select vec_id, ky, kx, re, im, case when r < 0.25 then 1.0 when r > 0.35 then 0.0 else (cos(pi() * (r - 0.25) / 0.1) + 1) / 2 end as g from g)
+select vec_id, cast(i as int) as i, round(sum(g * (re * cos(2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0) - im * sin(2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0))) / 64, 6) + 0.0 as v
+from h, range(64) p(i) group by 1, 2"""))
 def lowpass(spark, sf):
     return pixel_rows(J.low_pass(fx.images(spark, sf).select("vec_id", "pixels"), ["vec_id"], 0.25, 0.1))
 
@@ -79,7 +100,12 @@ def to_fourier(spark, sf):
         "vec_id", "i", (F.round("p.re", 6) + F.lit(0.0)).alias("re"), (F.round("p.im", 6) + F.lit(0.0)).alias("im"))
 
 
-@query("noise_psd")
+SOFT_SQL = "(case when {d} <= 4 then 1.0 when {d} >= 4.2 then 0.0 else 0.5 * (1 + cos(pi() * ({d} - 4) / 0.2)) end)".format(
+    d="sqrt(pow(i // 8 - 4, 2) + pow(i % 8 - 4, 2))")
+
+
+@query("noise_psd", fx.sql_with(PIX, _spectrum_sql(f"v * (1 - {SOFT_SQL})"), body="""
+select cast((ky + 4) % 8 as int) as ky, cast(kx as int) as kx, round(avg(sqrt(re * re + im * im)), 6) as amplitude from ft where kx <= 4 group by 1, 2"""))
 def noise_psd(spark, sf):
     return J.noise_spectrum(fx.images(spark, sf), SIDE).withColumn("amplitude", F.round("amplitude", 6))
 

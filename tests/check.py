@@ -14,7 +14,7 @@ from harness import compare, duck  # noqa: E402
 from orientlake.session import build_session  # noqa: E402
 
 if __name__ == "__main__":
-    sf = f"/root/testdata/{sys.argv[1]}"
+    sf = sys.argv[1] if sys.argv[1].startswith("/") else f"/root/testdata/{sys.argv[1]}"
     queries, oracles = entry.queries(), entry.oracle_sql()
     wanted = sys.argv[2:] or list(queries)
     spark = build_session("check", "8")
