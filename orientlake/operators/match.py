@@ -1,8 +1,8 @@
 """Matching particle tables by name, by rounded place and by distance.
 
-Distance joins bin the plane into cells as wide as the margin and look into
-the 3 x 3 cells around a row. The right side is first brought down to what can
-decide the answer, so the work does not grow with the square of a crowded cell.
+Distance joins bin the plane into cells and bring a point into every cell
+within its reach. The right side is first brought down to what can decide the
+answer, so the work does not grow with the square of a crowded cell.
 """
 
 from __future__ import annotations
@@ -67,11 +67,17 @@ def _cell(c: str, width: float) -> Column:
     return F.floor(F.col(c) / F.lit(float(width)))
 
 
-def _around(df: DataFrame, width: float) -> DataFrame:
-    """Each row once for each of the 3 x 3 cells around its own."""
-    step = F.sequence(F.lit(-1), F.lit(1))
-    return (df.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
-            .withColumns({"bx": _cell("px", width) + F.col("_i"), "by": _cell("py", width) + F.col("_j")}).drop("_i", "_j"))
+def _reaching(df: DataFrame, reach: float, cell: float) -> DataFrame:
+    """Each point once for every cell that lies within reach of it: mostly one, up to four.
+
+    Cells are at least twice as wide as the reach. The reach is taken a trifle
+    wider than asked, so that rounding cannot lose a point on the border; the
+    distance test that follows is exact.
+    """
+    wide = reach * (1 + 1e-9) + 1e-9
+    def cells(c):
+        return F.explode(F.array_distinct(F.array(F.floor((F.col(c) - wide) / cell), F.floor((F.col(c) + wide) / cell))))
+    return df.withColumn("bx", cells("px")).withColumn("by", cells("py"))
 
 
 def _deciding_points(right: DataFrame, margin: float) -> DataFrame:
@@ -104,12 +110,14 @@ def near_any(left: DataFrame, right: DataFrame, margin: float, keep: bool = True
              left_place: Place | None = None, right_place: Place | None = None) -> DataFrame:
     """Left rows with (``keep``) or without a right row in the inclusive box of half-width ``margin``."""
     lp, rp = left_place or Place.of(left), right_place or Place.of(right)
-    width = max(1.0, float(margin))
+    # from one pixel on, a cell as wide as the margin needs only its deciding points
+    few = margin >= 1.0
+    width = float(margin) if few else max(4.0 * margin, 1.0)
     a = left.select("*", *[c for c in lp.columns()])
     a = a.withColumns({"_bx": _cell("px", width), "_by": _cell("py", width)}).withColumnsRenamed(
         {"mic": "_mic", "px": "_px", "py": "_py"})
     points = right.select(*rp.columns())
-    b = _deciding_points(points, width) if width == margin else _around(points.distinct(), width)
+    b = _deciding_points(points, width) if few else _reaching(points.distinct(), margin, width)
     test = ((F.col("_mic") == F.col("mic")) & (F.col("_bx") == F.col("bx")) & (F.col("_by") == F.col("by"))
             & (F.abs(F.col("_px") - F.col("px")) <= margin) & (F.abs(F.col("_py") - F.col("py")) <= margin))
     return a.join(b, test, "left_semi" if keep else "left_anti").drop("_mic", "_px", "_py", "_bx", "_by")
@@ -120,14 +128,14 @@ def nearest_in_box(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     """(left id, right id, distance) of the nearest right row inside the inclusive box, lowest id on ties.
 
     Equal right places are merged first. When some cell is still crowded the
-    search starts with finer cells: a neighbour found within one cell width is
-    the nearest, and only rows that found none go on to cells twice as wide.
+    search starts with a shorter reach on finer cells: a neighbour found within
+    it is the nearest, and only rows that found none go on to twice the reach.
     """
     lp, rp = left_place or Place.of(left), right_place or Place.of(right)
     width = max(1.0, float(margin))
     rows = left.select(F.col(left_id).alias("_l"), *lp.columns())
     points = right.select(F.col(right_id).alias("_r"), *rp.columns()).groupBy("mic", "px", "py").agg(F.min("_r").alias("_r"))
-    crowd = points.groupBy("mic", _cell("px", width), _cell("py", width)).count().agg(F.max("count")).first()[0] or 0
+    crowd = points.groupBy("mic", _cell("px", 4 * width), _cell("py", 4 * width)).count().agg(F.max("count")).first()[0] or 0
     levels = 0
     while crowd / 4 ** levels > CROWDED_CELL and levels < 20:
         levels += 1
@@ -135,14 +143,14 @@ def nearest_in_box(left: DataFrame, right: DataFrame, left_id: str, right_id: st
         points, rows = cut(points, "points"), cut(rows, "rows")
     found = None
     for level in range(levels, -1, -1):
-        cell = width / 2 ** level
-        a = rows.withColumns({"bx": _cell("px", cell), "by": _cell("py", cell)})
-        b = _around(points, cell).withColumnsRenamed({"px": "qx", "py": "qy"})
+        reach = width / 2 ** level
+        a = rows.withColumns({"bx": _cell("px", 4 * reach), "by": _cell("py", 4 * reach)})
+        b = _reaching(points, reach, 4 * reach).withColumnsRenamed({"px": "qx", "py": "qy"})
         dx, dy = F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy"))
         dist = F.sqrt(dx * dx + dy * dy) if metric == "euclid" else F.greatest(dx, dy)
         pairs = a.join(b, ["mic", "bx", "by"]).where((dx <= margin) & (dy <= margin))
         if level:
-            pairs = pairs.where(dist <= cell)
+            pairs = pairs.where(dist <= reach)
         best = pairs.groupBy("_l").agg(F.min(F.struct(dist.alias("d"), F.col("_r").alias("r"))).alias("b"))
         best = best.select(F.col("_l").alias(left_id), F.col("b.r").alias(f"{right_id}_2"), F.col("b.d").alias("distance"))
         if level:
