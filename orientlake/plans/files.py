@@ -50,7 +50,7 @@ def scan_stacks(spark, sf):
         "vec_id", "i", (F.round(F.col("v").cast("double"), 6) + F.lit(0.0)).alias("v"))
 
 
-@query("scan_volume", fx.sql_with("voxels", body="select vol_id, z, y, x, round(v, 6) + 0.0 as v, 1.25 as px from voxels"))
+@query("scan_volume", fx.sql_with("voxels", body="select vol_id, z, y, x, round(v, 6) + 0.0 as v, cast(1.25 as double) as px from voxels"))
 def scan_volume(spark, sf):
     folder = new_dir(spark, "volumes")
     im = fx.planes(spark, sf).selectExpr("concat('v', vol_id, '.mrc') as stack", "z as index", "8 as nx", "8 as ny", "plane as pixels")

@@ -269,7 +269,8 @@ def pose_candidates(spark, sf):
 def _ball_sql(distance, spacing):
     v, w = G.ball_grid(distance, spacing)
     m = G.rotation_vectors_to_matrices(v)
-    rows = ", ".join("(" + ", ".join([str(i), repr(float(w[i])), *[repr(float(x)) for x in m[i]]]) + ")" for i in range(len(w)))
+    num = lambda v: f"{float(v):.17e}"
+    rows = ", ".join("(" + ", ".join([str(i), num(w[i]), *[num(x) for x in m[i]]]) + ")" for i in range(len(w)))
     return f"ball(cand, weight, {', '.join(R.entries('b'))}) as (values {rows})"
 
 

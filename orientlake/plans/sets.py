@@ -38,8 +38,8 @@ def union_first_optics(spark, sf):
 
 
 @query("merge_halves", fx.sql_with("particles", "particles_c", "optics", body="""
-select u.pid, u.half, o.px from (select pid, 1 as half, optics_group from particles where half = 1
- union all select pid, 2 as half, optics_group from particles_c where half = 2) u join optics o using (optics_group)"""))
+select u.pid, u.half, o.px from (select pid, cast(1 as bigint) as half, optics_group from particles where half = 1
+ union all select pid, cast(2 as bigint) as half, optics_group from particles_c where half = 2) u join optics o using (optics_group)"""))
 def merge_halves(spark, sf):
     a = fx.particles(spark, sf).where("half = 1").select("pid", "optics_group")
     b = fx.particles_c(spark, sf).where("half = 2").select("pid", "optics_group")
