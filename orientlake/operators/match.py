@@ -32,7 +32,9 @@ def match_by_name(left: DataFrame, right: DataFrame, allow_partial: bool = True,
     """Rows of both tables with the same particle id, side by side.
 
     Right columns get ``suffix``. In strict mode both tables must hold the
-    same ids.
+    same ids. An id that stands twice in the right table is an error when the
+    result is read; its rows are counted, never paired. The count shares the
+    partitioning of the join.
     """
     a = left.withColumn("particle_id", S.particle_id(F.col(image)))
     b = right.withColumn("particle_id", S.particle_id(F.col(image)))
@@ -41,8 +43,11 @@ def match_by_name(left: DataFrame, right: DataFrame, allow_partial: bool = True,
         only = ids.agg(F.count(F.when(F.col("_r").isNull(), 1)).alias("l"), F.count(F.when(F.col("_l").isNull(), 1)).alias("r")).first()
         if only["l"] or only["r"]:
             raise NoMatch(f"different particles: {only['l']} only in the first, {only['r']} only in the second table")
-    renamed = b.select("particle_id", *[F.col(c).alias(c + suffix) for c in right.columns])
-    return a.join(renamed, "particle_id")
+    once = b.groupBy("particle_id").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c + suffix) for c in right.columns])
+    single = F.when(F.col("_n") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("particle id stands twice in the second table: "), F.col("particle_id"))).cast("boolean"))
+    return a.join(once.where(single).drop("_n"), "particle_id")
 
 
 @dataclass(frozen=True)

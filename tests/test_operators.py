@@ -121,6 +121,13 @@ def test_strict_name_match_needs_equal_sets(spark):
         M.match_by_name(a, b, allow_partial=False)
 
 
+def test_repeated_id_is_an_error(spark):
+    a = spark.createDataFrame([("1@s.mrcs", 1)], "image_name string, v int")
+    with pytest.raises(Exception, match="stands twice"):
+        M.match_by_name(a, a.union(a)).collect()
+    assert M.match_by_name(a.union(a), a).count() == 2
+
+
 def test_repeated_place_is_an_error(spark):
     a = spark.createDataFrame([(1, "m", 1.0, 1.0), (2, "m", 1.1, 1.0)], "id bigint, micrograph string, x double, y double")
     with pytest.raises(Exception, match="twice"):
