@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orientlake.llm import decontaminate, mixing, ngram_join, tokens, toxicity
+from orientlake.llm import decontaminate, language, lattice_lm, mixing, ngram_join, surrogates, tokens, toxicity, url_filter, vector_forest
+from orientlake.llm.common import fold_of
 from orientlake.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_texts(table(spark, sf_dir, "documents"), "doc_id", "text", n=5, percent=80)
 
 
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES, "page_id", "url", otherwise="allow")
+
+
+@query
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice_lm.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), "doc_id", "text", folds=7, held_out=2)
+
+
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"))
@@ -55,11 +71,44 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, "doc_id", "text")
 
 
+@query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 3) == 1
+    model = language.fit_languages(docs.where(~held_out), "text", "lang")
+    found = language.identify_languages(docs, model, "doc_id", "text")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@query
+def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_equal_images(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", cosine=0.98)
+
+
+ORACLES["op3_url_cascade"] = r"""
+with parts as (
+  select page_id, coalesce(nullif(strpos(url, '://'), 0) + 3, null) as p, url from pages),
+rest as (select page_id, case when p is null then '' else substr(url, p) end as r from parts),
+split as (
+  select page_id, regexp_extract(r, '^([^/?#]*)', 1) as h, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+placed as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from split),
+rules(verdict, rule, rh, rp) as (values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+  ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/'))
+select page_id, host, path, arg_max(rule, length(rule)) as rule, coalesce(arg_max(verdict, length(rule)), 'allow') as verdict
+from placed left join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+group by page_id, host, path
+"""
+
 ORACLES["op2_ngram_jaccard"] = r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
