@@ -65,7 +65,7 @@ def _rates(classes: DataFrame, targets: DataFrame, cap: float, steps: int, toler
         sums = sums.groupBy("source").agg(F.sum("got").alias("got"), F.sum("slope").alias("slope"))
         miss = F.col("got") - F.col("target")
         lo, hi = F.when(miss < 0, F.col("t")).otherwise(F.col("lo")), F.when(miss > 0, F.col("t")).otherwise(F.col("hi"))
-        moved = F.col("t") - miss / F.col("slope")
+        moved = F.col("t") - F.try_divide(miss, F.col("slope"))
         state = cut(state.alias("s").join(sums.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select(
             F.col("s.source").alias("source"), "target", "mean", "full", "t", lo.alias("lo"), hi.alias("hi"), moved.alias("to"), miss.alias("miss")
         ).select("source", "target", "mean", "full", F.when(F.abs("miss") <= tolerance * F.col("target"), F.col("t")).when(

@@ -147,11 +147,15 @@ def _surrogate(secret: str) -> Column:
     at = F.instr(identity, "@")
     host = F.substr(identity, at + 1)
     top = F.regexp_extract(host, r"(\.[^.]+)$", 1)
+    # what is left of a host of the reserved example domains, and the top domain of any other
+    kept = F.greatest(F.length(top), F.length(F.regexp_extract(host, r"((?:^|\.)example\.[a-z]+)$", 1)))
     email = F.concat(_like(F.substr(identity, F.lit(1), at - 1), digest), F.lit("@"),
-                     _like(F.substr(host, F.lit(1), F.length(host) - F.length(top)), F.reverse(digest)), top)
+                     _like(F.substr(host, F.lit(1), F.length(host) - kept), F.reverse(digest)), F.substr(host, F.length(host) - kept + 1))
+    abroad = F.greatest(F.length(identity) - 10, F.lit(0))  # the country code stays
+    phone = F.concat(F.substr(identity, F.lit(1), abroad), _like(F.substr(identity, abroad + 1), digest))
     octets = F.array_join(F.array(*[(_number(digest, F.lit(i), 223 if i == 0 else 254) + 1).cast("string") for i in range(4)]), ".")
     return F.when(kind == "email", email).when(kind == "address", octets).when(kind == "card", _card(identity, digest)).when(
-        kind == "name", _name(F.col("gender"), F.col("script"), F.col("words"), digest)).when(
+        kind == "phone", phone).when(kind == "name", _name(F.col("gender"), F.col("script"), F.col("words"), digest)).when(
         kind == "secret", F.when(identity.startswith("AKIA"), F.concat(F.lit("AKIA"), _like(F.substr(identity, F.lit(5)), digest))).otherwise(
             F.when(identity.rlike("^[0-9a-f]+$"), F.substr(F.concat(digest, F.sha2(digest, 512)), F.lit(1), F.length(identity))).otherwise(_like(identity, digest)))).otherwise(
         _like(identity, digest))
