@@ -7,6 +7,7 @@ integer column, so a grid of any size costs one expression per row.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import lru_cache
 
@@ -146,25 +147,27 @@ def local_grid_array(distance: float, step: float) -> Column:
 def ball_grid(distance: float, spacing: float) -> tuple[np.ndarray, np.ndarray]:
     """Rotation vectors [N, 3] in a ball around the identity, and their Haar weights.
 
-    Shells of equal volume, golden-angle directions on each; weights add up to
-    the volume of the cap.
+    The ball is cut into shells of equal volume. A point's index gives its
+    shell by the running number of points, and its place in the shell gives
+    its direction on a golden-angle spiral. A shell's weight is its exact
+    Haar volume, which grows with angle as ``angle - sin(angle)``; all weights
+    add up to the volume of the cap.
     """
-    top, gap = math.radians(distance), math.radians(spacing)
+    top, gap = np.radians([distance, spacing])
     shells = max(1, math.ceil(top / gap))
-    edges = top * (np.arange(shells + 1) / shells) ** (1 / 3)
-    vectors, weights = [], []
-    for s in range(shells):
-        r = top * ((s + 0.5) / shells) ** (1 / 3)
-        n = max(8, math.ceil(4 * math.pi * (r / gap) ** 2))
-        k = np.arange(n)
-        z = 1 - 2 * (k + 0.5) / n
-        phi = k * GOLDEN_TURN + (s * GOLDEN_TURN) % (2 * math.pi)
-        flat = np.sqrt(1 - z * z)
-        vectors.append(r * np.stack([flat * np.cos(phi), flat * np.sin(phi), z], axis=1))
-        volume = 4 * math.pi / 3 * (edges[s + 1] ** 3 - edges[s] ** 3) / n
-        weights.append(np.full(n, volume * (math.sin(r / 2) / r) ** 2))
-    w = np.concatenate(weights)
-    return np.concatenate(vectors), w * (4 * math.pi ** 2 * (1 - math.cos(top)) / w.sum())
+    radius = top * np.cbrt((np.arange(shells) + 0.5) / shells)
+    count = np.maximum(8, np.ceil(4 * math.pi * (radius / gap) ** 2)).astype(np.int64)
+    last = np.cumsum(count)
+    index = np.arange(last[-1])
+    shell = np.searchsorted(last, index, side="right")
+    place = index - (last - count)[shell]
+    z = 1 - (2 * place + 1) / count[shell]
+    turn = GOLDEN_TURN * (place + shell)
+    unit = np.stack([np.cos(turn) * np.sqrt(1 - z * z), np.sin(turn) * np.sqrt(1 - z * z), z], axis=1)
+    edge = top * np.cbrt(np.arange(shells + 1) / shells)
+    volume = np.diff(edge - np.sin(edge))
+    cap = 4 * math.pi ** 2 * (1 - math.cos(top))
+    return radius[shell, None] * unit, cap * (volume / count)[shell] / volume.sum()
 
 
 def rotation_vectors_to_matrices(v: np.ndarray) -> np.ndarray:
@@ -180,10 +183,9 @@ def rotation_vectors_to_matrices(v: np.ndarray) -> np.ndarray:
 
 
 def ball_grid_array(distance: float, spacing: float) -> Column:
-    """The ball grid as one constant array of (cand, weight, m00..m22) structs."""
+    """The ball grid as one constant array of (cand, weight, m00..m22) structs, given as one text."""
     v, w = ball_grid(distance, spacing)
-    m = rotation_vectors_to_matrices(v)
-    return F.array(*[
-        F.struct(F.lit(i).alias("cand"), F.lit(float(w[i])).alias("weight"),
-                 *[F.lit(float(x)).alias(f"m{k // 3}{k % 3}") for k, x in enumerate(m[i])])
-        for i in range(len(w))])
+    names = [f"m{k // 3}{k % 3}" for k in range(9)]
+    points = [{"cand": i, "weight": float(w[i]), **dict(zip(names, map(float, row)))} for i, row in enumerate(rotation_vectors_to_matrices(v))]
+    kind = "array<struct<cand int, weight double, " + ", ".join(f"{n} double" for n in names) + ">>"
+    return F.from_json(F.lit(json.dumps(points)), kind)

@@ -29,18 +29,12 @@ def equivalents(order: int, symmetry: str) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def representatives(order: int, symmetry: str) -> np.ndarray:
-    """[P] index of the equivalent that stands for each rotation: least turn first, then lowest index, in scan order."""
-    grid, eq = grid_matrices(order), equivalents(order, symmetry)
-    turn = np.round(np.arccos(np.clip((grid[:, [0, 4, 8]].sum(axis=1) - 1) / 2, -1, 1)), 5)
-    mapped = np.full(len(grid), -1, dtype=np.int64)
-    seen = np.zeros(len(grid), dtype=bool)
-    for row in eq:
-        ranked = sorted(set(row.tolist()), key=lambda e: (turn[e], e))
-        fresh = [e for e in ranked if not seen[e]]
-        if fresh:
-            seen[fresh] = True
-            mapped[ranked] = fresh[0]
-    return mapped
+    """[P] index of the equivalent that stands for each rotation: the one with least (turn, index)."""
+    eq = equivalents(order, symmetry)
+    turn = np.round(np.arccos(np.clip((grid_matrices(order)[:, [0, 4, 8]].sum(axis=1) - 1) / 2, -1, 1)), 5)
+    standing = np.empty(len(turn), np.int64)
+    standing[np.lexsort((np.arange(len(turn)), turn))] = np.arange(len(turn))
+    return np.take_along_axis(eq, standing[eq].argmin(axis=1)[:, None], axis=1)[:, 0]
 
 
 def nearest_k(order: int, k: int):

@@ -19,8 +19,14 @@ _ROWS_PER_COPY_RUN = 4096
 
 
 def seeded_order(col: str | Column) -> Column:
-    """Reproducible pseudo-random order key in [0, 2^32), by integer arithmetic only."""
-    return (F.col(col) if isinstance(col, str) else col) * F.lit(2654435761) % F.lit(HASH_RANGE)
+    """Reproducible pseudo-random order key in [0, 2^32), by integer arithmetic only.
+
+    The key times a constant, modulo 2^32. The key is reduced first and its
+    upper 16 bits are multiplied apart, so no key is too large.
+    """
+    key = F.pmod((F.col(col) if isinstance(col, str) else col).cast("bigint"), F.lit(HASH_RANGE))
+    low, high = key.bitwiseAND(F.lit(0xFFFF)), F.shiftright(key, 16)
+    return F.pmod(F.pmod(high * F.lit(2654435761), F.lit(65536)) * F.lit(65536) + low * F.lit(2654435761), F.lit(HASH_RANGE))
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Metric columns that are kept, and the patterns of one comparison log.
@@ -26,10 +28,22 @@ def known_columns(df: DataFrame) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric CSV files with a header; absent values stay NULL."""
-    header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T._parse_datatype_string(METRIC_TYPES.get(c, "string")), True) for c in header])
-    return known_columns(spark.read.option("header", True).schema(schema).csv(path))
+    """Metric CSV files with a header each, in any order of columns; absent values and columns are NULL.
+
+    Files are grouped by their header line, and each group is read with it.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn(
+        "line", F.monotonically_increasing_id())
+    headers = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    out = None
+    for r in headers.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect():
+        columns = next(csv.reader([r["header"]]))
+        schema = T.StructType([T.StructField(c.strip(), T._parse_datatype_string(METRIC_TYPES.get(c.strip(), "string")), True) for c in columns])
+        part = known_columns(spark.read.option("header", True).schema(schema).csv(r["files"]))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in METRIC_TYPES.items()))
+    return known_columns(out)
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:

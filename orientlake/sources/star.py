@@ -7,6 +7,8 @@ line which block and which columns it belongs to.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,8 +18,15 @@ from orientlake.session import cut
 
 BLOCKS = T.ArrayType(T.StructType([
     T.StructField("block", T.StringType()), T.StructField("at", T.StringType()),
-    T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.StringType()))]))
-TOKEN = r"""'[^']*'|"[^"]*"|\S+"""
+    T.StructField("columns", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.StringType())),
+    T.StructField("looped", T.BooleanType())]))
+# a quote closes a value only before a blank or the end of the line
+TOKEN = r"""'(?:[^']|'(?!\s|$))*'(?=\s|$)|"(?:[^"]|"(?!\s|$))*"(?=\s|$)|\S+"""
+QUOTED = r"""(?s)^'(.*)'$|^"(.*)"$"""
+#: A missing text; the same letters as a value are written in quotes.
+MISSING = "<NA>"
+#: Text that would be read as something else if it stood without quotes.
+NEEDS_QUOTES = r"""\s|^$|^[_#'"]|^data_|^loop_|^<NA>$"""
 # a test by pattern: casting text that is no number costs an exception per row
 WHOLE = r"^[+-]?\d{1,18}$"
 LONG = r"^[+-]?\d{19,}$"
@@ -31,23 +40,33 @@ def _position(block_at, line_at) -> F.Column:
 
 
 def _parse_headers(headers: pd.Series) -> pd.Series:
-    """Blocks of one file from its header lines in order; single values become one-row blocks."""
+    """Blocks of one file from its header lines in order; single values become one-row blocks.
+
+    In a loop a header line is a name alone or a name and a number mark; any
+    other line with a leading underscore is a row there.
+    """
     out = []
     for lines in headers:
         blocks, current, looped = [], None, False
         for item in lines:
             text = item["text"].strip()
             if text.startswith("data_"):
-                current = {"block": text[5:], "at": item["at"], "columns": [], "values": []}
+                current = {"block": text[5:], "at": item["at"], "columns": [], "values": [], "looped": False}
                 blocks.append(current)
                 looped = False
             elif text.startswith("loop_"):
                 looped = True
+                if current is not None:
+                    current["looped"] = True
             elif current is not None and text.startswith("_"):
                 parts = text.split(None, 1)
-                current["columns"].append(parts[0][1:])
                 if not looped:
-                    current["values"].append(parts[1].strip().strip("'\"") if len(parts) > 1 else "")
+                    value = parts[1].strip() if len(parts) > 1 else ""
+                    inner = re.match(QUOTED, value)
+                    current["columns"].append(parts[0][1:])
+                    current["values"].append((inner[1] if inner[1] is not None else inner[2]) if inner else None if value == MISSING else value)
+                elif len(parts) == 1 or parts[1].startswith("#"):
+                    current["columns"].append(parts[0][1:])
         out.append(blocks)
     return pd.Series(out)
 
@@ -64,15 +83,19 @@ def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def assign_blocks(lines: DataFrame) -> DataFrame:
     """Data rows of (file, at, text) lines, each with its block, the columns of that and a number for their layout."""
-    is_header = F.col("text").startswith("_") | F.col("text").startswith("data_") | F.col("text").startswith("loop_")
+    named = F.col("text").startswith("_")
+    is_header = named | F.col("text").startswith("data_") | F.col("text").startswith("loop_")
+    pair = named & F.col("text").rlike(r"^_\S*\s+[^#\s]")
     parse = F.pandas_udf(_parse_headers, BLOCKS)
     headers = lines.where(is_header).groupBy("file").agg(
         F.sort_array(F.collect_list(F.struct("at", "text"))).alias("h")).select("file", parse("h").alias("blocks"))
-    rows = lines.where(~is_header).join(headers, "file")
+    rows = lines.where(~is_header | pair).join(headers, "file")
     before = F.filter("blocks", lambda b: b["at"] < F.col("at"))
-    looped = rows.withColumn("b", F.element_at(before, -1)).select(
+    special = F.col("text").contains("'") | F.col("text").contains('"') | F.col("text").contains(MISSING)
+    placed = rows.withColumn("b", F.try_element_at(before, F.lit(-1))).where(~named | F.col("b.looped"))
+    looped = placed.select(
         "file", "at", F.col("b.block").alias("block"), F.col("b.columns").alias("columns"),
-        F.when(F.col("text").contains("'") | F.col("text").contains('"'), F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^['\"]|['\"]$", "")))
+        F.when(special, F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: F.when(t != MISSING, F.regexp_replace(t, QUOTED, "$1$2"))))
         .otherwise(F.split("text", r"\s+")).alias("tokens"))
     single = headers.select("file", F.explode("blocks").alias("b")).where(F.size("b.values") > 0).select(
         "file", F.col("b.at").alias("at"), F.col("b.block").alias("block"), F.col("b.columns").alias("columns"), F.col("b.values").alias("tokens"))
@@ -154,15 +177,25 @@ def read_star(spark: SparkSession, paths: str | list[str], required: list[str] =
     return typed_table(rows, block, found[block]), optics
 
 
+def quoted(name: str, is_text: bool) -> F.Column:
+    """A value as it stands in a STAR line; missing numbers are ``nan``, missing texts ``<NA>``.
+
+    Text with a line break, or with both quotes before a blank, fits no line and is refused.
+    """
+    text = F.col(name).cast("string")
+    single, double = text.rlike(r"'(\s|$)"), text.rlike(r'"(\s|$)')
+    wrapped = F.when(~single, F.concat(F.lit("'"), text, F.lit("'"))).when(~double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+        F.raise_error(F.lit(f"column {name}: a text with both quotes before blanks fits no STAR line")))
+    safe = F.when(text.rlike(r"[\r\n]"), F.raise_error(F.lit(f"column {name}: a text with a line break fits no STAR line"))).when(
+        text.rlike(NEEDS_QUOTES), wrapped).otherwise(text)
+    return F.coalesce(safe, F.lit(MISSING if is_text else "nan"))
+
+
 def star_lines(df: DataFrame, block: str, preamble: list[str]) -> DataFrame:
     """Rows as STAR text; every partition starts with the preamble and the header of the block."""
     head = [*preamble, "", f"data_{block}", "", "loop_", *[f"_{c} #{i + 1}" for i, c in enumerate(df.columns)]]
 
-    def quoted(c):
-        text = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        return F.when(text.rlike(r"\s") | (text == ""), F.concat(F.lit("'"), text, F.lit("'"))).otherwise(text)
-
-    body = df.select(F.concat_ws(" ", *[quoted(c) for c in df.columns]).alias("value"))
+    body = df.select(F.concat_ws(" ", *[quoted(f.name, f.dataType.simpleString() == "string") for f in df.schema.fields]).alias("value"))
 
     def run(batches):
         started = False
@@ -181,10 +214,12 @@ def write_star(df: DataFrame, optics: DataFrame | None, path: str, group: str =
     preamble: list[str] = []
     if optics is not None:
         used = optics.join(df.select(group).distinct(), group, "left_semi").select(*optics.columns) if group in df.columns else optics
-        rows = used.orderBy(group).limit(OPTICS_LIMIT + 1).collect() if group in used.columns else used.limit(OPTICS_LIMIT + 1).collect()
+        written = used.select(*([group] if group in used.columns else []), F.concat_ws(" ", *[
+            quoted(f.name, f.dataType.simpleString() == "string") for f in used.schema.fields]).alias("_line"))
+        rows = (written.orderBy(group) if group in used.columns else written).select("_line").limit(OPTICS_LIMIT + 1).collect()
         if len(rows) > OPTICS_LIMIT:
             raise ValueError("optics table too large for a file header")
         preamble = ["data_optics", "", "loop_", *[f"_{c} #{i + 1}" for i, c in enumerate(optics.columns)],
-                    *[" ".join("nan" if v is None else str(v) for v in r) for r in rows]]
+                    *[r["_line"] for r in rows]]
     ordered = df.orderBy(*order) if order else df
     star_lines(ordered, "particles", preamble).write.text(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orientlake.frames import ColumnRoles, MissingColumns, nan_to_null, require_columns
 from orientlake.functions import grids as G, rotations as R
 from orientlake.operators import filters, match as M, ordered as O, ranking as K, sets as S, stats
+from orientlake.operators.ordered import seeded_order
 from orientlake.sources import mrc, star
 
 
@@ -283,3 +284,38 @@ def test_scores_from_a_user_model(spark):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float("nan") if p[0] == 5 else p[0] for p in b.column(1).to_pylist()])], names=["id", "s"])
     assert {r["id"] for r in score_images(df, model, "id bigint, s double", "s", 2.0).collect()} == {3, 4}
+
+
+def test_star_keeps_every_text(spark, tmp_path):
+    texts = ["plain", "_under", "_under two", "#hash", "data_x", "loop_", "it's", "a 'b' c", 'say "hi" x', "", " lead", None, "<NA>", "nan x", "'", '"', "'x'", "_a #1"]
+    df = spark.createDataFrame([(i, t, 0.5 if t else None) for i, t in enumerate(texts)], "pid bigint, name string, score double").select("name", "pid", "score")
+    optics = spark.createDataFrame([(1, "my group", 300.0), (2, "_odd", None), (3, None, 1.5)], "optics_group bigint, label string, kv double")
+    path = str(tmp_path / "s")
+    star.write_star(df.repartition(3), optics, path)
+    p, o = star.read_star(spark, path, ["pid"])
+    assert {r["pid"]: (r["name"], r["score"]) for r in p.collect()} == {i: (t, 0.5 if t else None) for i, t in enumerate(texts)}
+    assert {tuple(r) for r in o.collect()} == {tuple(r) for r in optics.collect()}
+    for bad in ("two\nlines", "both ' and \" end"):
+        with pytest.raises(Exception, match="fits no STAR line"):
+            star.write_star(df.limit(1).withColumn("name", F.lit(bad)), None, str(tmp_path / f"bad{len(bad)}"))
+
+
+def test_star_rows_with_leading_underscore_of_other_writers(spark, tmp_path):
+    (tmp_path / "o.star").write_text("data_particles\nloop_\n_name #1\n_n #2\n_x 1\ny 2\n_z 3\n\ndata_general\n_version 3\n_note it's\n")
+    p, _ = star.read_star(spark, str(tmp_path / "o.star"))
+    assert [(r["name"], r["n"]) for r in p.orderBy("file_order").collect()] == [("_x", 1), ("y", 2), ("_z", 3)]
+
+
+def test_metrics_with_other_column_order(spark, tmp_path):
+    from orientlake.sources.metrics import read_metrics
+
+    (tmp_path / "a.csv").write_text("step,epoch,loss\n1,2,0.5\n")
+    (tmp_path / "b.csv").write_text("epoch,step,other\n4,3,x\n")
+    got = {tuple(r) for r in read_metrics(spark, str(tmp_path)).select("step", "epoch", "loss").collect()}
+    assert got == {(1, 2, 0.5), (3, 4, None)}
+
+
+def test_seeded_order_of_large_keys(spark):
+    keys = [0, 1, 5, 65535, 65536, 3_470_000_000, 4_000_000_000, 10 ** 13, 2 ** 62]
+    got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", seeded_order("k").alias("h")).collect()
+    assert {r["k"]: r["h"] for r in got} == {k: k * 2654435761 % 2 ** 32 for k in keys}
