@@ -57,17 +57,17 @@ def nearest_k(order: int, k: int):
 
 
 @lru_cache(maxsize=8)
-def grid_neighbours(order: int, k: int, limit: int | None = None) -> np.ndarray:
+def grid_neighbours(order: int, k: int) -> np.ndarray:
     """[P, k] nearest rotations within the grid, itself first."""
-    grid = grid_matrices(order)[:limit]
+    grid = grid_matrices(order)
     rows = [np.argsort(-np.round(grid[i:i + 512] @ grid.T, 9), axis=1, kind="stable")[:, :k] for i in range(0, len(grid), 512)]
     return np.concatenate(rows)
 
 
-def neighbour_pose(probabilities: np.ndarray, order: int, k: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def neighbour_pose(probabilities: np.ndarray, order: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean rotation [N, 9] of the winners' grid neighbours weighted by their probabilities, and the sums of those."""
     from orientlake.operators.consensus import nearest_rotations
-    grid, near = grid_matrices(order)[:limit], grid_neighbours(order, k, limit)
+    grid, near = grid_matrices(order), grid_neighbours(order, k)
     idx = near[np.round(probabilities, 12).argmax(axis=1)]
     w = np.take_along_axis(probabilities, idx, 1)
     mean = np.einsum("nk,nkc->nc", w / w.sum(axis=1, keepdims=True), grid[idx])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from orientlake.operators.ordered import number_rows, ordered_rank, prefix_sums, seeded_rank, value_bucket
@@ -65,15 +67,17 @@ def assign_halves(df: DataFrame, key: str, name: str = "half") -> DataFrame:
     return split(df, key, 2).withColumnRenamed("chunk", name)
 
 
-def train_validation(datasets: list[DataFrame], key: str, train: float = 0.7) -> DataFrame:
-    """``split`` = train or validation per dataset; only the first dataset gives validation rows."""
+def train_validation(datasets: list[DataFrame], key: str, train: float = 0.7, validation_from: Sequence[int] = (0,)) -> DataFrame:
+    """``split`` = train or validation per dataset; only the datasets in ``validation_from`` give validation rows.
+
+    What is not drawn for training from any other dataset is labelled unused, so every row comes back.
+    """
     out = None
     for i, d in enumerate(datasets):
         ranked = seeded_rank(d, key, "_k")
         is_train = F.col("_k") <= F.round(F.lit(float(train)) * F.col("_k_total"))
-        part = ranked.withColumns({"dataset": F.lit(i).cast("bigint"), "split": F.when(is_train, "train").otherwise("validation")}).drop("_k", "_k_total")
-        if i:
-            part = part.where("split = 'train'")
+        rest = "validation" if i in validation_from else "unused"
+        part = ranked.withColumns({"dataset": F.lit(i).cast("bigint"), "split": F.when(is_train, "train").otherwise(rest)}).drop("_k", "_k_total")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -90,29 +90,29 @@ def consensus_match(spark, sf):
 
 
 @query("picking_intersection", fx.sql_with("particles", "particles_b", body=f"""
-select pid, optics_group, half, score from particles a where exists (select 1 from particles_b b where b.pid % 3 = 0
- and {BASE.format('a.micrograph')} = {BASE.format('b.micrograph')} and abs(a.x - b.x) <= 20 and abs(a.y - b.y) <= 20)"""))
+select pid, optics_group, half, score from particles a where exists (select 1 from particles_b b where
+ {BASE.format('a.micrograph')} = {BASE.format('b.micrograph')} and abs(a.x - b.x) <= 20 and abs(a.y - b.y) <= 20)"""))
 def picking_intersection(spark, sf):
     return M.near_any(fx.particles(spark, sf).select("pid", "optics_group", "half", "score", "micrograph", "x", "y"),
-                      fx.particles_b(spark, sf).where("pid % 3 = 0"), 20.0).select("pid", "optics_group", "half", "score")
+                      fx.particles_b(spark, sf), 20.0).select("pid", "optics_group", "half", "score")
 
 
 @query("picking_difference", fx.sql_with("particles", "particles_b", body=f"""
-select pid, optics_group, half, score from particles a where not exists (select 1 from particles_b b where b.pid % 3 = 0
- and {BASE.format('a.micrograph')} = {BASE.format('b.micrograph')} and abs(a.x - b.x) <= 20 and abs(a.y - b.y) <= 20)"""))
+select pid, optics_group, half, score from particles a where not exists (select 1 from particles_b b where
+ {BASE.format('a.micrograph')} = {BASE.format('b.micrograph')} and abs(a.x - b.x) <= 20 and abs(a.y - b.y) <= 20)"""))
 def picking_difference(spark, sf):
     return M.near_any(fx.particles(spark, sf).select("pid", "optics_group", "half", "score", "micrograph", "x", "y"),
-                      fx.particles_b(spark, sf).where("pid % 3 = 0"), 20.0, keep=False).select("pid", "optics_group", "half", "score")
+                      fx.particles_b(spark, sf), 20.0, keep=False).select("pid", "optics_group", "half", "score")
 
 
 @query("set_difference_margin", fx.sql_with("particles", "particles_b",
-    "good as (select pid, micrograph, x + 7.25 as x, y from particles_b where pid % 2 = 0)", _near_sql("particles", "good", 100),
+    "good as (select pid, micrograph, x + 7.25 as x, y from particles_b)", _near_sql("particles", "good", 100),
     "boxes as (select pid, min(box) as box from pairs group by pid)",
     "steps as (select m, (select count(*) from boxes where box <= m) as n from (values (5.0), (10.0), (25.0), (50.0), (100.0)) s(m))",
     "chosen as (select min(m) as m from steps where n >= floor(0.80 * (select count(*) from good)))", body="""
 select p.pid, coalesce(b.box <= c.m, false) as is_good, p.score from particles p cross join chosen c left join boxes b on b.pid = p.pid"""))
 def set_difference_margin(spark, sf):
-    good = fx.particles_b(spark, sf).where("pid % 2 = 0").select("pid", "micrograph", (F.col("x") + 7.25).alias("x"), "y")
+    good = fx.particles_b(spark, sf).select("pid", "micrograph", (F.col("x") + 7.25).alias("x"), "y")
     return M.set_difference(fx.particles(spark, sf).select("pid", "micrograph", "x", "y", "score"), good, "pid").select(
         "pid", "is_good", "score")
 
@@ -197,11 +197,11 @@ def half_policy(spark, sf):
 
 
 @query("match_diagnostics", fx.sql_with("particles", "particles_b", body=f"""
-, a as (select {BASE.format('micrograph')} as mic, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from particles where pid % 200 <> 7 group by 1),
-b as (select {BASE.format('micrograph')} as mic, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from particles_b where pid % 200 <> 9 group by 1)
+, a as (select {BASE.format('micrograph')} as mic, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from particles group by 1),
+b as (select {BASE.format('micrograph')} as mic, count(*) as n, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from particles_b group by 1)
 select coalesce(a.mic, b.mic) as mic, a.n as n_all, a.x0 as x_min_all, a.x1 as x_max_all, a.y0 as y_min_all, a.y1 as y_max_all,
  b.n as n_good, b.x0 as x_min_good, b.x1 as x_max_good, b.y0 as y_min_good, b.y1 as y_max_good, a.mic is not null and b.mic is not null as shared
 from a full outer join b on a.mic = b.mic"""))
 def match_diagnostics(spark, sf):
-    return M.match_diagnostics(fx.particles(spark, sf).where("pid % 200 <> 7").select("micrograph", "x", "y"),
-                               fx.particles_b(spark, sf).where("pid % 200 <> 9").select("micrograph", "x", "y"))
+    return M.match_diagnostics(fx.particles(spark, sf).select("micrograph", "x", "y"),
+                               fx.particles_b(spark, sf).select("micrograph", "x", "y"))

@@ -12,6 +12,8 @@ from orientlake.plans.registry import query
 from orientlake.plans.sqltext import SQL_MATRIX, grid_sql, normal_cdf_sql, ops_sql, trace_sql
 
 LOGITS = "lg as (select vec_id, i - 1 as cand, cast(embedding[i] as double) as s from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings) u)"
+#: One score per rotation of the smallest grid (72): the 64 values of a row, then its first eight again.
+GRID_LOGITS = "lg as (select vec_id, i - 1 as cand, cast(embedding[(i - 1) % 64 + 1] as double) as s from (select vec_id, embedding, unnest(range(1, 73)) as i from embeddings) u)"
 RANKED = "rk as (select *, row_number() over (partition by vec_id order by s desc, cand) as r from lg)"
 
 
@@ -19,11 +21,15 @@ def logits(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("logits"))
 
 
-@query("topk_poses", fx.sql_with(LOGITS, RANKED, f"grid as ({grid_sql(0)})", body="""
+def grid_logits(spark, sf):
+    return logits(spark, sf).withColumn("logits", F.concat("logits", F.slice("logits", 1, 8)))
+
+
+@query("topk_poses", fx.sql_with(GRID_LOGITS, RANKED, f"grid as ({grid_sql(0)})", body="""
 select vec_id, cast(r as int) as rank, cast(cand as int) as cand, round(s, 6) as score, round(g02, 6) + 0.0 as vx, round(g12, 6) + 0.0 as vy, round(g22, 6) + 0.0 as vz
 from rk join grid on idx = cand where r <= 5"""))
 def topk_poses(spark, sf):
-    top = K.top_rows(logits(spark, sf), "logits", 5)
+    top = K.top_rows(grid_logits(spark, sf), "logits", 5)
     rot, tilt, psi = G.grid_angles(F.col("cand"), 0)
     posed = R.with_matrix(top.withColumns({"rot": rot, "tilt": tilt, "psi": psi}), "rot", "tilt", "psi", "g")
     return posed.select("vec_id", "rank", "cand", F.round("score", 6).alias("score"), *[
@@ -40,17 +46,16 @@ def topk_pivot(spark, sf):
 
 EQ_SQL = (f"grid as ({grid_sql(0)})", f"ops as ({ops_sql(['C2'])})", """
 tr as (select a.idx as i, o.op, g.idx as j, """ + " + ".join(f"(s{r}0*a.g0{c} + s{r}1*a.g1{c} + s{r}2*a.g2{c}) * g.g{r}{c}" for r in range(3) for c in range(3)) + """ as t
- from grid a cross join ops o cross join grid g where a.idx < 64),
-eq as (select i, op, j from (select *, row_number() over (partition by i, op order by round(t, 9) desc, j) as k from tr) q where k = 1 and j < 64)""")
+ from grid a cross join ops o cross join grid g),
+eq as (select i, op, j from (select *, row_number() over (partition by i, op order by round(t, 9) desc, j) as k from tr) q where k = 1)""")
 
 
-@query("grid_softmax", fx.sql_with(LOGITS, *EQ_SQL, body="""
+@query("grid_softmax", fx.sql_with(GRID_LOGITS, *EQ_SQL, body="""
 , su as (select vec_id, eq.i as cand, sum(s) as s from eq join lg on lg.cand = eq.j group by 1, 2),
 e as (select vec_id, cand, exp(s - max(s) over (partition by vec_id)) as e from su)
 select vec_id, cast(cand as int) as cand, round(e / sum(e) over (partition by vec_id), 6) as p from e"""))
 def grid_softmax(spark, sf):
-    eq = [[int(j) for j in row if j < 64] for row in GT.equivalents(0, "C2")[:64]]
-    p = logits(spark, sf).withColumn("p", K.softmax(K.symmetry_sum("logits", eq)))
+    p = grid_logits(spark, sf).withColumn("p", K.softmax(K.symmetry_sum("logits", GT.equivalents(0, "C2").tolist())))
     return p.select("vec_id", F.posexplode("p").alias("cand", "v")).select(
         "vec_id", "cand", F.round("v", 6).alias("p"))
 
@@ -90,10 +95,10 @@ def substep_refine(spark, sf):
 
 @query("neighbor_pose")
 def neighbor_pose(spark, sf):
-    p = logits(spark, sf).select("vec_id", K.softmax(F.transform("logits", lambda v: v.cast("double") * 8)).alias("p"))
+    p = grid_logits(spark, sf).select("vec_id", K.softmax(F.transform("logits", lambda v: v.cast("double") * 8)).alias("p"))
 
     def fn(c):
-        m, score = GT.neighbour_pose(c["p"], 0, 5, 64)
+        m, score = GT.neighbour_pose(c["p"], 0, 5)
         return {"score": score, **{name: m[:, i] for i, name in enumerate(R.entries("r"))}}
     q = map_images(p, ["vec_id"], {n: T.DoubleType() for n in ["score", *R.entries("r")]}, fn)
     return q.select("vec_id", F.round("score", 6).alias("score"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in R.entries("r")])

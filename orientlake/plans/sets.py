@@ -62,7 +62,7 @@ def assign_halves(spark, sf):
 , a as (select pid, row_number() over (order by {H}, pid) as k, count(*) over () as n from particles),
 c as (select pid, row_number() over (order by {H}, pid) as k, count(*) over () as n from particles_c)
 select pid, cast(0 as bigint) as dataset, case when k <= round(0.7 * n) then 'train' else 'validation' end as split from a
-union all select pid, cast(1 as bigint), 'train' from c where k <= round(0.7 * n)"""))
+union all select pid, cast(1 as bigint), case when k <= round(0.7 * n) then 'train' else 'unused' end from c"""))
 def train_val_split(spark, sf):
     return T.train_validation([fx.particles(spark, sf).select("pid"), fx.particles_c(spark, sf).select("pid")], "pid")
 
