@@ -9,7 +9,7 @@ import numpy as np
 import zlib
 from pyspark.sql import DataFrame, functions as F
 
-from orientlake.llm.common import Scratch, fold_of, keep_columns, map_rows
+from orientlake.llm.common import Scratch, keep_columns, map_rows
 
 NONE = "und"  # no text, or no letter in it
 MOST_SLOT_BITS = 22  # the filter has at most 4 M slots, however many n-grams there are
