@@ -62,14 +62,17 @@ def gridding_gain(z: Column, y: Column, x: Column, side: int, floor: float = 1e-
     return F.greatest(axis(z) * axis(y) * axis(x), F.lit(float(floor)))
 
 
+# Coefficients of the rational formula for the error function.
+ERF_SCALE = 0.3275911
+ERF_TERMS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
 def normal_cdf(z: Column) -> Column:
     """Normal distribution function by a published 5-term rational formula (error below 1.5e-7)."""
-    # Coefficients of the formula.
-    coefficients = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
     a = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * a)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_SCALE) * a)
     poly = F.lit(0.0)
-    for c in reversed(coefficients):
+    for c in reversed(ERF_TERMS):
         poly = (poly + F.lit(c)) * t
     erf = F.lit(1.0) - poly * F.exp(-a * a)
     return F.lit(0.5) * (F.lit(1.0) + F.when(z < 0, -erf).otherwise(erf))

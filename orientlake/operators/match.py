@@ -27,6 +27,11 @@ def is_unique(df: DataFrame, *key: str) -> bool:
     return df.groupBy(*key).count().where("count > 1").isEmpty()
 
 
+def _sure_id(image: str) -> Column:
+    return F.coalesce(S.particle_id(F.col(image)), F.raise_error(F.concat(
+        F.lit("an image name has no number: "), F.coalesce(F.col(image), F.lit("null")))).cast("string"))
+
+
 def match_by_name(left: DataFrame, right: DataFrame, allow_partial: bool = True, image: str = "image_name",
                   suffix: str = "_2") -> DataFrame:
     """Rows of both tables with the same particle id, side by side.
@@ -34,10 +39,11 @@ def match_by_name(left: DataFrame, right: DataFrame, allow_partial: bool = True,
     Right columns get ``suffix``. In strict mode both tables must hold the
     same ids. An id that stands twice in the right table is an error when the
     result is read; its rows are counted, never paired. The count shares the
-    partitioning of the join.
+    partitioning of the join. A name without an image number has no id, which
+    is an error in either table and no silent loss.
     """
-    a = left.withColumn("particle_id", S.particle_id(F.col(image)))
-    b = right.withColumn("particle_id", S.particle_id(F.col(image)))
+    a = left.withColumn("particle_id", _sure_id(image))
+    b = right.withColumn("particle_id", _sure_id(image))
     if not allow_partial:
         ids = a.select("particle_id", F.lit(1).alias("_l")).join(b.select("particle_id", F.lit(1).alias("_r")), "particle_id", "full_outer")
         only = ids.agg(F.count(F.when(F.col("_r").isNull(), 1)).alias("l"), F.count(F.when(F.col("_l").isNull(), 1)).alias("r")).first()

@@ -137,3 +137,15 @@ def regroup_stacks(df: DataFrame, target: int, key: str = "pid", group: tuple[st
     place = stacked.join(first, "new_stack").select(*group, "new_stack", (F.col("start") - F.col("stack_start")).alias("_off"))
     ranked = ordered_rank(df, key, "_k", list(group)).drop("_k_total")
     return ranked.join(place, list(group)).withColumn("new_index", F.col("_off") + F.col("_k")).drop("_off", "_k")
+
+
+def in_order_of(df: DataFrame, first: DataFrame, key: str, order: str = "file_order", name: str = "place") -> DataFrame:
+    """Rows of ``df`` with their place (from 1) in the order that their keys have in ``first``.
+
+    Keys that ``first`` does not hold come last, by key. Sort by ``name`` on
+    writing; the place itself needs no global sort.
+    """
+    known = first.select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    rows = df.join(known, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("_last", F.col("_order").isNull())
+    places = number_rows(rows.select("_last", "_order", key), ["_last", "_order", key], name)
+    return df.join(places.select(name, F.col(key).alias("_key")), F.col(key) == F.col("_key")).drop("_key")

@@ -201,10 +201,10 @@ def angular_distribution(spark, sf):
 
 @query("asu_fold", fx.sql_with("particles", SQL_MATRIX("m", "particles", "r"), f"ops as ({ops_sql(['D2'])})", body=f"""
 , c as (select pid, op, {", ".join(f"r{i}0*s0{j}+r{i}1*s1{j}+r{i}2*s2{j} as c{i}{j}" for i in range(3) for j in range(3))} from m cross join ops),
-e as (select pid, op, {euler_back_sql("c")} from c),
-n as (select pid, op, round(rot - 360 * floor(rot / 360), 6) as rot, round(tilt, 6) as tilt, round(psi - 360 * floor(psi / 360), 6) as psi from e),
-b as (select *, row_number() over (partition by pid order by rot % 360, tilt, psi % 360, op) as k from n)
-select b.pid, {", ".join(f"round(c{i}{j}, 4) + 0.0 as f{i}{j}" for i in range(3) for j in range(3))} from b join c on b.pid = c.pid and b.op = c.op where k = 1"""))
+e as materialized (select c.*, {euler_back_sql("c")} from c),
+b as (select pid, arg_min(struct_pack({", ".join(f"f{i}{j} := c{i}{j}" for i in range(3) for j in range(3))}),
+  row(round(rot - 360 * floor(rot / 360), 6) % 360, round(tilt, 6), round(psi - 360 * floor(psi / 360), 6) % 360, op)) as m from e group by pid)
+select pid, {", ".join(f"round(m.f{i}{j}, 4) + 0.0 as f{i}{j}" for i in range(3) for j in range(3))} from b"""))
 def asu_fold(spark, sf):
     folded = poses.fold_to_asymmetric_unit(fx.particles(spark, sf).select("pid", "rot", "tilt", "psi"), "D2", side="right")
     return R.with_matrix(folded, "rot", "tilt", "psi", "f").select(

@@ -8,6 +8,7 @@ from orientlake.functions import rotations as R
 from orientlake.operators import calibrate, compare, consensus as C, directional, filters, mixture, poses, stats as S
 from orientlake.operators.match import shared_places
 from orientlake.operators.ordered import grouped_quantiles
+from orientlake.operators.sets import in_order_of
 from orientlake.plans import fixtures as fx
 from orientlake.plans.joins import B0_SQL, BASE, CONSENSUS_SQL, JIT_SQL, three
 from orientlake.plans.poses import pair_table
@@ -77,6 +78,13 @@ def consensus_drop(spark, sf):
     return C.consensus(three(spark, sf), "pid", "D2", "drop", 3.0).select("pid", "rot", "tilt", "psi")
 
 
+@query("consensus_order", fx.sql_with(*THREE, body="select pid, row_number() over (order by pid desc) as place from wide where max_err < 3"))
+def consensus_order(spark, sf):
+    """The consensus in the order of the first table, here by descending number."""
+    first = fx.particles(spark, sf).select("pid", (-F.col("pid")).alias("file_order"))
+    return in_order_of(C.consensus(three(spark, sf), "pid", "D2", "drop", 3.0).select("pid"), first, "pid").select("pid", "place")
+
+
 @query("consensus_average", fx.sql_with(*THREE, AVG_SQL, polar_sql("sums", "a", "pid"), recursive=True, body="""
 select pid, """ + ", ".join(f"round(p{i}{j}, 4) + 0.0 as q{i}{j}" for i in range(3) for j in range(3)) + " from polar where k = 12"))
 def consensus_average(spark, sf):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from orientlake.fourier import shells as V
 from orientlake.functions import optics as O
 from orientlake.plans import fixtures as fx
-from orientlake.plans.registry import query
+from orientlake.plans.registry import ORACLES, query
+from orientlake.session import new_dir
+from orientlake.sources.metrics import write_table_csv
 
 SIDE = 8
 QUAD_SQL = """quads as (select vol_id // 4 as q, z, y, x, max(case when vol_id % 4 = 0 then v end) as re1, max(case when vol_id % 4 = 1 then v end) as im1,
@@ -33,6 +35,14 @@ def fsc(spark, sf):
     return V.shell_correlation(quads(spark, sf), SIDE, ["q"]).select("q", "shell", (F.round("fsc", 6) + F.lit(0.0)).alias("fsc"))
 
 
+@query("curve_csv", ORACLES["fsc"])
+def curve_csv(spark, sf):
+    """The curves written as CSV with a fixed header, and read back by it."""
+    path = new_dir(spark, "curves")
+    write_table_csv(fsc(spark, sf), path, ["q", "shell", "fsc"], ["q", "shell"])
+    return spark.read.option("header", True).schema("q bigint, shell bigint, fsc double").csv(path)
+
+
 @query("shell_amplitude", fx.sql_with("voxels", QUAD_SQL, SH_SQL, body="""
 select q, shell, round(avg(sqrt(re1 * re1 + im1 * im1)), 6) as amplitude from sh group by 1, 2"""))
 def shell_amplitude(spark, sf):

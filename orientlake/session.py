@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
 _TABLES: dict[tuple, str] = {}
+_FINGERPRINTS: dict[tuple[str, str], str] = {}
 
 
 def build_session(app: str = "orientlake", cores: str = "*", **conf: str) -> SparkSession:
@@ -64,14 +65,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def source_fingerprint(spark: SparkSession, path: str) -> str:
-    """Hash of the names, sizes and times of the files below ``path``."""
+    """Hash of the names, sizes and times of the files below ``path``, taken once per session and path."""
+    known = (spark.sparkContext.applicationId, path)
+    if known in _FINGERPRINTS:
+        return _FINGERPRINTS[known]
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .selectExpr("path", "length", "cast(modificationTime as string) as t")
         .selectExpr("count(*) n", "sum(length) b", "max(t) t", "sum(xxhash64(path, length, t) % 1000000007) h")
         .first()
     )
-    return hashlib.sha1(repr(tuple(files)).encode()).hexdigest()[:16]
+    _FINGERPRINTS[known] = hashlib.sha1(repr(tuple(files)).encode()).hexdigest()[:16]
+    return _FINGERPRINTS[known]
 
 
 def table_once(spark: SparkSession, key: tuple, label: str, build) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from orientlake.frames import MissingColumns
 
 # Metric columns that are kept, and the patterns of one comparison log.
 METRIC_TYPES = {
@@ -62,3 +63,15 @@ def roll_up_runs(logs: DataFrame) -> DataFrame:
     """One row per run: counts added over its halves, every other figure averaged."""
     return logs.groupBy("run").agg(F.sum("n").alias("n"), *[
         F.avg(c).alias(c) for c in LOG_PATTERNS if c != "n"])
+
+
+def write_table_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """A curve or report as CSV with a fixed header and column order.
+
+    Rows are range-partitioned by ``order``, so file after file the table is
+    in order; a short curve is one file.
+    """
+    missing = [c for c in [*columns, *order] if c not in df.columns]
+    if missing:
+        raise MissingColumns(f"missing columns in a CSV table: {missing}")
+    df.orderBy(*order).select(*columns).write.option("header", True).csv(path)
