@@ -137,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
     rows = keep_columns(pages, key, url, where="pages")
     placed = rows.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"))
     universe = scratch.cut(placed.select("host", "path").distinct().select(F.explode(key_columns("host", "path")).alias("key")).distinct(), "universe")
-    listed = spark.createDataFrame(list(rules) or [(None, None)], "verdict string, key string")
+    listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(k).alias("key")) for v, k in rules or [("none", "")]])))
     block = Cascade(universe, listed.where("verdict = 'block'").select("key"), scratch, 0)
     allow = Cascade(universe, listed.where("verdict = 'allow'").select("key"), scratch, 1000)
     keyed = placed.withColumns({"keys": key_columns("host", "path"), **block.columns(), **allow.columns()})
