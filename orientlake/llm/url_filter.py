@@ -25,11 +25,12 @@ def path_of(url: str) -> Column:
     return F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def key_columns(host: str, path: str) -> Column:
-    """All rules that could fit: every parent of the host with every folder of the path, the longest first."""
+def key_columns(host: str, path: str, most_labels: int, most_folders: int) -> Column:
+    """All rules that could fit: every parent of the host with every folder of the path, as deep as rules go."""
     labels = F.split(F.col(host), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    parts = F.split(F.col(path), "/")
+    hosts = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.size(labels)),
+                        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    parts = F.split(F.col(path), "/", most_folders + 1)
     folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(folders, lambda p: F.concat(h, p))))
     fits = (F.col(host) != "") & F.col(path).startswith("/")
@@ -120,7 +121,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
     length block wins. Where none fits, ``rule`` is null and the verdict is
     ``otherwise``.
 
-    Method: the universe is every (parent host, folder) of the corpus. One
+    Method: the universe is every (parent host, folder) of the corpus, as deep
+    as the deepest rule. One
     cascade holds the keys with a blocking rule, another those with an
     allowing one; both answer exactly for this universe, so pages are judged
     in one scan without a join. The filters' size follows from the number of
@@ -136,11 +138,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
     scratch = Scratch(spark)
     rows = keep_columns(pages, key, url, where="pages")
     placed = rows.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path"))
-    universe = scratch.cut(placed.select("host", "path").distinct().select(F.explode(key_columns("host", "path")).alias("key")).distinct(), "universe")
+    depth = (max((r.split("/", 1)[0].count(".") + 1 for _, r in rules), default=1), max((r.count("/") for _, r in rules), default=1))
+    universe = scratch.cut(placed.select("host", "path").distinct().select(F.explode(key_columns("host", "path", *depth)).alias("key")).distinct(), "universe")
     listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(k).alias("key")) for v, k in rules or [("none", "")]])))
     block = Cascade(universe, listed.where("verdict = 'block'").select("key"), scratch, 0)
     allow = Cascade(universe, listed.where("verdict = 'allow'").select("key"), scratch, 1000)
-    keyed = placed.withColumns({"keys": key_columns("host", "path"), **block.columns(), **allow.columns()})
+    keyed = placed.withColumns({"keys": key_columns("host", "path", *depth), **block.columns(), **allow.columns()})
     judged = keyed.withColumn("fits", F.filter(
         F.transform("keys", lambda k: F.struct(F.length(k).alias("long"), block.contains(k).alias("block"), allow.contains(k).alias("allow"), k.alias("rule"))),
         lambda s: s["block"] | s["allow"]))
