@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating star contraction."""
+"""Connected components of a table of links, by star contraction and pointer doubling."""
 
 from __future__ import annotations
 
@@ -30,43 +30,39 @@ def _forest(batches):
         yield {"a": part, "b": [root(x) for x in part]}
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One star step on links (a > b): hang neighbours below the smallest neighbour.
-
-    The smallest neighbour is an aggregate with partial sums, so a node that
-    holds a third of all links costs one row per task; the join back has one
-    row per node on one side and can be split on the other.
-    """
-    if large:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        least = links.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        joined = links.join(least, links["a"] == least["u"])
-        moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
-    return moved.where("a <> b").distinct()
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node that has a link; the component is its smallest node.
 
     Links with a null end are no links, loops and repeated links change
-    nothing, and no links give an empty table. Each round writes the links to
-    the shared folder; only a count and a checksum come to the driver.
+    nothing, and no links give an empty table.
+
+    Each round hangs the smaller neighbours of a node, and the node itself,
+    below the smallest of them, until every node has one such neighbour; then links are
+    doubled until they end at the roots. The smallest neighbour is an
+    aggregate with partial sums, so a node with a third of all links costs one
+    row per task, and joins have one row per node on one side. Each round
+    writes the links to the shared folder; only counts come to the driver.
     """
     kind = links.schema[a].dataType.simpleString()
     # greatest and least skip nulls, so a link with a null end is a loop here
     flat = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
-    scratch = Scratch(links.sparkSession)
-    now = scratch.cut(map_rows(flat, _forest, f"a {kind}, b {kind}"), "links")
-    seen = None
+    scratch, shape = Scratch(links.sparkSession), f"a {kind}, b {kind}"
+    now = scratch.cut(map_rows(flat, _forest, shape), "links")
+    while True:
+        least = scratch.cut(now.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("most")), "least")
+        if not least.where("m <> most").take(1):
+            break
+        joined = now.join(least.drop("most"), "a")
+        moved = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = scratch.cut(map_rows(moved, _forest, shape), "links")
+        scratch.clear(keep=1)
+    now = least.select("a", F.col("m").alias("b"))
     while True:
-        now = scratch.cut(_star(_star(now, True), False), "links")
+        up = now.toDF("b", "top")
+        now = scratch.cut(now.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved")), "roots")
         scratch.clear(keep=1)
-        sign = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % F.lit(1000000007))).first())
-        if sign == seen:
+        if not now.where("moved").take(1):
             break
-        seen = sign
+        now = now.drop("moved")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from orientlake.llm.bloom import Bloom, may_hold, without_keys
+from orientlake.llm.bloom import Bloom, may_hold
 from orientlake.llm.common import Scratch, keep_columns, map_rows, mix, words_of
 from orientlake.llm.components import components
 from orientlake.session import shuffle_width
 
 SKETCH_BITS = 18  # counters of the rarity sketch: 2 MB at most in a task, whatever the corpus holds
 _CHUNK = 4096
+_BINS = 64
+_LIST_BLOCK = 2000  # a longer posting list is compared in blocks of about so many rows
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,20 +42,21 @@ def _describe(n: int):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            sizes, first, second, buckets = [], [], [], []
+            sizes, first, second, buckets, bins = [], [], [], [], []
             for text in batch["_text"]:
                 grams = ngram_set(text, n)
                 buckets.append(_bucket(grams))
                 sizes.append(len(grams))
+                bins.append(_bins(grams))
                 first.append(int(grams.sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mix(grams ^ _BASE).sum(dtype=np.uint64).astype(np.int64)))
             counts += np.bincount(np.concatenate(buckets), minlength=len(counts)) if buckets else 0
             k = len(sizes)
-            yield {"key": batch["_key"], "n": sizes, "f1": first, "f2": second, "chunk": [None] * k, "counts": [None] * k}
+            yield {"key": batch["_key"], "n": sizes, "f1": first, "f2": second, "bins": bins, "chunk": [None] * k, "counts": [None] * k}
         used = [c for c in range(len(counts) // _CHUNK) if counts[c * _CHUNK:(c + 1) * _CHUNK].any()]
         if used:
             k = len(used)
-            yield {"key": [None] * k, "n": [None] * k, "f1": [None] * k, "f2": [None] * k, "chunk": used,
+            yield {"key": [None] * k, "n": [None] * k, "f1": [None] * k, "f2": [None] * k, "bins": [None] * k, "chunk": used,
                    "counts": [counts[c * _CHUNK:(c + 1) * _CHUNK].astype("<i8").tobytes() for c in used]}
     return run
 
@@ -65,13 +70,19 @@ def _add_chunks(batches):
     yield {"chunk": list(sums), "counts": [x.tobytes() for x in sums.values()]}
 
 
-def _prefixes(n: int, percent: int, counts):
-    """Postings of each text's rarest grams: so many that any text alike shares one of them."""
+def _prefixes(n: int, percent: int, counts, skip: Bloom | None = None):
+    """Postings of each text's rarest grams: so many that any text alike shares one of them.
+
+    Texts whose key may be in ``skip`` are left out.
+    """
     def run(batches):
-        rarity = counts.value
+        rarity, bits = counts.value, skip.bits() if skip else None
         for batch in batches:
             out = {"gram": [], "key": [], "n": [], "place": []}
-            for key, text in zip(batch["_key"], batch["_text"]):
+            passed = may_hold(bits, np.array(batch["_hash"], np.int64).view(np.uint64)).tolist() if skip else itertools.repeat(False)
+            for key, text, left_out in zip(batch["_key"], batch["_text"], passed):
+                if left_out:
+                    continue
                 grams = ngram_set(text, n)
                 size = len(grams)
                 if not size:
@@ -95,6 +106,11 @@ def _prefixes(n: int, percent: int, counts):
     return run
 
 
+def _bins(grams: np.ndarray) -> bytes:
+    """Grams counted by range of their hash, each count at most 255; differences of capped counts are never larger."""
+    return np.minimum(np.bincount((grams >> np.uint64(10)).astype(np.int64) & (_BINS - 1), minlength=_BINS), 255).astype(np.uint8).tobytes()
+
+
 def _sets(n: int, bloom: Bloom):
     """Whole sets of the texts whose key may be wanted."""
     def run(batches):
@@ -117,43 +133,85 @@ def _verify(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are alike; each pair comes in once."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    rows = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return map_rows(rows.select("a", "b", "x", "y"), _verify(percent), f"a {kind}, b {kind}")
+def _within_lists(percent: int, nearest: bool):
+    """Pairs of one posting list from different components that pass the length, positional and suffix filters.
 
+    Rows come sorted by list. With ``nearest`` every row names one partner
+    only, the one whose counts by range of hash differ least; else all pairs
+    are given. Matrices are built for some rows of a list at a time.
+    """
+    def pairs(rows):
+        bins = rows["bins"].astype(np.int16)
+        n, place, c, key, own = (rows[x] for x in ("n", "place", "c", "key", "block"))
+        last = rows["j"][0]
+        right = np.flatnonzero(own == last)
+        left = np.arange(len(key)) if nearest else np.flatnonzero(own == rows["i"][0])
+        if nearest:
+            right = np.arange(len(key))
+        step = max(1, (1 << 21) // (len(right) * _BINS))
+        for s in range(0, len(left), step):
+            x = left[s:s + step, None]
+            y = right[None, :]
+            both = n[x] + n[y]
+            rest = np.minimum(n[x] - place[x], n[y] - place[y])
+            ok = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (
+                (100 + percent) * (np.minimum(place[x], place[y]) + rest) >= percent * both)
+            if not ok.any():
+                continue
+            far = np.abs(bins[left[s:s + step], None, :] - bins[None, right, :]).sum(2, dtype=np.int64)
+            ok &= (100 + percent) * far <= (100 - percent) * both
+            if nearest:
+                share = np.where(ok, far / both, np.inf)
+                pick = share.argmin(1)
+                some = np.flatnonzero(np.isfinite(share[np.arange(len(pick)), pick]))
+                yield key[left[s:s + step][some]], key[right[pick[some]]]
+            else:
+                p, q = np.nonzero(ok & ((key[x] < key[y]) | (own[x] != own[y])))
+                yield key[left[s:s + step][p]], key[right[q]]
 
-def _alike(percent: int):
-    """Length filter, and positional filter of a shared gram, for postings x and y."""
-    least = F.least("xn", "yn")
-    fits = 100 * least >= percent * F.greatest("xn", "yn")
-    rest = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
-    most = F.least("xp", "yp") + rest
-    return fits & ((100 + percent) * most >= percent * (F.col("xn") + F.col("yn")))
+    def run(batches):
+        names = ("gram", "i", "j", "block", "key", "n", "place", "c")
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch["gram"]:
+                    continue
+                now = {x: np.array(batch[x]) for x in names}
+                now["bins"] = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(-1, _BINS)
+                held = now if held is None else {x: np.concatenate([held[x], now[x]]) for x in held}
+            if held is None:
+                return
+            edge = np.flatnonzero((np.diff(held["gram"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
+            starts = [0, *edge.tolist()]
+            ends = [*edge.tolist(), len(held["gram"])]
+            whole = len(starts) if batch is None else len(starts) - 1
+            a, b = [], []
+            for s, e in zip(starts[:whole], ends[:whole]):
+                if e - s > 1:
+                    for p, q in pairs({x: v[s:e] for x, v in held.items()}):
+                        a.append(p)
+                        b.append(q)
+            if a:
+                yield {"key": np.concatenate(a), "other": np.concatenate(b)}
+            held = {x: v[starts[-1]:] for x, v in held.items()} if batch is not None else None
+    return run
 
 
-def _suffix(percent: int, bins: int = 64):
-    """Suffix filter: grams counted by range of their hash; sets that differ too much in these counts are not alike."""
+def _suffix(percent: int):
+    """Suffix filter: sets whose counts by range of hash differ too much are not alike."""
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y, u, v in zip(batch["a"], batch["b"], batch["x"], batch["y"]):
-                u, v = np.frombuffer(u, "<i4"), np.frombuffer(v, "<i4")
-                total = int(u.sum() + v.sum())
-                keep.append((100 + percent) * int(np.abs(u - v).sum()) <= (100 - percent) * total)
-            yield {"a": [p for p, k in zip(batch["a"], keep) if k], "b": [p for p, k in zip(batch["b"], keep) if k]}
+            if not batch["a"]:
+                continue
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, _BINS).astype(np.int64) for c in ("x", "y"))
+            total = np.array(batch["xn"], np.int64) + np.array(batch["yn"], np.int64)
+            keep = np.flatnonzero((100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * total)
+            yield {"a": [batch["a"][i] for i in keep], "b": [batch["b"][i] for i in keep]}
     return run
 
 
-def _bins(batches):
-    for batch in batches:
-        yield {"key": batch["key"], "bins": [
-            np.bincount((np.frombuffer(g, np.uint64) >> np.uint64(10)).astype(np.int64) & 63, minlength=64).astype("<i4").tobytes()
-            for g in batch["grams"]]}
-
-
-def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: int = 5, percent: int = 80) -> DataFrame:
+def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: int = 5, percent: int = 80,
+                  turns: int = 2) -> DataFrame:
     """Link texts whose n-gram sets have a Jaccard similarity of ``percent`` or more, and name their components.
 
     Works on run logs (``file``, ``value``) as they come from
@@ -166,10 +224,11 @@ def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: i
     is a count sketch over the whole corpus, whose size is fixed). Postings
     that share a gram pass the length and the positional filter, and the
     suffix filter before the whole sets are compared, once per pair. Pairs
-    are taken in rounds: neighbours in each posting list first, by length and
-    then by a hash; pairs inside one component are never formed after that,
-    so a large group of near copies costs links in proportion to its size.
-    The last round takes every pair that is left, so no link is lost.
+    are taken in rounds: neighbours in each posting list by length and by a
+    hash first, then ``turns`` times the nearest partner from another
+    component, one per text. Pairs inside one component are never formed after that, so a
+    large group of near copies costs links in proportion to its size. The last
+    round takes every pair that is left, so no link is lost.
 
     Null or empty text, or text without words: size 0, linked with nothing. A
     null key: component null, linked with nothing. Repeated rows: each is
@@ -180,72 +239,99 @@ def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: i
     scratch = Scratch(spark)
     docs = keep_columns(texts, key, text, where="texts").select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = docs.schema["_key"].dataType.simpleString()
-    told = scratch.cut(map_rows(docs, _describe(n), f"key {kind}, n bigint, f1 bigint, f2 bigint, chunk int, counts binary"), "ngrams")
+    told = scratch.cut(map_rows(docs, _describe(n), f"key {kind}, n bigint, f1 bigint, f2 bigint, bins binary, chunk int, counts binary"), "ngrams")
     rows = told.where("chunk is null").select("key", "n", "f1", "f2")
-    # the sketch: at most 2^SKETCH_BITS counters in chunks
+    shared = spark.sparkContext.broadcast(_rarity(told))
+    known = told.where("chunk is null and key is not null and n > 0")
+    classes = known.groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"), F.any_value("bins").alias("bins"))
+    copies = scratch.cut(known.select("key", "n", "f1", "f2").join(classes.drop("bins"), ["n", "f1", "f2"]).where("key <> rep").select(
+        F.col("key").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
+    heads = scratch.cut(classes.select(F.col("rep").alias("key"), "n", "bins"), "heads")
+
+    # texts that are surely no copy are taken at once, the others after an exact test
+    hashed, shape = docs.where("_key is not null").withColumn("_hash", F.xxhash64("_key")), f"gram bigint, key {kind}, n int, place int"
+    bloom = Bloom(copies.select(F.xxhash64("a")))
+    doubtful = bloom.filter(hashed, F.col("_hash"), True).join(copies.select(F.col("a").alias("_key")), "_key", "left_anti")
+    postings = map_rows(hashed, _prefixes(n, percent, shared, bloom), shape).union(map_rows(scratch.cut(doubtful, "doubtful"), _prefixes(n, percent, shared), shape))
+    lists = scratch.cut(_shared_postings(postings, percent, shuffle_width(spark)), "postings")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs that pass the suffix filter."""
+        both = pairs.select("a", "b").join(heads.toDF("a", "xn", "x"), "a").join(heads.toDF("b", "yn", "y"), "b")
+        return scratch.cut(map_rows(both.select("a", "b", "x", "y", "xn", "yn"), _suffix(percent), f"a {kind}, b {kind}"), "pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Whole sets of all texts in some pair; only these texts are taken apart again."""
+        ends = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+        bloom = Bloom(ends.select(F.xxhash64("k")))
+        return scratch.cut(map_rows(docs.withColumn("_hash", F.xxhash64("_key")), _sets(n, bloom), f"key {kind}, grams binary"), "sets")
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are alike; each pair comes in once."""
+        whole = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        return scratch.cut(map_rows(whole.select("a", "b", "x", "y"), _verify(percent), f"a {kind}, b {kind}"), "found")
+
+    def across(lists: DataFrame, found: DataFrame, nearest: bool) -> DataFrame:
+        """(key, other) from different components, out of the lists that hold several; long lists are dealt in blocks."""
+        label = components(found).toDF("key", "c")
+        own = lists.select("gram", "key", "n", "place").join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
+        within = Window.partitionBy("gram")
+        open_ = own.withColumns({"lo": F.min("c").over(within), "hi": F.max("c").over(within), "m": F.count(F.lit(1)).over(within)}).where("lo <> hi")
+        blocks = F.ceil(F.col("m") / _LIST_BLOCK).cast("int")
+        dealt = open_.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+            "gram", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "place", "c")
+        rows = dealt.join(heads.select("key", "bins"), "key").select("gram", "i", "j", "block", "key", "n", "place", "c", "bins")
+        placed = rows.repartition(shuffle_width(spark), "gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+        return map_rows(placed, _within_lists(percent, nearest), f"key {kind}, other {kind}")
+
+    # neighbours in the lists by length and by a hash, for every text the one with most shared grams
+    near = likely(_best(lists.select("key", F.col("by_size").alias("other")).union(lists.select("key", "by_hash"))))
+    sets = sets_of(near)
+    found = linked(near, sets)
+    # then the nearest partner from another component, so that components grow together as in a spanning forest
+    for _ in range(turns):
+        drawn = scratch.cut(across(lists, found, True), "drawn")
+        best = scratch.cut(_best(drawn), "best")
+        found = found.union(linked(best, sets_of(best)))
+        # a text without a partner now has none later, when components are larger
+        lists = lists.join(drawn.select("key").distinct(), "key", "left_semi")
+    # then every pair that shares a gram and is not in one component yet
+    rest = scratch.cut(across(lists, found, False).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "rest")
+    links = found.union(linked(rest, sets_of(rest))).union(copies)
+    group = components(links).toDF("key", "component_id")
+    out = rows.join(group, "key", "left")
+    return scratch.finish(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")), "groups")
+
+
+def _rarity(told: DataFrame) -> np.ndarray:
+    """The sketch: how many grams fall into each of 2^SKETCH_BITS buckets, from the sums of all tasks."""
     chunks = map_rows(told.where("chunk is not null").select("chunk", "counts").repartition(8, "chunk"), _add_chunks, "chunk int, counts binary")
     rarity = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in chunks.collect():
         rarity[r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], "<i8")
-    shared = spark.sparkContext.broadcast(rarity)
+    return rarity
 
-    known = rows.where("key is not null and n > 0")
-    classes = known.groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"))
-    copies = scratch.cut(known.join(classes, ["n", "f1", "f2"]).select("key", "rep").distinct(), "copies")
 
-    postings = map_rows(docs.where("_key is not null"), _prefixes(n, percent, shared), f"gram bigint, key {kind}, n int, place int")
+def _shared_postings(postings: DataFrame, percent: int, width: int) -> DataFrame:
+    """Postings whose gram another text of fitting length has too, with a neighbour by length and one by a hash."""
     by_size = Window.partitionBy("gram").orderBy("n", "key")
-    listed = postings.repartition(shuffle_width(spark), "gram").withColumns({
+    listed = postings.repartition(width, "gram").withColumns({
         "before": F.lag("key").over(by_size), "before_n": F.lag("n").over(by_size), "after_n": F.lead("n").over(by_size)})
-    near = (100 * F.col("before_n") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after_n"))
-    lists = scratch.cut(listed.where(near).withColumn("before", F.when(100 * F.col("before_n") >= percent * F.col("n"), F.col("before"))).drop("before_n", "after_n"), "postings")
+    fits = 100 * F.col("before_n") >= percent * F.col("n")
+    kept = listed.where(fits | (100 * F.col("n") >= percent * F.col("after_n"))).withColumn("by_size", F.when(fits, F.col("before")))
+    drawn = F.lag(F.struct("key", "n")).over(Window.partitionBy("gram").orderBy(F.xxhash64("key"), "key"))
+    other = kept.withColumn("drawn", drawn)
+    near = 100 * F.least(F.col("drawn.n"), F.col("n")) >= percent * F.greatest(F.col("drawn.n"), F.col("n"))
+    return other.select("gram", "key", "n", "place", "by_size", F.when(near, F.col("drawn.key")).alias("by_hash"))
 
-    def as_classes(pairs: DataFrame) -> DataFrame:
-        left, right = copies.toDF("a", "ra"), copies.toDF("b", "rb")
-        mapped = pairs.join(left, "a").join(right, "b").where("ra <> rb")
-        return mapped.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.sum("w").alias("w"))
 
-    first = lists.where("before is not null and before <> key").groupBy(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).agg(
+def _best(pairs: DataFrame) -> DataFrame:
+    """Pairs (a < b): for every text the partner that comes most often, from (key, other)."""
+    counted = pairs.where("other is not null and other <> key").groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(
         F.count(F.lit(1)).alias("w"))
-    first = scratch.cut(as_classes(first), "pairs")
-    wanted = first.select(F.col("a").alias("_key")).union(first.select("b")).distinct()
-    bloom = Bloom(wanted.select(F.xxhash64("_key")))
-    sets = map_rows(docs.withColumn("_hash", F.xxhash64("_key")), _sets(n, bloom), f"key {kind}, grams binary")
-    sets = scratch.cut(sets.join(wanted.withColumnRenamed("_key", "key"), "key", "left_semi"), "sets")
-    bins = map_rows(sets, _bins, f"key {kind}, bins binary")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        """For each text only the partner with most shared grams."""
-        return pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
-
-    # the postings of class representatives, for pairs between components
-    heads = scratch.cut(lists.join(wanted.withColumnRenamed("_key", "key"), "key", "left_semi").select("gram", "key", "n", "place").distinct(), "heads")
-    found = scratch.cut(_linked(best(first), sets, percent), "found")
-    for turn in range(2):
-        label = _labels(found)
-        own = heads.join(label, "key", "left").withColumn("c", F.coalesce("c", "key"))
-        by_hash = Window.partitionBy("gram").orderBy(F.xxhash64("key", F.lit(turn)), "key")
-        drawn = own.withColumns({"o": F.lag(F.struct("key", "n", "place", "c")).over(by_hash)}).where("o.c <> c").select(
-            F.least("key", "o.key").alias("a"), F.greatest("key", "o.key").alias("b"), F.col("n").alias("xn"), F.col("place").alias("xp"),
-            F.col("o.n").alias("yn"), F.col("o.place").alias("yp")).where(_alike(percent))
-        drawn = drawn.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-        found = scratch.cut(found.union(_linked(best(drawn), sets, percent)), "found")
-    label = _labels(found)
-    own = scratch.cut(heads.join(label, "key", "left").withColumn("c", F.coalesce("c", "key")), "open")
-    several = own.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    left = own.join(several, "gram", "left_semi")
-    x = left.select("gram", F.col("key").alias("a"), F.col("n").alias("xn"), F.col("place").alias("xp"), F.col("c").alias("xc"))
-    y = left.select("gram", F.col("key").alias("b"), F.col("n").alias("yn"), F.col("place").alias("yp"), F.col("c").alias("yc"))
-    rest = x.join(y, "gram").where((F.col("a") < F.col("b")) & (F.col("xc") != F.col("yc")) & _alike(percent)).select("a", "b").distinct()
-    rest = map_rows(rest.join(bins.toDF("a", "x"), "a").join(bins.toDF("b", "y"), "b").select("a", "b", "x", "y"), _suffix(percent), f"a {kind}, b {kind}")
-    links = scratch.cut(found.union(_linked(rest, sets, percent)), "found").union(copies.where("key <> rep").toDF("a", "b"))
-    group = components(links).toDF("key", "component_id")
-    out = rows.join(group, "key", "left")
-    return scratch.finish(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")), "groups")
-
-
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links).toDF("key", "c")
+    sides = counted.select("w", F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
+    best = sides.groupBy("x").agg(F.max_by("y", F.struct("w", "y")).alias("y"))
+    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def one_per_group(texts: DataFrame, key: str = "file", text: str = "value", n: int = 5, percent: int = 80) -> DataFrame:
@@ -255,11 +341,14 @@ def one_per_group(texts: DataFrame, key: str = "file", text: str = "value", n: i
     one key one stays (the one whose text sorts first, then any).
     """
     groups = similar_texts(texts, key, text, n, percent)
-    gone = groups.where(F.col("component_id") < F.col(key)).select(key)
-    repeated = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(key)
-    kept = without_keys(texts, key, gone)
-    single = without_keys(kept, key, repeated)
-    several = kept.join(repeated.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left_semi")
+    scratch = Scratch(texts.sparkSession)
+    gone = groups.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_k"), F.lit(True).alias("_gone"))
+    repeated = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_k", F.lit(False).alias("_gone"))
+    special = scratch.cut(gone.union(repeated).groupBy("_k").agg(F.max("_gone").alias("_gone")), "special")
+    bloom = Bloom(special.select(F.xxhash64("_k")))
+    # only rows that may be special are moved for the exact test
+    held = scratch.cut(bloom.filter(texts, F.xxhash64(F.col(key)), True).join(special, F.col(key) == F.col("_k"), "left"), "held")
     others = [c for c in texts.columns if c != key]
-    first = several.groupBy(key).agg(F.min(F.struct(F.col(text).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])).alias("_r"))
-    return single.unionByName(first.select(F.col(key), *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(others)]))
+    first = held.where("not _gone").groupBy(key).agg(F.min(F.struct(F.col(text).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])).alias("_r"))
+    return bloom.filter(texts, F.xxhash64(F.col(key)), False).unionByName(held.where("_gone is null").select(*texts.columns)).unionByName(
+        first.select(F.col(key), *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(others)]))
