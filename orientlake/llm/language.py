@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from orientlake.llm.common import Scratch, keep_columns, map_rows
 
 NONE = "und"  # no text, or no letter in it
-MOST_SLOT_BITS = 22  # the filter has at most 4 M slots, however many n-grams there are
+MOST_SLOT_BITS = 20  # the filter has at most 1 M slots, however many n-grams there are
 HASHES = 3
 _CACHE_WORDS = 200_000
 _FLUSH_WORDS = 200_000
@@ -20,12 +20,12 @@ _EDGES = ".,;:!?\"'()[]{}|*#%<>«»„“”-_=~`0123456789"
 
 
 def _grams(word: str) -> list[str]:
-    """Runs of 2 to 4 characters of a word between marks, and the whole word."""
+    """Runs of 2 to 4 characters of a word between blanks."""
     core = word.strip(_EDGES)[:60]
     if not core or not any(c.isalpha() for c in core):
         return []
     marked = f" {core} "
-    return [marked[i:i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)] + ["\x00" + core]
+    return [marked[i:i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
 
 
 def _slots(grams: list[str], bits: int) -> np.ndarray:
