@@ -15,7 +15,7 @@ from orientlake.session import shuffle_width
 
 SKETCH_BITS = 18  # counters of the rarity sketch: 2 MB at most in a task, whatever the corpus holds
 _CHUNK = 4096
-_BINS = 64
+_BINS, _FINE = 64, 256  # ranges of a hash in the filter inside lists, and in the one before sets are moved
 _LIST_BLOCK = 2000  # a longer posting list is compared in blocks of about so many rows
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,21 +42,22 @@ def _describe(n: int):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            sizes, first, second, buckets, bins = [], [], [], [], []
+            sizes, first, second, buckets, bins, fine = [], [], [], [], [], []
             for text in batch["_text"]:
                 grams = ngram_set(text, n)
                 buckets.append(_bucket(grams))
                 sizes.append(len(grams))
-                bins.append(_bins(grams))
+                bins.append(_bins(grams, _BINS))
+                fine.append(_bins(grams, _FINE))
                 first.append(int(grams.sum(dtype=np.uint64).astype(np.int64)))
                 second.append(int(mix(grams ^ _BASE).sum(dtype=np.uint64).astype(np.int64)))
             counts += np.bincount(np.concatenate(buckets), minlength=len(counts)) if buckets else 0
             k = len(sizes)
-            yield {"key": batch["_key"], "n": sizes, "f1": first, "f2": second, "bins": bins, "chunk": [None] * k, "counts": [None] * k}
+            yield {"key": batch["_key"], "n": sizes, "f1": first, "f2": second, "bins": bins, "fine": fine, "chunk": [None] * k, "counts": [None] * k}
         used = [c for c in range(len(counts) // _CHUNK) if counts[c * _CHUNK:(c + 1) * _CHUNK].any()]
         if used:
             k = len(used)
-            yield {"key": [None] * k, "n": [None] * k, "f1": [None] * k, "f2": [None] * k, "bins": [None] * k, "chunk": used,
+            yield {"key": [None] * k, "n": [None] * k, "f1": [None] * k, "f2": [None] * k, "bins": [None] * k, "fine": [None] * k, "chunk": used,
                    "counts": [counts[c * _CHUNK:(c + 1) * _CHUNK].astype("<i8").tobytes() for c in used]}
     return run
 
@@ -106,9 +107,9 @@ def _prefixes(n: int, percent: int, counts, skip: Bloom | None = None):
     return run
 
 
-def _bins(grams: np.ndarray) -> bytes:
+def _bins(grams: np.ndarray, ranges: int) -> bytes:
     """Grams counted by range of their hash, each count at most 255; differences of capped counts are never larger."""
-    return np.minimum(np.bincount((grams >> np.uint64(10)).astype(np.int64) & (_BINS - 1), minlength=_BINS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((grams >> np.uint64(10)).astype(np.int64) & (ranges - 1), minlength=ranges), 255).astype(np.uint8).tobytes()
 
 
 def _sets(n: int, bloom: Bloom):
@@ -203,9 +204,9 @@ def _suffix(percent: int):
         for batch in batches:
             if not batch["a"]:
                 continue
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, _BINS).astype(np.int64) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, _FINE).astype(np.int16) for c in ("x", "y"))
             total = np.array(batch["xn"], np.int64) + np.array(batch["yn"], np.int64)
-            keep = np.flatnonzero((100 + percent) * np.abs(x - y).sum(1) <= (100 - percent) * total)
+            keep = np.flatnonzero((100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * total)
             yield {"a": [batch["a"][i] for i in keep], "b": [batch["b"][i] for i in keep]}
     return run
 
@@ -239,14 +240,14 @@ def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: i
     scratch = Scratch(spark)
     docs = keep_columns(texts, key, text, where="texts").select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = docs.schema["_key"].dataType.simpleString()
-    told = scratch.cut(map_rows(docs, _describe(n), f"key {kind}, n bigint, f1 bigint, f2 bigint, bins binary, chunk int, counts binary"), "ngrams")
+    told = scratch.cut(map_rows(docs, _describe(n), f"key {kind}, n bigint, f1 bigint, f2 bigint, bins binary, fine binary, chunk int, counts binary"), "ngrams")
     rows = told.where("chunk is null").select("key", "n", "f1", "f2")
     shared = spark.sparkContext.broadcast(_rarity(told))
     known = told.where("chunk is null and key is not null and n > 0")
-    classes = known.groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"), F.any_value("bins").alias("bins"))
-    copies = scratch.cut(known.select("key", "n", "f1", "f2").join(classes.drop("bins"), ["n", "f1", "f2"]).where("key <> rep").select(
+    classes = known.groupBy("n", "f1", "f2").agg(F.min("key").alias("rep"), F.any_value("bins").alias("bins"), F.any_value("fine").alias("fine"))
+    copies = scratch.cut(known.select("key", "n", "f1", "f2").join(classes.drop("bins", "fine"), ["n", "f1", "f2"]).where("key <> rep").select(
         F.col("key").alias("a"), F.col("rep").alias("b")).distinct(), "copies")
-    heads = scratch.cut(classes.select(F.col("rep").alias("key"), "n", "bins"), "heads")
+    heads = scratch.cut(classes.select(F.col("rep").alias("key"), "n", "bins", "fine"), "heads")
 
     # texts that are surely no copy are taken at once, the others after an exact test
     hashed, shape = docs.where("_key is not null").withColumn("_hash", F.xxhash64("_key")), f"gram bigint, key {kind}, n int, place int"
@@ -257,7 +258,7 @@ def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: i
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs that pass the suffix filter."""
-        both = pairs.select("a", "b").join(heads.toDF("a", "xn", "x"), "a").join(heads.toDF("b", "yn", "y"), "b")
+        both = pairs.select("a", "b").join(heads.drop("bins").toDF("a", "xn", "x"), "a").join(heads.drop("bins").toDF("b", "yn", "y"), "b")
         return scratch.cut(map_rows(both.select("a", "b", "x", "y", "xn", "yn"), _suffix(percent), f"a {kind}, b {kind}"), "pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -291,12 +292,12 @@ def similar_texts(texts: DataFrame, key: str = "file", text: str = "value", n: i
     # then the nearest partner from another component, so that components grow together as in a spanning forest
     for _ in range(turns):
         drawn = scratch.cut(across(lists, found, True), "drawn")
-        best = scratch.cut(_best(drawn), "best")
+        best = likely(_best(drawn))
         found = found.union(linked(best, sets_of(best)))
         # a text without a partner now has none later, when components are larger
         lists = lists.join(drawn.select("key").distinct(), "key", "left_semi")
     # then every pair that shares a gram and is not in one component yet
-    rest = scratch.cut(across(lists, found, False).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "rest")
+    rest = likely(across(lists, found, False).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct())
     links = found.union(linked(rest, sets_of(rest))).union(copies)
     group = components(links).toDF("key", "component_id")
     out = rows.join(group, "key", "left")
