@@ -1,77 +1,130 @@
-"""Language of a text from n-gram filters whose bits are languages."""
+"""Language of a text from a table of n-grams whose bits are languages."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import zlib
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from orientlake.llm.common import Scratch, keep_columns, map_rows
+from orientlake.llm.common import Scratch, keep_columns, map_rows, mix
 
 NONE = "und"  # no text, or no letter in it
-MOST_SLOT_BITS = 20  # the filter has at most 1 M slots, however many n-grams there are
-HASHES = 3
+MOST_SENT = 1 << 21  # n-grams of a model that is sent to all tasks (16 bytes each); a larger one stays a table and is joined
 _CACHE_WORDS = 200_000
 _FLUSH_WORDS = 200_000
 _EDGES = ".,;:!?\"'()[]{}|*#%<>«»„“”-_=~`0123456789"
 
 
-def _grams(word: str) -> list[str]:
-    """Runs of 2 to 4 characters of a word between blanks."""
+def _core(word: str) -> str:
+    """The word between its edges; empty when no letter is in it."""
     core = word.strip(_EDGES)[:60]
-    if not core or not any(c.isalpha() for c in core):
-        return []
-    marked = f" {core} "
-    return [marked[i:i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
+    return core if any(c.isalpha() for c in core) else ""
 
 
-def _slots(grams: list[str], bits: int) -> np.ndarray:
-    """``HASHES`` slots for each n-gram, from two checksums."""
-    raw = [g.encode("utf-8", "surrogatepass") for g in grams]
-    a = np.array([zlib.crc32(r) for r in raw], np.uint64)
-    b = np.array([zlib.crc32(r, 0x5BD1E995) for r in raw], np.uint64) | np.uint64(1)
-    wide = (a << np.uint64(32)) | b
-    step = (wide * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    turn = ((wide ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
-    return np.stack([(step + np.uint64(i) * (turn | np.uint64(1))) & np.uint64((1 << bits) - 1) for i in range(HASHES)], 1).astype(np.int64)
+def _keys(texts: list[str], sizes=(2, 3, 4), starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of all runs of 2 to 4 characters inside each text (of the first ``starts`` places), and the texts they are from."""
+    lens = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(texts)), lens)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)
+    left = np.repeat(lens, lens) - place
+    if starts is not None:
+        left[place >= starts] = 0
+    codes = np.concatenate([codes, np.zeros(3, np.uint64)])
+    keys, owners = [], []
+    for n in sizes:
+        at = np.flatnonzero(left >= n)
+        got = codes[at]
+        for i in range(1, min(n, 3)):
+            got |= codes[at + i] << np.uint64(21 * i)
+        # three characters fit the 63 bits, the fourth is spread over all
+        got = mix(got)
+        keys.append(mix(got + codes[at + 3] * np.uint64(0x9E3779B97F4A7C15)) if n == 4 else got)
+        owners.append(owner[at])
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+
+
+def _is_long(word: str) -> bool:
+    """Words that are not remembered, such as sentences of a script without blanks."""
+    return len(word) > 60
+
+
+def _long_keys(word: str, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Keys of all n-grams of one long word, some at a time."""
+    core = _core(word)
+    marked = f" {core} " if core else ""
+    for i in range(0, len(marked), step):
+        yield _keys([marked[i:i + step + 3]], starts=step)[0]
+
+
+def _word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of many words, and the place of the word of each."""
+    cores = [_core(w) for w in words]
+    return _keys([f" {c} " if c else "" for c in cores])
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Filters of all languages as one array of masks: bit l of a slot belongs to language l."""
+    """Masks of all known n-grams: bit l of an n-gram belongs to language l.
+
+    ``keys`` (sorted) and ``masks`` hold them up to ``MOST_SENT`` n-grams;
+    beyond, ``table`` (gram, mask) does, in the folder of
+    ``spark.checkpoint.dir`` for as long as the model is wanted.
+    """
 
     languages: list[str]
-    bits: int
+    keys: np.ndarray
     masks: np.ndarray
     false_rate: np.ndarray
     usual: int
+    table: DataFrame | None = None
+
+    def masks_of(self, keys: np.ndarray) -> np.ndarray:
+        """The mask of each n-gram, 0 for unknown ones."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.masks[at], np.uint64(0))
 
     def languages_of(self, grams: list[str]) -> np.ndarray:
-        """Rows of 0 and 1: which languages' filters know each n-gram."""
-        if not grams or not self.languages:
-            return np.zeros((len(grams), len(self.languages)), np.int64)
-        found = np.bitwise_and.reduce(self.masks[_slots(grams, self.bits)], axis=1)
-        return ((found[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+        """Rows of 0 and 1: which languages know each n-gram (2 to 4 characters)."""
+        keys = np.array([_keys([g], sizes=(len(g),))[0][0] for g in grams], np.int64)
+        return ((self.masks_of(keys)[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+
+    def votes_of(self, keys: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+        """Known n-grams of each of ``n`` words per language."""
+        found = self.masks_of(keys)
+        known = np.flatnonzero(found)
+        found, owners = found[known], owners[known]
+        return np.stack([np.bincount(owners[((found >> np.uint64(i)) & np.uint64(1)).astype(bool)], minlength=n) for i in range(len(self.languages))], 1)
 
 
 def _count(batches):
     """n-grams of the training words per language, counted inside the task."""
     held: dict[int, Counter] = {}
 
+    def summed(number, keys, counts):
+        grams, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, counts, len(grams)).astype(np.int64)
+        return {"lang": np.full(len(grams), number), "gram": grams, "n": n}
+
     def told(number, words):
-        grams: Counter = Counter()
-        for w, n in words.items():
-            for g in _grams(w):
-                grams[g] += n
-        return {"lang": [number] * len(grams), "gram": list(grams), "n": list(grams.values())}
+        keys, owners = _word_keys(list(words))
+        return summed(number, keys, np.fromiter(words.values(), np.float64, len(words))[owners])
 
     for batch in batches:
         for number, text in zip(batch["_lang"], batch["_text"]):
             if text:
-                held.setdefault(number, Counter()).update(text.lower().split())
+                words = text.lower().split()
+                long = [w for w in words if _is_long(w)]
+                held.setdefault(number, Counter()).update(w for w in words if not _is_long(w))
+                for w in long:
+                    for keys in _long_keys(w):
+                        yield summed(number, keys, np.ones(len(keys)))
         for number, words in held.items():
             if len(words) > _FLUSH_WORDS:
                 yield told(number, words)
@@ -80,22 +133,24 @@ def _count(batches):
         yield told(number, words)
 
 
-def fit_languages(texts: DataFrame, text: str = "text", lang: str = "lang", least: int = 2, share: float = 0.2) -> LanguageModel:
-    """Fill the filters from all rows with a text and a language (64 languages at most).
+def fit_languages(texts: DataFrame, text: str = "text", lang: str = "lang", least: int = 2, share: float = 0.2, most_sent: int = MOST_SENT) -> LanguageModel:
+    """Take the n-grams of all rows with a text and a language (64 languages at most).
 
-    A language's filter gets the n-grams seen ``least`` times or more in it
-    whose relative frequency is at least ``share`` of the highest among all
-    languages, so that single foreign words do not count as its own.
+    A language gets the n-grams seen ``least`` times or more in it whose
+    relative frequency is at least ``share`` of the highest among all
+    languages, so that single foreign words do not count as its own. All of
+    them are kept, by 64-bit keys: up to ``most_sent`` in arrays, more in a table.
     """
     scratch = Scratch(texts.sparkSession)
     names = sorted(r[0] for r in texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang).distinct().limit(65).collect())
     if len(names) > 64:
         raise ValueError("a mask has 64 bits, so there can be no more languages")
+    empty = np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(names))
     if not names:
-        return LanguageModel([], 1, np.zeros(2, np.uint64), np.empty(0), 0)
+        return LanguageModel([], *empty, 0)
     number = F.array_position(F.lit(names), F.col(lang)).cast("int") - 1
     rows = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(number.alias("_lang"), F.col(text).alias("_text"))
-    grams = scratch.cut(map_rows(rows, _count, "lang int, gram string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    grams = scratch.cut(map_rows(rows, _count, "lang int, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     total = F.element_at(F.lit([float(totals.get(i, 1)) for i in range(len(names))]), F.col("lang") + 1)
     rates = grams.withColumn("rate", F.col("n") / total)
@@ -103,46 +158,40 @@ def fit_languages(texts: DataFrame, text: str = "text", lang: str = "lang", leas
     own = F.filter("all", lambda s: (s["n"] >= least) & (s["rate"] >= share * F.col("top")))
     mask = F.aggregate(own, F.lit(0).cast("bigint"), lambda m, s: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), s["lang"])))
     kept = scratch.cut(top.select("gram", mask.alias("mask")).where("mask <> 0"), "masks")
-    n_grams = kept.count()
-    bits = int(min(MOST_SLOT_BITS, max(10, int(np.ceil(np.log2(max(n_grams, 1) * 8))))))
-
-    def placed(batches):
-        for batch in batches:
-            slots = _slots(batch["gram"], bits)
-            yield {"slot": slots.ravel().tolist(), "mask": np.repeat(np.array(batch["mask"], np.int64), HASHES).tolist()}
-
-    filled = map_rows(kept, placed, "slot int, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    masks = np.zeros(1 << bits, np.uint64)
-    got = filled.toPandas()  # at most 2^MOST_SLOT_BITS small rows
-    masks[got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    full = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(names))])
+    usual = max(totals, key=lambda i: (totals[i], -i), default=0)
+    if kept.count() > most_sent:
+        scratch.clear(keep=1)
+        return LanguageModel(names, *empty, usual, kept)
+    got = kept.toArrow()  # at most `most_sent` pairs of numbers
+    keys, masks = (got[c].to_numpy() for c in ("gram", "mask"))
+    order = np.argsort(keys)
     scratch.clear()
-    return LanguageModel(names, bits, masks, full ** HASHES, max(totals, key=lambda i: (totals[i], -i)))
+    return LanguageModel(names, keys[order], masks[order].astype(np.int64).view(np.uint64), empty[2], usual)
+
+
+def _has_letter(text: str | None) -> bool:
+    return bool(text) and any(c.isalpha() for c in text)
 
 
 def _decide(sent):
     def run(batches):
         model = sent.value
         known: dict[str, int] = {}
-        votes = np.zeros((_CACHE_WORDS + 1, len(model.languages) + 1), np.int32)
+        votes = np.zeros((_CACHE_WORDS + 1, len(model.languages)), np.int32)
 
         def learn(words: list[str]):
-            grams, at = [], []
-            for w in words:
-                known[w] = len(known)
-                own = _grams(w)
-                grams += own
-                at += [known[w]] * len(own)
-                votes[known[w]] = 0
-            if grams:
-                found = model.languages_of(grams)
-                np.add.at(votes, np.array(at), np.concatenate([found, np.ones((len(grams), 1), np.int64)], 1).astype(np.int32))
+            start = len(known)
+            known.update(zip(words, range(start, start + len(words))))
+            if words and model.languages:
+                votes[start:start + len(words)] = model.votes_of(*_word_keys(words), len(words))
 
         for batch in batches:
             out = {"key": batch["_key"], "lang_pred": [], "score": []}
             for text in batch["_text"]:
-                words = text.lower().split() if text else []
-                sums = np.zeros(len(model.languages) + 1, np.int64)
+                words, long = [], []
+                for w in text.lower().split() if text else []:
+                    (long if _is_long(w) else words).append(w)
+                sums = np.zeros(len(model.languages), np.int64)
                 for i in range(0, len(words), 50_000):
                     part = words[i:i + 50_000]
                     new = list(dict.fromkeys(w for w in part if w not in known))
@@ -151,31 +200,96 @@ def _decide(sent):
                         new = list(dict.fromkeys(part))
                     learn(new)
                     sums += votes[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.int64)
+                for w in long if model.languages else []:
+                    for keys in _long_keys(w):
+                        sums += model.votes_of(keys, np.zeros(len(keys), np.int64), 1)[0]
                 name, score = NONE, 0.0
-                if model.languages and (sums[-1] or (text and any(c.isalpha() for c in text))):
-                    # n-grams of no language still pass a filter at its false positive rate
-                    true = np.maximum(sums[:-1] - sums[-1] * model.false_rate, 0.0) / (1.0 - np.minimum(model.false_rate, 0.999))
-                    best = int(np.argmax(true)) if true.max(initial=0.0) > 0 else model.usual
+                if model.languages and _has_letter(text):
+                    best = int(np.argmax(sums)) if sums.max() > 0 else model.usual
                     name = model.languages[best]
-                    score = float(true[best] / true.sum()) if true.sum() > 0 else 0.0
+                    score = float(sums[best] / sums.sum()) if sums.sum() > 0 else 0.0
                 out["lang_pred"].append(name)
                 out["score"].append(score)
             yield out
     return run
 
 
+def _hash(words: list[str]) -> np.ndarray:
+    import pandas as pd
+
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64)
+
+
+def _vocabulary(batches):
+    """Every word by its hash, those remembered once per task."""
+    seen: set[str] = set()
+    for batch in batches:
+        for text in batch["_text"]:
+            words = [w for w in dict.fromkeys(text.lower().split() if text else []) if w not in seen and _core(w)]
+            if words:
+                yield {"word": _hash(words), "text": words}
+            if len(seen) > _CACHE_WORDS:
+                seen.clear()
+            seen.update(w for w in words if not _is_long(w))
+
+
+def _grams_of_words(batches):
+    for batch in batches:
+        short = [i for i, w in enumerate(batch["text"]) if not _is_long(w)]
+        words = np.array(batch["word"], np.int64)
+        if short:
+            keys, owners = _word_keys([batch["text"][i] for i in short])
+            yield {"word": words[short][owners], "gram": keys, "n": np.ones(len(keys), np.int64)}
+        for i, w in enumerate(batch["text"]):
+            for keys in _long_keys(w) if _is_long(w) else ():
+                grams, n = np.unique(keys, return_counts=True)
+                yield {"word": np.full(len(grams), words[i]), "gram": grams, "n": n}
+
+
+def _words_of_rows(batches):
+    """The words of every text with their counts, and one row without a word that holds its key."""
+    row = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for key, text in zip(batch["_key"], batch["_text"]):
+            counts = Counter(w for w in (text.lower().split() if text else []) if _core(w))
+            words = _hash(list(counts)).tolist() if counts else []
+            yield {"row": [row] * (len(words) + 1), "key": [key] + [None] * len(words), "letter": [_has_letter(text)] + [None] * len(words),
+                   "word": [None] + words, "n": [None] + list(counts.values())}
+            row += 1
+
+
+def _joined(rows: DataFrame, model: LanguageModel, kind: str) -> DataFrame:
+    """The same answers as ``_decide`` from a model that is a table: words are joined with it once each, then the texts with the words."""
+    words = map_rows(rows.select("_text"), _vocabulary, "word bigint, text string").dropDuplicates(["word"])
+    grams = map_rows(words, _grams_of_words, "word bigint, gram bigint, n bigint")
+    every = range(len(model.languages))
+    votes = grams.join(model.table, "gram").groupBy("word").agg(F.array(*[
+        F.sum(F.when(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(i))) != 0, F.col("n")).otherwise(0)) for i in every]).alias("votes"))
+    told = map_rows(rows, _words_of_rows, f"row bigint, key {kind}, letter boolean, word bigint, n bigint")
+    sums = told.join(votes, "word", "left").groupBy("row").agg(
+        F.first("key", ignorenulls=True).alias("key"), F.first("letter", ignorenulls=True).alias("letter"),
+        F.array(*[F.coalesce(F.sum(F.col("n") * F.col("votes")[i]), F.lit(0)) for i in every]).alias("sums"))
+    total = F.aggregate("sums", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    best = F.when(total > 0, F.array_position("sums", F.array_max("sums")).cast("int")).otherwise(model.usual + 1)
+    name = F.when(F.col("letter"), F.element_at(F.lit(model.languages), best)).otherwise(NONE)
+    score = F.when(F.col("letter") & (total > 0), F.array_max("sums") / total).otherwise(0.0)
+    return sums.select("key", name.alias("lang_pred"), score.alias("score"))
+
+
 def identify_languages(texts: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Language of every whole text: ``key``, ``lang_pred`` and ``score`` (share of the winner among corrected counts).
+    """Language of every whole text: ``key``, ``lang_pred`` and ``score`` (share of the winner among all counts).
 
     General: the particle records hold no running text. Every n-gram of a
-    text asks one array of masks, which answers for all languages at once;
-    counts per language are corrected for the filters' false positives, and
-    the highest wins (ties: the first by name). Text with letters of which no
-    n-gram is known gets the language with most training text and score 0.
-    Null text and text without a letter: ``und``, score 0. Null keys and
-    repeated rows are judged like any row. No rows: an empty result.
+    text, inside words of any length, asks one table of masks, which answers
+    for all languages at once; the highest count wins (ties: the first by
+    name). Text with letters of which no n-gram is known gets the language
+    with most training text and score 0. Null text and text without a letter:
+    ``und``, score 0. Null keys and repeated rows are judged like any row. No
+    rows: an empty result.
     """
     rows = keep_columns(texts, key, text, where="texts").select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
+    if model.table is not None:
+        return _joined(rows, model, kind).withColumnRenamed("key", key)
     sent = texts.sparkSession.sparkContext.broadcast(model)
     return map_rows(rows, _decide(sent), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)

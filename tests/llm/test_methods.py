@@ -265,6 +265,20 @@ def test_language_masks_hold_every_gram(spark):
     assert (model.false_rate < 0.05).all()
 
 
+def test_language_keeps_every_gram_and_answers_the_same_from_a_table(spark):
+    rnd = random.Random(3)
+    spell = lambda first, n: "".join(chr(first + rnd.randrange(600)) for _ in range(n))
+    rows = [(i, " ".join(spell(0x4E00 + 700 * (i % 3), 12) for _ in range(160)), "abc"[i % 3]) for i in range(150)]
+    asked = [*rows, (None, rows[0][1], None), (None, rows[0][1], None), (900, "1 2 3", None), (901, None, None), (902, "пример", None), (903, rows[1][1].replace(" ", ""), None)]
+    train = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id int, text string, lang string")
+    asked = spark.createDataFrame(asked, "doc_id int, text string, lang string")
+    sent, joined = language.fit_languages(train), language.fit_languages(train, most_sent=1000)
+    assert sent.table is None and len(sent.keys) == joined.table.count() > 500_000
+    got = [sorted(map(tuple, language.identify_languages(asked, m).collect()), key=str) for m in (sent, joined)]
+    assert got[0] == got[1] and len(got[0]) == len(rows) + 6
+    assert all(pred == "abc"[k % 3] and score > 0.97 for k, pred, score in got[0] if k is not None and k < 150)
+
+
 def templates_by_hand(text):
     out, opened, number = [], True, False
     for token in re.findall(r"\n|[^\s]+", text):
