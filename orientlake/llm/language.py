@@ -21,7 +21,7 @@ _EDGES = ".,;:!?\"'()[]{}|*#%<>«»„“”-_=~`0123456789"
 
 def _core(word: str) -> str:
     """The word between its edges; empty when no letter is in it."""
-    core = word.strip(_EDGES)[:60]
+    core = word.strip(_EDGES)
     return core if any(c.isalpha() for c in core) else ""
 
 

@@ -279,6 +279,20 @@ def test_language_keeps_every_gram_and_answers_the_same_from_a_table(spark):
     assert all(pred == "abc"[k % 3] and score > 0.97 for k, pred, score in got[0] if k is not None and k < 150)
 
 
+def test_language_reads_words_of_any_length(spark):
+    rows = [("der die das und nicht " * 20, "de"), ("the of and which was " * 20, "en")]
+    model = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [(1, "1" * 30 + "." + "0" * 60 + "_the_of_and_which_was"), (2, "the" + "_" * 70 + "der_die_das_und_nicht"), (3, "x" * 70_000 + "nicht")]
+    asked = spark.createDataFrame(asked, "doc_id int, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(asked, model).collect()} == {1: "en", 2: "de", 3: "de"}
+    joined = language.fit_languages(spark.createDataFrame([("x" * 100 + "der", "de"), ("x" * 100 + "der", "de")], "text string, lang string"), most_sent=0)
+    assert joined.table.count() == len({f" {'x' * 100}der "[i:i + n] for n in (2, 3, 4) for i in range(106 - n)})
+    assert [r["lang_pred"] for r in language.identify_languages(asked, joined).collect()] == ["de"] * 3
+    for word in ("ab" * 100_000 + "c", "x" * 59 + "yz"):  # the slices of a long word hold each n-gram once
+        parts = np.concatenate(list(language._long_keys(word)))
+        assert sorted(parts) == sorted(language._word_keys([word])[0])
+
+
 def templates_by_hand(text):
     out, opened, number = [], True, False
     for token in re.findall(r"\n|[^\s]+", text):
