@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +15,23 @@ from orientlake.llm.common import Scratch, fold_of, keep_columns, map_rows
 
 GRAM_BITS = 24
 _CACHE_WORDS = 200_000
+_LONG = 200  # characters of a word from which on it is not remembered
 _EDGES = ".,;:!?\"'()[]{}|*#%<>-_=~`"
 
 
+def _feature(cut: str) -> int:
+    return zlib.crc32(cut.encode("utf-8", "surrogatepass")) & ((1 << GRAM_BITS) - 1)
+
+
+def _runs(marked: str, step: int = 1 << 14) -> Iterator[set[int]]:
+    """Hashed runs of 4 to 6 characters, those of some places at a time."""
+    for start in range(0, len(marked), step):
+        yield {_feature(c) for c in {marked[i:i + n] for n in (4, 5, 6) for i in range(start, min(start + step, len(marked) - n + 1))}}
+
+
 def word_grams(word: str) -> list[int]:
-    """Hashed features of a word: itself between marks, and its runs of 4 to 6 characters."""
-    marked = f"^{word.strip(_EDGES)[:200]}$"
+    """Hashed features of a whole word: itself between marks, and its runs of 4 to 6 characters."""
+    marked = f"^{word.strip(_EDGES)}$"
     cuts = {marked, *(marked[i:i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
     return [zlib.crc32(c.encode("utf-8", "surrogatepass")) & ((1 << GRAM_BITS) - 1) for c in cuts]
 
@@ -34,6 +47,11 @@ class _Grams:
         if not text:
             return out
         for w in set(text.lower().split()):
+            if len(w) > _LONG:
+                marked = f"^{w.strip(_EDGES)}$"
+                for got in chain([{_feature(marked)}], _runs(marked)):
+                    out.update(got if self.place is None else [self.place[g] for g in got if g in self.place])
+                continue
             got = self.known.get(w)
             if got is None:
                 got = word_grams(w)

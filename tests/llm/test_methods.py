@@ -226,6 +226,19 @@ def test_toxicity_held_out(spark):
     assert sum(p for p, t in held if t == 0) <= 0.03 * sum(t == 0 for _, t in held)
 
 
+def test_toxicity_reads_words_of_any_length(spark):
+    own = sorted({g for g in toxicity.word_grams("hateword")} - set(toxicity.word_grams("-")))
+    model = toxicity.ToxicityModel(np.array(own), np.full(len(own), 2.0), -5.0, 0.1)
+    rows = [(1, "a" * 300 + ".hateword-x"), (2, "x_" * 40_000 + "hateword"), (3, "a" * 300 + ".other-words"), (4, "hateword")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(texts, model).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert [r["doc_id"] for r in toxicity.without_toxic(texts, model).collect()] == [3]
+    for word in ("ab" * 20_000 + "c", "x" * 16_380 + "hateword"):
+        marked = f"^{word}$"
+        cuts = {marked, *(marked[i:i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
+        assert toxicity._Grams().of(word) == {toxicity._feature(c) for c in cuts} == set(toxicity.word_grams(word))
+
+
 def test_surrogates_keep_form_and_stay_apart(spark):
     people = ["Mr. Peter Smith", "Mrs. Anna Smith", "PETER SMITH", "Herr Peter Smith", "господин Иван Петров", "Maria Lopez"]
     rows = [(i, f"Call {p} at +1 (212) 555-0{i:03d} or p{i}.x@mail{i}.example.com, card 4111 1111 1111 1111, host 10.0.{i}.7!") for i, p in enumerate(people)]
