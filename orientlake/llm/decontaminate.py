@@ -17,6 +17,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb ml l s sec secs second
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?")
 _EDGES = ".,;:!?\"'()[]{}«»“”„|*"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_EXACT = np.uint64(1 << 32)
 
 
 class Templates:
@@ -78,7 +79,7 @@ class TemplateWords:
     """
 
     def __init__(self, ids, literal, number, unit, name, low):
-        self.ids, self.low = ids, low
+        self.ids, self.literal, self.low = ids, literal, low
         self.slot = number | unit | name
         self.first_slot = number | unit
         kinds = np.where(number, np.uint64(1), np.where(unit, np.uint64(2), np.uint64(3)))
@@ -89,7 +90,7 @@ class TemplateWords:
         return len(self.ids)
 
     def windows(self, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of every window of ``size`` words with at least ``least`` literal words."""
+        """Start and template hash of every window of ``size`` words with at least ``least`` literal words."""
         count = len(self) - size + 1
         if count <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -101,6 +102,14 @@ class TemplateWords:
         at = np.flatnonzero(full >= least)
         return at, mix(got[at])
 
+    def exact_windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and hash of every window of ``size`` words, all taken literally."""
+        count = max(len(self) - size + 1, 0)
+        got = np.full(count, _EXACT + np.uint64(size))
+        for i in range(size):
+            got = got * _BASE + self.literal[i:count + i]
+        return np.arange(count), mix(got)
+
     def values(self, at: int, size: int) -> list[str]:
         """Values of the slots of one window."""
         lead = [at] if self.first_slot[at] else []
@@ -111,38 +120,43 @@ def _passage_windows(size: int, shortest: int):
     def run(batches):
         templates = Templates()
         for batch in batches:
-            out = {"item": [], "at": [], "hash": [], "slots": [], "width": [], "words": []}
+            out = {"item": [], "at": [], "hash": [], "slots": [], "width": [], "words": [], "exact": []}
             for item, text in zip(batch["_item"], batch["_text"]):
                 words = templates.words(text)
                 width = min(size, len(words))
                 if width < shortest:
                     continue
-                for at, h in zip(*words.windows(width, (width + 1) // 2)):
+                starts, hashes = words.exact_windows(width)
+                exact = np.ones(len(starts), bool)
+                at, got = words.windows(width, (width + 1) // 2)
+                hashes[at], exact[at] = got, False
+                for at, h, e in zip(starts, hashes, exact):
                     out["item"].append(item)
                     out["at"].append(int(at))
                     out["hash"].append(int(h.astype(np.int64)))
-                    out["slots"].append(words.values(int(at), width))
+                    out["slots"].append([] if e else words.values(int(at), width))
                     out["width"].append(width)
                     out["words"].append(len(words))
+                    out["exact"].append(bool(e))
             yield out
     return run
 
 
-def _hits(bloom, widths: list[int]):
-    """Windows of the texts that may be windows of a passage, with the values of their slots."""
+def _hits(bloom, widths: list[tuple[int, bool]]):
+    """Windows of the texts that may be windows of a passage, with the values of their slots (none where all words are literal)."""
     def run(batches):
         bits, templates = bloom.bits(), Templates()
         for batch in batches:
             out = {"key": [], "start": [], "hash": [], "values": []}
             for key, text in zip(batch["_key"], batch["_text"]):
                 words = templates.words(text)
-                for width in widths:
-                    at, got = words.windows(width, (width + 1) // 2)
+                for width, exact in widths:
+                    at, got = words.exact_windows(width) if exact else words.windows(width, (width + 1) // 2)
                     for i in np.flatnonzero(may_hold(bits, got)):
                         out["key"].append(key)
                         out["start"].append(int(at[i]))
                         out["hash"].append(int(got[i].astype(np.int64)))
-                        out["values"].append(words.values(int(at[i]), width))
+                        out["values"].append([] if exact else words.values(int(at[i]), width))
             yield out
     return run
 
@@ -165,8 +179,9 @@ def find_passages(texts: DataFrame, passages: DataFrame, key: str = "file", text
     differs, so the passage was given other numbers, names or units.
 
     Passages shorter than a window are one window; under ``shortest`` words
-    they match nothing, and neither do windows of which fewer than half are
-    literal words. Windows are joined by hash; a Bloom filter of fixed size
+    they match nothing. Windows of a passage of which fewer than half are
+    literal words are found with the same values only, as all their words are
+    taken literally. Windows are joined by hash; a Bloom filter of fixed size
     lets only likely windows of the texts through, whatever the number of
     passages. Nulls in any column match nothing. Repeated rows add nothing.
     No rows on either side: an empty result.
@@ -178,8 +193,8 @@ def find_passages(texts: DataFrame, passages: DataFrame, key: str = "file", text
     key_kind, item_kind = docs.schema["_key"].dataType.simpleString(), items.schema["_item"].dataType.simpleString()
     scratch = Scratch(spark)
     known = scratch.cut(map_rows(items, _passage_windows(window, shortest),
-                         f"item {item_kind}, at int, hash bigint, slots array<string>, width int, words int").dropDuplicates(["item", "at"]), "windows")
-    widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most `window` numbers
+                         f"item {item_kind}, at int, hash bigint, slots array<string>, width int, words int, exact boolean").dropDuplicates(["item", "at"]), "windows")
+    widths = sorted((r["width"], r["exact"]) for r in known.select("width", "exact").distinct().collect())  # at most two for each number up to `window`
     bloom = Bloom(known.select("hash"))
     hits = map_rows(docs, _hits(bloom, widths), f"key {key_kind}, start int, hash bigint, values array<string>")
     joined = hits.join(known, "hash").where(F.size("values") == F.size("slots")).withColumn(

@@ -367,6 +367,17 @@ def test_passages_are_those_of_brute_force(spark):
     assert {(r["file"], r["template"], r["changed"]) for r in got} >= {(1, 10, False), (2, 10, True), (5, 20, False)}
 
 
+def test_passages_of_few_literal_words_are_found_verbatim(spark):
+    scores = "12 15 18 21 24 27 30 33 36 39 42 45 48 51 54"
+    names = "We met Anna Berta Carla Dora Emma Frida Gerda Hanna Ida Jana Klara Lena Mona there"
+    items = [(1, scores), (2, names), (3, "7 km 8 km 9 km sum 24 km")]
+    texts = [(10, f"intro {scores} outro"), (11, scores.replace("33", "34")), (12, f"Yesterday was fine. {names} again"), (13, names.replace("Gerda", "Gisela")),
+             (14, "The table:\n7 km 8 km 9 km sum 24 km"), (15, "7 km 8 km 9 km sum 25 km"), (16, "km " + scores.replace(" 39", "\n39"))]
+    got = decontaminate.find_passages(spark.createDataFrame(texts, "file bigint, value string"), spark.createDataFrame(items, "template bigint, value string")).collect()
+    assert {(r["file"], r["template"], r["changed"]) for r in got} == {(10, 1, False), (12, 2, False), (14, 3, False), (16, 1, False)}
+    assert {r["file"]: (r["start"], r["n_windows"], r["n_words"]) for r in got if r["template"] == 1} == {10: (1, 3, 15), 16: (1, 3, 15)}
+
+
 def test_passages_in_given_tables(spark, docs):
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
