@@ -174,9 +174,11 @@ def find_passages(texts: DataFrame, passages: DataFrame, key: str = "file", text
 
     Takes run logs (``file``, ``value``) against log templates, or any texts
     against any passages. One row per text and passage that share at least one
-    window of ``window`` template words at one offset, where the slots of all
-    shared windows map one to one; ``changed`` tells that a slot's value
-    differs, so the passage was given other numbers, names or units.
+    window of ``window`` template words at one offset. Windows with the same
+    values always count; those with changed values count when the slots of all
+    of them together map one to one. ``changed`` tells that a slot's value
+    differs in a window that counts, so the passage was given other numbers,
+    names or units.
 
     Passages shorter than a window are one window; under ``shortest`` words
     they match nothing. Windows of a passage of which fewer than half are
@@ -199,11 +201,17 @@ def find_passages(texts: DataFrame, passages: DataFrame, key: str = "file", text
     hits = map_rows(docs, _hits(bloom, widths), f"key {key_kind}, start int, hash bigint, values array<string>")
     joined = hits.join(known, "hash").where(F.size("values") == F.size("slots")).withColumn(
         "pairs", F.zip_with("slots", "values", lambda a, b: F.struct(a.alias("a"), b.alias("b")))).where(_one_to_one(F.col("pairs")))
-    # all windows of one alignment must agree; their pairs are at most the slots of the passage
-    aligned = joined.groupBy("key", "item", (F.col("start") - F.col("at")).alias("offset")).agg(
-        F.min("start").alias("start"), F.countDistinct("at").alias("n_windows"), (F.max(F.col("at") + F.col("width")) - F.min("at")).alias("n_words"),
-        F.flatten(F.collect_set("pairs")).alias("pairs")).where(_one_to_one(F.col("pairs")))
-    best = aligned.withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"])).groupBy("key", "item").agg(
+    def spans(condition) -> F.Column:
+        start, at, end = (F.when(condition, c) for c in (F.col("start"), F.col("at"), F.col("at") + F.col("width")))
+        return F.struct(F.min(start).alias("start"), F.size(F.collect_set(at)).alias("n_windows"), (F.max(end) - F.min(at)).alias("n_words"))
+
+    # unchanged windows stand by themselves, all changed windows of one alignment must agree; their pairs are at most the slots of the passage
+    same = F.forall("pairs", lambda p: p["a"] == p["b"])
+    aligned = joined.withColumn("same", same).groupBy("key", "item", (F.col("start") - F.col("at")).alias("offset")).agg(
+        spans(F.lit(True)).alias("all"), spans(F.col("same")).alias("unchanged"), F.flatten(F.collect_set(F.when(~F.col("same"), F.col("pairs")))).alias("pairs"))
+    agree = _one_to_one(F.col("pairs"))
+    told = aligned.select("key", "item", F.when(agree, F.col("all")).otherwise(F.col("unchanged")).alias("w"), (agree & (F.size("pairs") > 0)).alias("changed"))
+    best = told.where("w.n_windows > 0").select("key", "item", "w.*", "changed").groupBy("key", "item").agg(
         F.max_by(F.struct("start", "n_windows", "n_words", "changed"), F.struct("n_windows", -F.col("start"))).alias("b"))
     return scratch.finish(best.select(F.col("key").alias(key), F.col("item").alias(item), "b.start", "b.n_windows", "b.n_words", "b.changed"), "passages")
 

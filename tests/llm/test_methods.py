@@ -378,6 +378,19 @@ def test_passages_of_few_literal_words_are_found_verbatim(spark):
     assert {r["file"]: (r["start"], r["n_windows"], r["n_words"]) for r in got if r["template"] == 1} == {10: (1, 3, 15), 16: (1, 3, 15)}
 
 
+def test_passages_with_one_changed_repeated_value_are_found(spark):
+    filler = ["the old mill beside the quiet river was built by two brothers who came from far away", "and every spring the whole village walked up the hill to look at the wide green fields"]
+    item = f"in 1990 {filler[0]} and in 1990 {filler[1]} until 1990 came"
+    one, two = item.replace("until 1990", "until 1991"), item.replace("in 1990 the", "in 1985 the").replace("until 1990", "until 1991")
+    # changed windows that contradict each other (both values of 1990), without any unchanged one
+    torn = "on 5 May all of the old men of our town met 5 more men of the other town and on 5 June none came back to the fair again"
+    items = [(1, item), (2, torn)]
+    texts = [(10, item), (11, one), (12, two), (13, torn.replace("met 5", "met 6").replace("on 5 June", "on 7 June").replace("on 5 May", "on 8 May"))]
+    got = decontaminate.find_passages(spark.createDataFrame(texts, "file bigint, value string"), spark.createDataFrame(items, "template bigint, value string")).collect()
+    assert {(r["file"], r["template"]) for r in got} == {(10, 1), (11, 1), (12, 1)}
+    assert {r["file"]: r["changed"] for r in got} == {10: False, 11: True, 12: False}  # in 12 only the unchanged windows count
+
+
 def test_passages_in_given_tables(spark, docs):
     items = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
