@@ -34,6 +34,7 @@ SYLLABLES = {"latin": ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go
                        "sa", "se", "ta", "te", "to", "va", "ve", "vo"),
              "cyrillic": ("ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "до", "ка", "ко", "ла", "ле", "ма", "мо")}
 ENDINGS = {("m", "latin"): ("n", "s", "rd", "ck"), ("f", "latin"): ("n", "s", "rd", "ck"), ("m", "cyrillic"): ("нов", "ров"), ("f", "cyrillic"): ("нова", "рова")}
+_SAME_LENGTH = 4  # attempts after the first before surrogates get longer
 _WORD = r"\p{Lu}[\p{L}'’-]+"
 _MARK = r"(?<![\p{L}\p{N}])"
 
@@ -97,9 +98,9 @@ def _digest(secret: str, kind: Column, identity: Column, attempt: Column) -> Col
 
 
 def _like(value: Column, digest: Column) -> Column:
-    """Every letter by a letter of its case, every digit by a digit, everything else as it is."""
+    """Every letter by a letter of its case, every digit by a digit, everything else as it is; an empty text stays empty."""
     chars = F.split(value, "")
-    pieces = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.struct(
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.struct(
         F.element_at(chars, i).alias("c"), _number(F.concat(digest, F.sha2(F.concat(digest, (i / 32).cast("int").cast("string")), 512)), F.pmod(i, F.lit(32)), 65536).alias("r")))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -136,12 +137,14 @@ def _female(value: Column) -> Column:
         first.isin(*women), F.lit("f")).otherwise(F.lit("n"))
 
 
-def _name(gender: Column, script: Column, words: Column, digest: Column) -> Column:
-    """Given name and surname, or a surname alone, of the same gender and script."""
+def _name(gender: Column, script: Column, words: Column, digest: Column, longer: Column) -> Column:
+    """Given name and surname, or a surname alone, of the same gender and script; ``longer`` more syllables in the surname."""
+    places = F.slice(F.lit(list(range(7, 31))), F.lit(1), longer)
     out = None
     for s in ("latin", "cyrillic"):
         for g in ("m", "f"):
-            surname = F.initcap(F.concat(*[_pick(SYLLABLES[s], digest, i) for i in (1, 2, 3)], _pick(ENDINGS[(g, s)], digest, 4)))
+            more = F.array_join(F.transform(places, lambda i: F.element_at(F.lit(list(SYLLABLES[s])), _number(digest, i, len(SYLLABLES[s])) + 1)), "")
+            surname = F.initcap(F.concat(*[_pick(SYLLABLES[s], digest, i) for i in (1, 2, 3)], more, _pick(ENDINGS[(g, s)], digest, 4)))
             full = F.when(words > 1, F.concat_ws(" ", _pick(GIVEN[(g, s)], digest, 5), surname)).otherwise(surname)
             even = _number(digest, F.lit(6), 2) == (0 if g == "m" else 1)
             fits = (script == s) & ((gender == g) | ((gender == "n") & even))
@@ -150,7 +153,13 @@ def _name(gender: Column, script: Column, words: Column, digest: Column) -> Colu
 
 
 def _surrogate(secret: str) -> Column:
-    """The new identity for (kind, identity, attempt, gender, script, words)."""
+    """The new identity for (kind, identity, attempt, gender, script, words).
+
+    Attempts after ``_SAME_LENGTH`` are longer by one letter, digit or
+    syllable each, except for kinds whose length is fixed and whose space is
+    large (cards, network addresses, social security numbers, access keys).
+    """
+    longer = F.greatest(F.col("attempt") - _SAME_LENGTH, F.lit(0))
     kind, identity = F.col("kind"), F.col("identity")
     digest = _digest(secret, kind, identity, F.col("attempt"))
     at = F.instr(identity, "@")
@@ -158,20 +167,21 @@ def _surrogate(secret: str) -> Column:
     top = F.regexp_extract(host, r"(\.[^.]+)$", 1)
     # what is left of a host of the reserved example domains, and the top domain of any other
     kept = F.greatest(F.length(top), F.length(F.regexp_extract(host, r"((?:^|\.)example\.[a-z]+)$", 1)))
-    email = F.concat(_like(F.substr(identity, F.lit(1), at - 1), digest), F.lit("@"),
+    email = F.concat(_like(F.concat(F.substr(identity, F.lit(1), at - 1), F.repeat(F.lit("x"), longer)), digest), F.lit("@"),
                      _like(F.substr(host, F.lit(1), F.length(host) - kept), F.reverse(digest)), F.substr(host, F.length(host) - kept + 1))
     abroad = F.greatest(F.length(identity) - 10, F.lit(0))  # the country code stays
-    phone = F.concat(F.substr(identity, F.lit(1), abroad), _like(F.substr(identity, abroad + 1), digest))
+    phone = F.concat(F.substr(identity, F.lit(1), abroad), _like(F.concat(F.substr(identity, abroad + 1), F.repeat(F.lit("0"), longer)), digest))
     octets = F.array_join(F.array(*[(_number(digest, F.lit(i), 223 if i == 0 else 254) + 1).cast("string") for i in range(4)]), ".")
     return F.when(kind == "email", email).when(kind == "address", octets).when(kind == "card", _card(identity, digest)).when(
-        kind == "phone", phone).when(kind == "name", _name(F.col("gender"), F.col("script"), F.col("words"), digest)).when(
+        kind == "phone", phone).when(kind == "name", _name(F.col("gender"), F.col("script"), F.col("words"), digest, longer)).when(
         kind == "secret", F.when(identity.startswith("AKIA"), F.concat(F.lit("AKIA"), _like(F.substr(identity, F.lit(5)), digest))).otherwise(
-            F.when(identity.rlike("^[0-9a-f]+$"), F.substr(F.concat(digest, F.sha2(digest, 512)), F.lit(1), F.length(identity))).otherwise(_like(identity, digest)))).otherwise(
+            F.concat(F.when(identity.rlike("^[0-9a-f]+$"), F.substr(F.concat(digest, F.sha2(digest, 512)), F.lit(1), F.length(identity))).otherwise(_like(identity, digest)),
+                     _like(F.repeat(F.lit("x"), longer), F.reverse(digest))))).otherwise(
         _like(identity, digest))
 
 
 def written_like(kind: Column, value: Column, surrogate: Column) -> Column:
-    """The surrogate in the way the value was written: its marks between digits, its case, its title."""
+    """The surrogate in the way the value was written: its marks between digits, its case, its title. What is longer goes to the end."""
     size = F.length(value)
     places = F.sequence(F.lit(1), size)
     digits = F.array_join(F.transform(places, lambda i: F.when(F.substr(value, i, F.lit(1)).rlike(r"^\d$"), F.substr(
@@ -180,6 +190,8 @@ def written_like(kind: Column, value: Column, surrogate: Column) -> Column:
         F.substr(surrogate, i, F.lit(1)))), "")
     name = F.substr(value, F.length(_title(value)) + 1)
     plain = F.when(name == F.upper(name), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    digits = F.concat(digits, F.substr(surrogate, F.length(F.regexp_replace(value, r"\D", "")) + 1))
+    cased = F.concat(cased, F.substr(surrogate, size + 1))
     return F.when(kind.isin("card", "phone", "social"), digits).when(kind == "email", cased).when(kind == "name", F.concat(_title(value), plain)).otherwise(surrogate)
 
 
@@ -188,7 +200,8 @@ def assign_surrogates(found: DataFrame, secret: str, scratch: Scratch, most_roun
 
     ``found`` has (kind, value). In each round the identities without a
     surrogate make a proposal; one whose proposal is taken, is proposed by a
-    smaller identity as well, or occurs in the corpus tries again.
+    smaller identity as well, or occurs in the corpus tries again, later
+    with a longer surrogate, so that there is room for all.
     """
     value = F.col("value")
     tagged = found.select("kind", "value").distinct().select(

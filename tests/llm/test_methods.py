@@ -264,6 +264,28 @@ def test_surrogates_keep_form_and_stay_apart(spark):
     assert "PETER SMITH" in got[2]["value"]  # neither a title nor a given name in its usual case
 
 
+def test_surrogates_never_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.de") for a in letters for b in letters[:20]] + [("email", "user@example.com"), ("email", "User@Example.com"), ("secret", "######")]
+    rows += [("phone", f"+1 {i // 10:02d} {i % 10}0") for i in range(100)] + [("name", "Mr Smith"), ("name", "г-жа Иванова")]
+    scratch = Scratch(spark)
+    found = spark.createDataFrame(rows, "kind string, value string")
+    given = {(r["kind"], r["identity"]): r["surrogate"] for r in surrogates.assign_surrogates(found, "s", scratch).collect()}
+    assert len(given) == len(rows) - 1 and len({(k, v) for (k, _), v in given.items()}) == len(given)
+    assert not {(k, v) for (k, _), v in given.items()} & set(given)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.de", v) for (k, i), v in given.items() if k == "email" and i.endswith(".de"))
+    assert re.fullmatch(r"[a-z]{4}@example\.com", given["email", "user@example.com"]) and given["secret", "######"].startswith("######")
+    scratch.clear()
+    texts = [(i, f"mail {v.upper()} now") for i, (k, v) in enumerate(rows) if k == "email" and v.endswith(".de")] + [(-1, "to user@example.com, password=###### ok")]
+    got = {r["file"]: r["value"] for r in surrogates.replace_personal_data(spark.createDataFrame(texts, "file int, value string"), secret="s").collect()}
+    assert all(re.fullmatch(r"mail [a-z]+@[a-z]\.de now", got[i].lower()) for i, _ in texts if i >= 0)
+    assert len({v.lower() for v in got.values()}) == len(texts) and re.fullmatch(r"to [a-z]{4}@example\.com, password=######[a-z]+ ok", got[-1])
+    for attempt in (0, 4, 9):
+        name = spark.createDataFrame([("name", "smith", attempt, "m", "latin", 1)], "kind string, identity string, attempt int, gender string, script string, words int")
+        size = len(name.select(surrogates._surrogate("s")).first()[0])
+        assert size <= 8 if attempt < 5 else size >= 3 * 2 + 1 + 5 * 2
+
+
 def test_language_held_out(spark, docs):
     got = {r["doc_id"]: r for r in QUERIES["op8_language"](spark, SF).collect()}
     held = [(got[d]["lang_pred"], lang) for d, t, _, lang in docs if got[d]["held_out"] and t and lang]
