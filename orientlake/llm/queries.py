@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orientlake.llm import decontaminate, language, lattice_lm, mixing, ngram_join, surrogates, tokens, toxicity, url_filter, vector_forest
-from orientlake.llm.common import fold_of
+from orientlake.llm import conversations, decontaminate, language, lattice_lm, mixing, ngram_join, surrogates, tokens, toxicity, url_filter, vector_forest
+from orientlake.llm.common import Scratch, fold_of
 from orientlake.session import new_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,29 @@ def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.near_equal_images(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", cosine=0.98)
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Some turns dropped, emptied, cut, repeated or given to the user, by the checksum of their place."""
+    place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    text = F.coalesce("text", F.lit(" "))
+    kind = F.col("_kind")
+    return turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), text.alias("text"), (F.crc32(place.cast("binary")) % 20).alias("_kind")).where(
+        kind != 0).select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+                          F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+                          F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("_copy")).drop("_copy")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    scratch = Scratch(spark)
+    report = conversations.repair_report(conversations.plan_repair(damaged_turns(turns), "conv_id", "turn", "role", "text", scratch), "conv_id")
+    told = report.withColumnRenamed("conv_id", "_conv")
+    sums = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    every = turns.select("conv_id").distinct().join(told, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return scratch.finish(every.select("conv_id", *sums, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce(
+        "digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")), "repairs")
+
+
 ORACLES["op3_url_cascade"] = r"""
 with parts as (
   select page_id, coalesce(nullif(strpos(url, '://'), 0) + 3, null) as p, url from pages),
