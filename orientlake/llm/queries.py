@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orientlake.llm import conversations, decontaminate, language, lattice_lm, mixing, ngram_join, surrogates, tokens, toxicity, url_filter, vector_forest
+from orientlake.llm import conversations, decontaminate, language, lattice_lm, mixing, ngram_join, surrogates, token_alignment, tokens, toxicity, url_filter, vector_forest
 from orientlake.llm.common import Scratch, fold_of
 from orientlake.session import new_dir
 
@@ -95,6 +95,20 @@ def op10_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.near_equal_images(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", cosine=0.98)
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    import sentencepiece
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = token_alignment.align_texts(table(spark, sf_dir, "documents"), a, b, "doc_id", "text")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    scratch = Scratch(spark)
+    width = sentencepiece.SentencePieceProcessor(model_file=b).get_piece_size()
+    scored = token_alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("groups"), width, scratch)
+    return scratch.finish(scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "alignment")
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Some turns dropped, emptied, cut, repeated or given to the user, by the checksum of their place."""
     place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
