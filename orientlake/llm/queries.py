@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orientlake.llm import conversations, decontaminate, language, lattice_lm, mixing, ngram_join, surrogates, token_alignment, tokens, toxicity, url_filter, vector_forest
+from orientlake.llm import conversations, decontaminate, html_wrappers, language, lattice_lm, mixing, ngram_join, surrogates, token_alignment, tokens, toxicity, url_filter, vector_forest
 from orientlake.llm.common import Scratch, fold_of
 from orientlake.session import new_dir
 
@@ -109,6 +109,13 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scratch.finish(scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"), "alignment")
 
 
+@query
+def op12_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    found = html_wrappers.extract_articles(table(spark, sf_dir, "pages"), scratch, "page_id", "url", "html")
+    return scratch.finish(found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")), "articles")
+
+
 def damaged_turns(turns: DataFrame) -> DataFrame:
     """Some turns dropped, emptied, cut, repeated or given to the user, by the checksum of their place."""
     place = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))

@@ -48,8 +48,13 @@ def brute():
                 continue
             ra, rb = ranges(parts_a), ranges(parts_b)
             cuts = sorted({e for _, e in ra} & {e for _, e in rb})
-            groups = [(",".join(str(i) for i, (s, e) in zip(ids_a, ra) if lo < e <= hi) + "|" + ",".join(str(i) for i, (s, e) in zip(ids_b, rb) if lo < e <= hi))
-                      for lo, hi in zip([0, *cuts], cuts)]
+            sides = []
+            for ids, places in ((ids_a, ra), (ids_b, rb)):
+                inside = defaultdict(list)
+                for i, (_, e) in zip(ids, places):
+                    inside[bisect_left(cuts, e)].append(str(i))
+                sides.append(inside)
+            groups = [",".join(sides[0][k]) + "|" + ",".join(sides[1][k]) for k in range(len(cuts))]
             starts = [t for t, _ in rb]
             links = [(x, ids_b[k]) for x, (s, e) in zip(ids_a, ra) for k in range(bisect_right(starts, s) - 1, bisect_left(starts, e))]
             found.append((len(ids_a), len(ids_b), groups, links))
