@@ -37,6 +37,14 @@ def _join_parts(batches):
         yield {"part": [part], "bits": [raw.tobytes()]}
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case of its letters."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Bloom:
     """Which 64-bit hashes may be among those of a table; never wrong about a hash that is."""
 
@@ -54,13 +62,13 @@ class Bloom:
 
     def filter(self, rows: DataFrame, hashed: Column, inside: bool) -> DataFrame:
         """Rows whose hash may be in the table (``inside``), or those whose hash is surely not."""
-        sent, shape = self, rows.schema
-        marked = rows.withColumn("_bloom", hashed)
+        sent, shape, name = self, rows.schema, free_name(rows, "bloom")
+        marked = rows.withColumn(name, hashed)
 
         def run(batches):
             bits = sent.bits()
             for batch in batches:
-                i = batch.schema.get_field_index("_bloom")
+                i = batch.schema.get_field_index(name)
                 got = may_hold(bits, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
                 yield batch.remove_column(i).filter(pa.array(got == inside))
 
@@ -78,7 +86,8 @@ def without_keys(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     Rows that the filter clears stay where they are; only the others are
     shuffled for the exact test.
     """
-    keys = gone.toDF("_gone").where("_gone is not null").distinct()
-    bloom = Bloom(keys.select(F.xxhash64("_gone")))
-    doubtful = bloom.filter(rows, F.xxhash64(F.col(key)), True).join(keys, F.col(key) == F.col("_gone"), "left_anti")
+    name = free_name(rows, "gone")
+    keys = gone.toDF(name).where(F.col(name).isNotNull()).distinct()
+    bloom = Bloom(keys.select(F.xxhash64(name)))
+    doubtful = bloom.filter(rows, F.xxhash64(F.col(key)), True).join(keys, F.col(key) == F.col(name), "left_anti")
     return bloom.filter(rows, F.xxhash64(F.col(key)), False).unionByName(doubtful)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orientlake.llm.common import keep_columns
 from orientlake.operators.ordered import number_rows
-from orientlake.session import cut
+from orientlake.session import cut, shuffle_width
 
 _BANDS = 32
 
@@ -164,13 +164,32 @@ def word_count(text: str) -> Column:
 
 
 def repeat_rows(rows: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
-    """The rows of a table as often as ``copies`` says; rows that repeat a key share its copies in sum."""
-    per_key = mixed.groupBy(F.col(key).alias("_key")).agg(F.sum("copies").alias("_copies"))
+    """The rows of a table as often as ``copies`` says, with all their columns, whatever these are called.
+
+    Rows that repeat a key (null is a key like any other) share its copies in
+    sum, dealt evenly over them in the order of a hash of the whole row.
+    Only these rows are numbered: they are laid out by key and hash over all
+    tasks, numbered within a task, and the numbers of the tasks before are
+    added, so a key that a third of all rows have is no task of its own. A key
+    that ``mixed`` does not have is left out. No rows: an empty result.
+    """
     if rows.columns.count(key) != 1:
         raise ValueError(f"need one column {key}")
-    names = list(rows.columns)
-    own = Window.partitionBy(key).orderBy(*[F.col(c) for c in names])
-    placed = rows.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(key)), "_i": F.row_number().over(own)})
-    joined = placed.join(per_key, F.col(key).eqNullSafe(F.col("_key")))
-    times = F.expr("cast((_i * _copies) div _n - ((_i - 1) * _copies) div _n as int)")
-    return joined.withColumn("_t", F.explode(F.array_repeat(F.lit(0), times))).select(*names)
+    spark = rows.sparkSession
+    held = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    own = F.col(f"row.`{key}`")
+    per_key = cut(mixed.groupBy(F.col(key).alias("key")).agg(F.sum("copies").alias("copies")).join(
+        rows.groupBy(F.col(f"`{key}`").alias("of")).agg(F.count(F.lit(1)).alias("rows")), F.col("key").eqNullSafe(F.col("of"))).select("key", "copies", "rows"), "per-key")
+    met = held.join(per_key, own.eqNullSafe(F.col("key")))
+    single = met.where("rows = 1").select("row", F.col("copies").cast("int").alias("times"))
+    # equal rows may stand in any order
+    order = [F.col("key").asc_nulls_first(), F.col("hash").asc(), F.col("tie").asc()]
+    laid = cut(met.where("rows > 1").select("row", "key", "copies", "rows", F.xxhash64("row").alias("hash"), F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("tie"))
+               .repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "repeated")
+    task = F.shiftright("place", 33)
+    first = laid.groupBy("key", task.alias("task")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = first.select("key", "task", "first", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = laid.alias("r").join(before.alias("b"), F.col("r.key").eqNullSafe(F.col("b.key")) & (F.shiftright(F.col("r.place"), 33) == F.col("b.task"))).select(
+        "row", "copies", "rows", (F.col("place") - F.col("first") + F.col("before") + 1).alias("i"))
+    shared = numbered.select("row", F.expr("cast((i * copies) div rows - ((i - 1) * copies) div rows as int)").alias("times"))
+    return single.unionByName(shared).select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy")).select("row.*")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from orientlake.llm.bloom import Bloom, may_hold
+from orientlake.llm.bloom import Bloom, free_name, may_hold
 from orientlake.llm.common import Scratch, keep_columns, map_rows, mix, words_of
 from orientlake.llm.components import components
 from orientlake.session import shuffle_width
@@ -343,13 +343,15 @@ def one_per_group(texts: DataFrame, key: str = "file", text: str = "value", n: i
     """
     groups = similar_texts(texts, key, text, n, percent)
     scratch = Scratch(texts.sparkSession)
-    gone = groups.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_k"), F.lit(True).alias("_gone"))
-    repeated = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_k", F.lit(False).alias("_gone"))
-    special = scratch.cut(gone.union(repeated).groupBy("_k").agg(F.max("_gone").alias("_gone")), "special")
-    bloom = Bloom(special.select(F.xxhash64("_k")))
+    k, mark, count = (free_name(texts, name) for name in ("special", "dropped", "times"))
+    gone = groups.where(F.col("component_id") < F.col(key)).select(F.col(key).alias(k), F.lit(True).alias(mark))
+    repeated = groups.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(k)).agg(F.count(F.lit(1)).alias(count)).where(F.col(count) > 1).select(k, F.lit(False).alias(mark))
+    special = scratch.cut(gone.union(repeated).groupBy(k).agg(F.max(mark).alias(mark)), "special")
+    bloom = Bloom(special.select(F.xxhash64(k)))
     # only rows that may be special are moved for the exact test
-    held = scratch.cut(bloom.filter(texts, F.xxhash64(F.col(key)), True).join(special, F.col(key) == F.col("_k"), "left"), "held")
-    others = [c for c in texts.columns if c != key]
-    first = held.where("not _gone").groupBy(key).agg(F.min(F.struct(F.col(text).alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)])).alias("_r"))
-    return bloom.filter(texts, F.xxhash64(F.col(key)), False).unionByName(held.where("_gone is null").select(*texts.columns)).unionByName(
-        first.select(F.col(key), *[F.col(f"_r._c{i}").alias(c) for i, c in enumerate(others)]))
+    held = scratch.cut(bloom.filter(texts, F.xxhash64(F.col(key)), True).join(special, F.col(key) == F.col(k), "left"), "held")
+    others = [c for c in texts.columns if c != text]
+    row = F.struct(F.col(text).alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1)])
+    first = held.where(~F.col(mark)).select(F.col(key).alias("k"), row.alias("row")).groupBy("k").agg(F.min("row").alias("row")).select(
+        F.col("row.c0").alias(text), *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(others, 1)])
+    return bloom.filter(texts, F.xxhash64(F.col(key)), False).unionByName(held.where(F.col(mark).isNull()).select(*texts.columns)).unionByName(first)

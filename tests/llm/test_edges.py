@@ -13,7 +13,8 @@ LONG = " ".join(f"run{i} of many" for i in range(20000))
 LOGS = [(1, "one two three four five six", "a"), (1, "one two three four five six", "a"), (2, None, None), (3, "", "b"), (4, " \t\n ", "b"),
         (5, LONG, "c"), (6, LONG + " end", "c"), (None, "one two three four five six", None), (7, "too short", "a"), (8, "too short", "a")]
 # names that the operators use inside
-CLASH = ["_key", "n", "rep", "component", "score", "size", "rate", "gram", "chunk", "rule", "row", "text2"]
+CLASH = ["_key", "n", "rep", "component", "score", "size", "rate", "gram", "chunk", "rule", "row", "text2", "_bloom", "_gone", "_k", "_copies", "_n", "_i", "_t",
+         "bloom", "gone", "special", "dropped", "times", "key", "copies", "rows", "hash", "tie", "place", "_text", "k", "c", "c0", "copy"]
 
 
 def logs(spark, rows=LOGS):
@@ -59,6 +60,23 @@ def test_mix_sources(spark):
     assert back.count() == sum(r["copies"] for r in got)
 
 
+def test_rows_of_one_key_share_its_copies(spark):
+    rows = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else 1000 + i, f"text {i % 11}", "s") for i in range(900)]  # a third of all rows have no key
+    df = logs(spark, rows).repartition(5)
+    mixed = mixing.mix_sources(df.withColumn("n_particles", mixing.word_count("value") + F.coalesce("file", F.lit(3)) % 5), "file", "optics_group", "n_particles")
+    back = mixing.repeat_rows(df, mixed, "file")
+    want = {r["file"]: r["n"] for r in mixed.groupBy("file").agg(F.sum("copies").alias("n")).collect()}
+    got = {r["file"]: r["n"] for r in back.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {k: n for k, n in want.items() if n} and back.columns == df.columns
+    held = {k: sum(f == k for f, _, _ in rows) for k in want}
+    per_row = back.groupBy("file", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+    for r in per_row:  # dealt evenly
+        same = sum(f == r["file"] and v == r["value"] for f, v, _ in rows)
+        assert same * (want[r["file"]] // held[r["file"]]) <= r["n"] <= same * -(-want[r["file"]] // held[r["file"]])
+    again = mixing.repeat_rows(df.repartition(3, "value"), mixed, "file")
+    assert sorted(map(str, again.collect())) == sorted(map(str, back.collect()))
+
+
 def test_tokens(spark, tokenizer):
     folder = new_dir(spark, "test-tokens")
     tokens.write_tokens(logs(spark).withColumnRenamed("file", "pid"), folder, tokenizer)
