@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from orientlake.llm.common import Scratch, keep_columns, map_rows, mix
 
 NONE = "und"  # no text, or no letter in it
-MOST_SENT = 1 << 21  # n-grams of a model that is sent to all tasks (16 bytes each); a larger one stays a table and is joined
-_CACHE_WORDS = 200_000
+SLICE_BYTES = 1 << 24  # of a filter that one task holds at a time
+PROBES = 3  # slots of an n-gram
+FALSE_RATE = 0.01  # of the language with most n-grams
+_CACHE_WORDS = 100_000
 _FLUSH_WORDS = 200_000
 _EDGES = ".,;:!?\"'()[]{}|*#%<>«»„“”-_=~`0123456789"
 
@@ -67,40 +69,60 @@ def _word_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _keys([f" {c} " if c else "" for c in cores])
 
 
+def _slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return ((mix(keys.view(np.uint64) + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)) % np.uint64(slices)).astype(np.int64)
+
+
+def _slots(keys: np.ndarray, slots: int) -> Iterator[np.ndarray]:
+    """The slots of each n-gram inside its slice."""
+    low, high = keys.view(np.uint64) & np.uint64(0xFFFFFFFF), keys.view(np.uint64) >> np.uint64(32) | np.uint64(1)
+    for i in range(PROBES):
+        yield (mix(low + np.uint64(i) * high) % np.uint64(slots)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Masks of all known n-grams: bit l of an n-gram belongs to language l.
+    """Bit-sliced Bloom filters of all languages' n-grams: a slot holds one bit per language, in ``words`` 64-bit words.
 
-    ``keys`` (sorted) and ``masks`` hold them up to ``MOST_SENT`` n-grams;
-    beyond, ``table`` (gram, mask) does, in the folder of
-    ``spark.checkpoint.dir`` for as long as the model is wanted.
+    ``slots`` of each of ``slices`` slices follow from the counted n-grams.
+    ``parts`` (slice, bits) stays in the folder of ``spark.checkpoint.dir`` for
+    as long as the model is wanted. ``false_rate`` is measured: the share of
+    slots that a language has set, to the power of ``PROBES``.
     """
 
     languages: list[str]
-    keys: np.ndarray
-    masks: np.ndarray
+    words: int
+    slots: int
+    slices: int
     false_rate: np.ndarray
     usual: int
-    table: DataFrame | None = None
+    parts: DataFrame | None = None
 
-    def masks_of(self, keys: np.ndarray) -> np.ndarray:
-        """The mask of each n-gram, 0 for unknown ones."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.masks[at], np.uint64(0))
+    def part(self, number: int) -> np.ndarray:
+        """One slice: slots by words."""
+        raw = self.parts.where(F.col("slice") == number).select("bits").first()
+        return np.frombuffer(raw[0], "<u8").reshape(self.slots, self.words) if raw else np.zeros((self.slots, self.words), np.uint64)
 
     def languages_of(self, grams: list[str]) -> np.ndarray:
-        """Rows of 0 and 1: which languages know each n-gram (2 to 4 characters)."""
+        """Rows of 0 and 1: which languages may have each n-gram (2 to 4 characters); they surely have all of theirs."""
         keys = np.array([_keys([g], sizes=(len(g),))[0][0] for g in grams], np.int64)
-        return ((self.masks_of(keys)[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)).astype(np.int64)
+        out, of = np.zeros((len(grams), len(self.languages)), np.int64), _slice_of(keys, self.slices)
+        for i in range(self.slices):
+            mine = np.flatnonzero(of == i)
+            out[mine] = _bits(_masks(self.part(i), keys[mine]), len(self.languages))
+        return out
+
+
+def _masks(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """All languages that may have each n-gram at once: what its slots have in common."""
+    out = None
+    for at in _slots(keys, len(part)):
+        out = part[at] if out is None else out & part[at]
+    return out
+
 
-    def votes_of(self, keys: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-        """Known n-grams of each of ``n`` words per language."""
-        found = self.masks_of(keys)
-        known = np.flatnonzero(found)
-        found, owners = found[known], owners[known]
-        return np.stack([np.bincount(owners[((found >> np.uint64(i)) & np.uint64(1)).astype(bool)], minlength=n) for i in range(len(self.languages))], 1)
+def _bits(masks: np.ndarray, languages: int) -> np.ndarray:
+    return np.stack([(masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1) for i in range(languages)], 1).astype(np.int64)
 
 
 def _count(batches):
@@ -133,163 +155,158 @@ def _count(batches):
         yield told(number, words)
 
 
-def fit_languages(texts: DataFrame, text: str = "text", lang: str = "lang", least: int = 2, share: float = 0.2, most_sent: int = MOST_SENT) -> LanguageModel:
-    """Take the n-grams of all rows with a text and a language (64 languages at most).
+def _fill(slots: int, words: int):
+    """The slots of the slices in a task, from rows sorted by slice: (slice, gram, langs)."""
+    def run(batches):
+        now, part = None, None
+        for batch in batches:
+            number, keys = np.array(batch["slice"], np.int64), np.array(batch["gram"], np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                if number[s] != now:
+                    if now is not None:
+                        yield {"slice": [now], "bits": [part.tobytes()], "filled": [_bits(part, 64 * words).sum(0).tolist()]}
+                    now, part = int(number[s]), np.zeros((slots, words), np.uint64)
+                langs = batch["langs"][s:e]
+                owner = np.repeat(np.arange(e - s), [len(x) for x in langs])
+                lang = np.array([x for ls in langs for x in ls], np.int64)
+                bit = np.uint64(1) << (lang % 64).astype(np.uint64)
+                for at in _slots(keys[s:e], slots):
+                    np.bitwise_or.at(part, (at[owner], lang // 64), bit)
+        if now is not None:
+            yield {"slice": [now], "bits": [part.tobytes()], "filled": [_bits(part, 64 * words).sum(0).tolist()]}
+    return run
+
+
+def fit_languages(texts: DataFrame, text: str = "text", lang: str = "lang", least: int = 2, share: float = 0.2, false_rate: float = FALSE_RATE,
+                  slice_bytes: int = SLICE_BYTES) -> LanguageModel:
+    """Put the n-grams of all rows with a text and a language into one bit-sliced Bloom filter.
 
     A language gets the n-grams seen ``least`` times or more in it whose
     relative frequency is at least ``share`` of the highest among all
     languages, so that single foreign words do not count as its own. All of
-    them are kept, by 64-bit keys: up to ``most_sent`` in arrays, more in a table.
+    them go in: the number of slots follows from the largest language's count
+    and ``false_rate``, and what exceeds ``slice_bytes`` is dealt to further
+    slices by the n-gram, so the rate stays the same at every size.
+
+    Null texts and null languages are not learned from, empty texts have no
+    n-grams, repeated rows count each, and there may be any number of
+    languages. No rows: a model of no language, which answers ``und``.
     """
     scratch = Scratch(texts.sparkSession)
-    names = sorted(r[0] for r in texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang).distinct().limit(65).collect())
-    if len(names) > 64:
-        raise ValueError("a mask has 64 bits, so there can be no more languages")
-    empty = np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(names))
+    known = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    names = sorted(r[0] for r in known.select("_lang").distinct().collect())
     if not names:
-        return LanguageModel([], *empty, 0)
-    number = F.array_position(F.lit(names), F.col(lang)).cast("int") - 1
-    rows = texts.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(number.alias("_lang"), F.col(text).alias("_text"))
+        return LanguageModel([], 1, 1, 1, np.zeros(0), 0)
+    rows = known.select((F.array_position(F.lit(names), F.col("_lang")).cast("int") - 1).alias("_lang"), "_text")
     grams = scratch.cut(map_rows(rows, _count, "lang int, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     total = F.element_at(F.lit([float(totals.get(i, 1)) for i in range(len(names))]), F.col("lang") + 1)
-    rates = grams.withColumn("rate", F.col("n") / total)
-    top = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("all"))  # at most 64 entries
-    own = F.filter("all", lambda s: (s["n"] >= least) & (s["rate"] >= share * F.col("top")))
-    mask = F.aggregate(own, F.lit(0).cast("bigint"), lambda m, s: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), s["lang"])))
-    kept = scratch.cut(top.select("gram", mask.alias("mask")).where("mask <> 0"), "masks")
+    # one entry per language that has the n-gram
+    top = grams.withColumn("rate", F.col("n") / total).groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "n", "rate")).alias("all"))
+    own = F.transform(F.filter("all", lambda s: (s["n"] >= least) & (s["rate"] >= share * F.col("top"))), lambda s: s["lang"])
+    kept = scratch.cut(top.select("gram", own.alias("langs")).where(F.size("langs") > 0), "own")
+    most = kept.select(F.explode("langs").alias("lang")).groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    words = -(-len(names) // 64)
+    needed = math.ceil(-PROBES * most / math.log(1 - false_rate ** (1 / PROBES))) + 64
+    slices = -(-needed * words * 8 // slice_bytes)
+    slots = -(-needed // slices)
+    dealt = map_rows(kept, lambda batches: ({"slice": _slice_of(np.array(b["gram"], np.int64), slices), "gram": b["gram"], "langs": b["langs"]} for b in batches),
+                     "slice bigint, gram bigint, langs array<int>")
+    parts = scratch.cut(map_rows(dealt.repartition(slices, "slice").sortWithinPartitions("slice"), _fill(slots, words), "slice bigint, bits binary, filled array<bigint>"), "filter")
+    scratch.clear(keep=1)
+    filled = np.zeros(64 * words)
+    for r in parts.select(*[F.sum(F.col("filled")[i]).alias(f"f{i}") for i in range(len(names))]).collect():
+        filled[:len(names)] = [x or 0 for x in r]
     usual = max(totals, key=lambda i: (totals[i], -i), default=0)
-    if kept.count() > most_sent:
-        scratch.clear(keep=1)
-        return LanguageModel(names, *empty, usual, kept)
-    got = kept.toArrow()  # at most `most_sent` pairs of numbers
-    keys, masks = (got[c].to_numpy() for c in ("gram", "mask"))
-    order = np.argsort(keys)
-    scratch.clear()
-    return LanguageModel(names, keys[order], masks[order].astype(np.int64).view(np.uint64), empty[2], usual)
+    return LanguageModel(names, words, slots, slices, (filled[:len(names)] / (slots * slices)) ** PROBES, usual, parts)
 
 
 def _has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def _decide(sent):
+def _votes(sent, model_words: int, languages: int, number: int, slices: int):
+    """Of every text: its n-grams that belong to one slice of the filter, and in how many of them each language answers."""
     def run(batches):
-        model = sent.value
+        part = sent.value
         known: dict[str, int] = {}
-        votes = np.zeros((_CACHE_WORDS + 1, len(model.languages)), np.int32)
-
-        def learn(words: list[str]):
-            start = len(known)
-            known.update(zip(words, range(start, start + len(words))))
-            if words and model.languages:
-                votes[start:start + len(words)] = model.votes_of(*_word_keys(words), len(words))
+        votes = np.zeros((_CACHE_WORDS + 1, languages + 1), np.int32)
+
+        def told(keys: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+            if slices > 1:
+                mine = _slice_of(keys, slices) == number
+                keys, owners = keys[mine], owners[mine]
+            masks = _masks(part, keys)
+            some = np.flatnonzero(masks.any(1))
+            masks, held = masks[some], owners[some]
+            counts = [np.bincount(held[((masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).astype(bool)], minlength=n) for i in range(languages)]
+            return np.stack([np.bincount(owners, minlength=n), *counts], 1)
 
         for batch in batches:
-            out = {"key": batch["_key"], "lang_pred": [], "score": []}
+            out = {"row": batch["_row"], "key": batch["_key"], "letter": [_has_letter(t) for t in batch["_text"]], "votes": []}
             for text in batch["_text"]:
                 words, long = [], []
                 for w in text.lower().split() if text else []:
                     (long if _is_long(w) else words).append(w)
-                sums = np.zeros(len(model.languages), np.int64)
+                sums = np.zeros(languages + 1, np.int64)
                 for i in range(0, len(words), 50_000):
-                    part = words[i:i + 50_000]
-                    new = list(dict.fromkeys(w for w in part if w not in known))
+                    some = words[i:i + 50_000]
+                    new = list(dict.fromkeys(w for w in some if w not in known))
                     if len(known) + len(new) > _CACHE_WORDS:
                         known.clear()
-                        new = list(dict.fromkeys(part))
-                    learn(new)
-                    sums += votes[np.fromiter(map(known.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.int64)
-                for w in long if model.languages else []:
+                        new = list(dict.fromkeys(some))
+                    start = len(known)
+                    known.update(zip(new, range(start, start + len(new))))
+                    if new:
+                        votes[start:start + len(new)] = told(*_word_keys(new), len(new))
+                    sums += votes[np.fromiter(map(known.__getitem__, some), np.int64, len(some))].sum(0, dtype=np.int64)
+                for w in long:
                     for keys in _long_keys(w):
-                        sums += model.votes_of(keys, np.zeros(len(keys), np.int64), 1)[0]
-                name, score = NONE, 0.0
-                if model.languages and _has_letter(text):
-                    best = int(np.argmax(sums)) if sums.max() > 0 else model.usual
-                    name = model.languages[best]
-                    score = float(sums[best] / sums.sum()) if sums.sum() > 0 else 0.0
-                out["lang_pred"].append(name)
-                out["score"].append(score)
+                        sums += told(keys, np.zeros(len(keys), np.int64), 1)[0]
+                out["votes"].append(sums.tolist())
             yield out
     return run
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    import pandas as pd
-
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False).view(np.int64)
-
-
-def _vocabulary(batches):
-    """Every word by its hash, those remembered once per task."""
-    seen: set[str] = set()
-    for batch in batches:
-        for text in batch["_text"]:
-            words = [w for w in dict.fromkeys(text.lower().split() if text else []) if w not in seen and _core(w)]
-            if words:
-                yield {"word": _hash(words), "text": words}
-            if len(seen) > _CACHE_WORDS:
-                seen.clear()
-            seen.update(w for w in words if not _is_long(w))
-
-
-def _grams_of_words(batches):
-    for batch in batches:
-        short = [i for i, w in enumerate(batch["text"]) if not _is_long(w)]
-        words = np.array(batch["word"], np.int64)
-        if short:
-            keys, owners = _word_keys([batch["text"][i] for i in short])
-            yield {"word": words[short][owners], "gram": keys, "n": np.ones(len(keys), np.int64)}
-        for i, w in enumerate(batch["text"]):
-            for keys in _long_keys(w) if _is_long(w) else ():
-                grams, n = np.unique(keys, return_counts=True)
-                yield {"word": np.full(len(grams), words[i]), "gram": grams, "n": n}
-
-
-def _words_of_rows(batches):
-    """The words of every text with their counts, and one row without a word that holds its key."""
-    row = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        for key, text in zip(batch["_key"], batch["_text"]):
-            counts = Counter(w for w in (text.lower().split() if text else []) if _core(w))
-            words = _hash(list(counts)).tolist() if counts else []
-            yield {"row": [row] * (len(words) + 1), "key": [key] + [None] * len(words), "letter": [_has_letter(text)] + [None] * len(words),
-                   "word": [None] + words, "n": [None] + list(counts.values())}
-            row += 1
-
-
-def _joined(rows: DataFrame, model: LanguageModel, kind: str) -> DataFrame:
-    """The same answers as ``_decide`` from a model that is a table: words are joined with it once each, then the texts with the words."""
-    words = map_rows(rows.select("_text"), _vocabulary, "word bigint, text string").dropDuplicates(["word"])
-    grams = map_rows(words, _grams_of_words, "word bigint, gram bigint, n bigint")
-    every = range(len(model.languages))
-    votes = grams.join(model.table, "gram").groupBy("word").agg(F.array(*[
-        F.sum(F.when(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(i))) != 0, F.col("n")).otherwise(0)) for i in every]).alias("votes"))
-    told = map_rows(rows, _words_of_rows, f"row bigint, key {kind}, letter boolean, word bigint, n bigint")
-    sums = told.join(votes, "word", "left").groupBy("row").agg(
-        F.first("key", ignorenulls=True).alias("key"), F.first("letter", ignorenulls=True).alias("letter"),
-        F.array(*[F.coalesce(F.sum(F.col("n") * F.col("votes")[i]), F.lit(0)) for i in every]).alias("sums"))
-    total = F.aggregate("sums", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    best = F.when(total > 0, F.array_position("sums", F.array_max("sums")).cast("int")).otherwise(model.usual + 1)
-    name = F.when(F.col("letter"), F.element_at(F.lit(model.languages), best)).otherwise(NONE)
-    score = F.when(F.col("letter") & (total > 0), F.array_max("sums") / total).otherwise(0.0)
-    return sums.select("key", name.alias("lang_pred"), score.alias("score"))
-
-
 def identify_languages(texts: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Language of every whole text: ``key``, ``lang_pred`` and ``score`` (share of the winner among all counts).
+    """Language of every whole text: ``key``, ``lang_pred`` and ``score`` (share of the winner among all corrected counts).
 
     General: the particle records hold no running text. Every n-gram of a
-    text, inside words of any length, asks one table of masks, which answers
-    for all languages at once; the highest count wins (ties: the first by
-    name). Text with letters of which no n-gram is known gets the language
-    with most training text and score 0. Null text and text without a letter:
-    ``und``, score 0. Null keys and repeated rows are judged like any row. No
-    rows: an empty result.
+    text, inside words of any length, asks the bit-sliced filter, which
+    answers for all languages at once. Of the n-grams that a language answers
+    for, as many as its false-positive rate lets expect are taken off again
+    (hits = own + rate * (all - own)); hits within three standard errors of
+    that are none. The highest rest wins (ties: the first by name). Each slice of the filter is sent to the tasks in turn and adds
+    its counts.
+
+    Text with letters of which no n-gram is left gets the language with most
+    training text and score 0. Null text and text without a letter: ``und``,
+    score 0. Null keys and repeated rows are judged like any row. No rows: an
+    empty result.
     """
-    rows = keep_columns(texts, key, text, where="texts").select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = keep_columns(texts, key, text, where="texts").select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     kind = rows.schema["_key"].dataType.simpleString()
-    if model.table is not None:
-        return _joined(rows, model, kind).withColumnRenamed("key", key)
-    sent = texts.sparkSession.sparkContext.broadcast(model)
-    return map_rows(rows, _decide(sent), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    every = len(model.languages)
+    if not every:
+        return rows.select(F.col("_key").alias(key), F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if model.slices > 1:  # several passes need the same row numbers
+        rows = Scratch(texts.sparkSession).cut(rows, "texts")
+    told = None
+    for i in range(model.slices):
+        sent = texts.sparkSession.sparkContext.broadcast(model.part(i))
+        share = map_rows(rows, _votes(sent, model.words, every, i, model.slices), f"row bigint, key {kind}, letter boolean, votes array<bigint>")
+        told = share if told is None else told.unionByName(share)
+    if model.slices > 1:
+        told = told.groupBy("row").agg(F.first("key").alias("key"), F.first("letter").alias("letter"), F.array(*[F.sum(F.col("votes")[i]) for i in range(every + 1)]).alias("votes"))
+    asked = F.col("votes")[0]
+    own = F.zip_with(F.slice("votes", 2, every), F.lit([float(r) for r in model.false_rate]), 
+                     lambda v, r: F.when(v > r * asked + 3 * F.sqrt(r * (1 - r) * asked), (v - r * asked) / (1 - r + 1e-12)).otherwise(0.0))
+    sums = told.select("key", "letter", own.alias("own"))
+    total = F.aggregate("own", F.lit(0.0), lambda a, b: a + b)
+    best = F.when(total > 0, F.array_position("own", F.array_max("own")).cast("int")).otherwise(model.usual + 1)
+    name = F.when(F.col("letter"), F.element_at(F.lit(model.languages), best)).otherwise(NONE)
+    score = F.when(F.col("letter") & (total > 0), F.array_max("own") / total).otherwise(0.0)
+    return sums.select(F.col("key").alias(key), name.alias("lang_pred"), score.alias("score"))
