@@ -15,8 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-GOLDEN_TURN = math.pi * (3 - math.sqrt(5))
-
 
 def cone_count(order: int) -> int:
     return 12 * 4 ** order
@@ -143,49 +141,47 @@ def local_grid_array(distance: float, step: float) -> Column:
         F.get(off, F.pmod(c, F.lit(n)).cast("int")).alias("dpsi")))
 
 
+def ball_cell(spacing: float) -> float:
+    """Edge of the cubic cells of the ball grid, in units of half-turn sines."""
+    return math.radians(spacing) / math.sqrt(3)
+
+
 @lru_cache(maxsize=8)
 def ball_grid(distance: float, spacing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation vectors [N, 3] in a ball around the identity, and their Haar weights.
-
-    The ball is cut into shells of equal volume. A point's index gives its
-    shell by the running number of points, and its place in the shell gives
-    its direction on a golden-angle spiral. A shell's weight is its exact
-    Haar volume, which grows with angle as ``angle - sin(angle)``; all weights
-    add up to the volume of the cap.
+    """Unit quaternions [N, 4] (scalar first) of all rotations of a lattice within ``distance``, and their Haar weights.
+
+    A rotation by angle t about axis u has the vector sin(t / 2) u. The
+    vectors of the grid are a body-centred cubic lattice around zero, so
+    neighbours are ``spacing`` apart near the identity, and on this vector the
+    Haar measure has density 1 / sqrt(1 - |q|^2). Weights follow it and add up
+    to the fixed total of 4 pi^2 (1 - cos distance). Points come in the order
+    of z, y, x.
     """
-    top, gap = np.radians([distance, spacing])
-    shells = max(1, math.ceil(top / gap))
-    radius = top * np.cbrt((np.arange(shells) + 0.5) / shells)
-    count = np.maximum(8, np.ceil(4 * math.pi * (radius / gap) ** 2)).astype(np.int64)
-    last = np.cumsum(count)
-    index = np.arange(last[-1])
-    shell = np.searchsorted(last, index, side="right")
-    place = index - (last - count)[shell]
-    z = 1 - (2 * place + 1) / count[shell]
-    turn = GOLDEN_TURN * (place + shell)
-    unit = np.stack([np.cos(turn) * np.sqrt(1 - z * z), np.sin(turn) * np.sqrt(1 - z * z), z], axis=1)
-    edge = top * np.cbrt(np.arange(shells + 1) / shells)
-    volume = np.diff(edge - np.sin(edge))
-    cap = 4 * math.pi ** 2 * (1 - math.cos(top))
-    return radius[shell, None] * unit, cap * (volume / count)[shell] / volume.sum()
-
-
-def rotation_vectors_to_matrices(v: np.ndarray) -> np.ndarray:
-    """[N, 9] matrices of rotation vectors."""
-    t = np.linalg.norm(v, axis=1)
-    safe = np.where(t > 0, t, 1.0)
-    x, y, z = (v / safe[:, None]).T
-    c, s = np.cos(t), np.sin(t)
-    d = 1 - c
-    return np.stack([c + x * x * d, x * y * d - z * s, x * z * d + y * s,
-                     y * x * d + z * s, c + y * y * d, y * z * d - x * s,
-                     z * x * d - y * s, z * y * d + x * s, c + z * z * d], axis=1)
+    rim, cell = math.sin(math.radians(distance) / 2), ball_cell(spacing)
+    # places in half cells: all even or all odd
+    reach = math.floor(2 * rim / cell + 1e-9)
+    z, y, x = np.meshgrid(*[np.arange(-reach, reach + 1)] * 3, indexing="ij")
+    same = (z % 2 == y % 2) & (y % 2 == x % 2)
+    v = np.stack([x[same], y[same], z[same]], axis=1) * (cell / 2)
+    square = (v * v).sum(axis=1)
+    inside = square <= rim * rim * (1 + 1e-12)
+    v, scalar = v[inside], np.sqrt(1 - square[inside])
+    weight = 1 / scalar
+    return np.concatenate([scalar[:, None], v], axis=1), 4 * math.pi ** 2 * (1 - math.cos(math.radians(distance))) * weight / weight.sum()
+
+
+def quaternion_matrices(q: np.ndarray) -> np.ndarray:
+    """[N, 9] matrices of unit quaternions, scalar first."""
+    w, x, y, z = q.T
+    return np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y),
+                     2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x),
+                     2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)], axis=1)
 
 
 def ball_grid_array(distance: float, spacing: float) -> Column:
     """The ball grid as one constant array of (cand, weight, m00..m22) structs, given as one text."""
-    v, w = ball_grid(distance, spacing)
+    q, w = ball_grid(distance, spacing)
     names = [f"m{k // 3}{k % 3}" for k in range(9)]
-    points = [{"cand": i, "weight": float(w[i]), **dict(zip(names, map(float, row)))} for i, row in enumerate(rotation_vectors_to_matrices(v))]
+    points = [{"cand": i, "weight": float(w[i]), **dict(zip(names, map(float, row)))} for i, row in enumerate(quaternion_matrices(q))]
     kind = "array<struct<cand int, weight double, " + ", ".join(f"{n} double" for n in names) + ">>"
     return F.from_json(F.lit(json.dumps(points)), kind)

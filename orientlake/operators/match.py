@@ -226,14 +226,15 @@ def set_difference(everything: DataFrame, good: DataFrame, row_id: str, margin:
 
     Exact (micrograph, x, y) keys decide if any is shared. Otherwise the
     margin widens over fixed steps until enough rows are near a good row; one
-    distance join at the widest step serves all of them.
+    distance join at the widest step serves all of them. Not a single row left
+    over, or none that is good, is an error.
     """
     key = ["mic", "px", "py"]
     exact = good.select(*Place.of(good, 1.0).columns()).distinct()
     keyed = everything.select("*", *Place.of(everything, 1.0).columns())
     if not keyed.join(exact, key, "left_semi").isEmpty():
         marked = keyed.join(exact.withColumn("_g", F.lit(True)), key, "left")
-        return marked.withColumn("is_good", F.coalesce("_g", F.lit(False))).drop("_g", *key)
+        return _with_rest(marked.withColumn("is_good", F.coalesce("_g", F.lit(False))).drop("_g", *key))
     # Margins that are tried after the given one, and the share of good rows to reach.
     steps = sorted({float(margin), 10.0, 25.0, 50.0, 100.0})
     wanted = int(0.80 * good.count())
@@ -244,7 +245,15 @@ def set_difference(everything: DataFrame, good: DataFrame, row_id: str, margin:
     if chosen is None:
         raise NoMatch(f"fewer than 80% of the good rows found within {steps[-1]} px")
     marked = everything.join(near.where(F.col("distance") <= chosen).select(row_id, F.lit(True).alias("_g")), row_id, "left")
-    return marked.withColumn("is_good", F.coalesce("_g", F.lit(False))).drop("_g")
+    return _with_rest(marked.withColumn("is_good", F.coalesce("_g", F.lit(False))).drop("_g"))
+
+
+def _with_rest(marked: DataFrame) -> DataFrame:
+    """The same rows, if there are some that are not good."""
+    rows = cut(marked, "difference")
+    if rows.where(~F.col("is_good")).isEmpty():
+        raise NoMatch("all rows are good: nothing is left over")
+    return rows
 
 
 def merge_truth(truth: DataFrame, predicted: DataFrame, key: str, row_no: str | None = None,

@@ -64,7 +64,7 @@ def scan_volume(spark, sf):
 , h as (select optics_group, half, count(*) as n, round(avg(err), 2) as mean_deg, round(median(err), 2) as median_deg,
  round(avg(case when err < 5 then 100.0 else 0.0 end), 1) as pct5, round(avg(shift_err), 2) as shift_mean from pe group by 1, 2)
 select concat('run=', optics_group) as run, cast(sum(n) as bigint) as n, round(avg(mean_deg), 6) as mean_deg, round(avg(median_deg), 6) as median_deg,
- round(avg(cast(pct5 as double)), 6) as pct5, round(avg(shift_mean), 6) as shift_mean from h group by 1"""))
+ round(avg(cast(pct5 as double)), 6) as pct5, round(avg(shift_mean), 6) as shift_mean, round(sum(round(n / 60.0, 1)), 6) as minutes from h group by 1"""))
 def log_metrics(spark, sf):
     """One log per run and half, written as text, parsed and rolled up."""
     p = fx.pairs(spark, sf)
@@ -76,9 +76,9 @@ def log_metrics(spark, sf):
         grouped_quantiles(p.select(*key, "err"), "err", {"med": .5}, key), key)
     text = F.format_string(
         "Found %d matching particles.\n\nAnalyzing angular differences with D2 symmetry:\nMean: %.2f°\nStandard Deviation: %.2f°\nMedian: %.2f°\n\n"
-        "Percentage of particles with angular error:\n< 5°: %.1f%%\n< 10°: %.1f%%\n\nShift errors (Å):\nMean: %.2f\n",
-        "n", "mean", "std", "med", "p5", "p10", "sm")
+        "Percentage of particles with angular error:\n< 5°: %.1f%%\n< 10°: %.1f%%\n\nShift errors (Å):\nMean: %.2f\n\nRun time: %.1f min\n",
+        "n", "mean", "std", "med", "p5", "p10", "sm", F.col("n") / 60.0)
     path = new_dir(spark, "logs")
     s.select(F.col("optics_group").alias("run"), text.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("run").text(path)
     runs = metrics.roll_up_runs(metrics.read_run_logs(spark, f"{path}/*/*.txt"))
-    return runs.select("run", "n", *[F.round(c, 6).alias(c) for c in ("mean_deg", "median_deg", "pct5", "shift_mean")])
+    return runs.select("run", "n", *[F.round(c, 6).alias(c) for c in ("mean_deg", "median_deg", "pct5", "shift_mean", "minutes")])

@@ -267,11 +267,15 @@ def pose_candidates(spark, sf):
 
 
 def _ball_sql(distance, spacing):
-    v, w = G.ball_grid(distance, spacing)
-    m = G.rotation_vectors_to_matrices(v)
-    num = lambda v: f"{float(v):.17e}"
-    rows = ", ".join("(" + ", ".join([str(i), num(w[i]), *[num(x) for x in m[i]]]) + ")" for i in range(len(w)))
-    return f"ball(cand, weight, {', '.join(R.entries('b'))}) as (values {rows})"
+    """The lattice of the ball grid by its definition: vectors in half cells, all even or all odd, inside the rim."""
+    cell, rim = f"(radians(cast({spacing} as double)) / sqrt(cast(3 as double)))", f"sin(radians(cast({distance} as double)) / 2)"
+    quaternion = [["1 - 2 * (y * y + z * z)", "2 * (x * y - w * z)", "2 * (x * z + w * y)"], ["2 * (x * y + w * z)", "1 - 2 * (x * x + z * z)", "2 * (y * z - w * x)"],
+                  ["2 * (x * z - w * y)", "2 * (y * z + w * x)", "1 - 2 * (x * x + y * y)"]]
+    return f"""lattice as (select i * {cell} / 2 as x, j * {cell} / 2 as y, k * {cell} / 2 as z from range(-40, 41) a(i), range(-40, 41) b(j), range(-40, 41) c(k)
+ where abs(i) % 2 = abs(j) % 2 and abs(j) % 2 = abs(k) % 2),
+unit as (select *, sqrt(1 - x * x - y * y - z * z) as w from lattice where x * x + y * y + z * z <= {rim} * {rim} * (1 + 1e-12)),
+ball as (select 4 * pi() * pi() * (1 - cos(radians(cast({distance} as double)))) / w / (select sum(1 / w) from unit) as weight,
+ {", ".join(f"{quaternion[i][j]} as b{i}{j}" for i in range(3) for j in range(3))} from unit)"""
 
 
 @query("ball_grid", fx.sql_with("particles", SQL_MATRIX("m", "particles", "r", "pid, optics_group"), _ball_sql(4.0, 2.0), body=f"""

@@ -195,6 +195,8 @@ def star_lines(df: DataFrame, block: str, preamble: list[str]) -> DataFrame:
     """Rows as STAR text; every partition starts with the preamble and the header of the block."""
     head = [*preamble, "", f"data_{block}", "", "loop_", *[f"_{c} #{i + 1}" for i, c in enumerate(df.columns)]]
 
+    if df.isEmpty():  # one block without rows, so that its columns can be read back
+        return df.sparkSession.createDataFrame([("\n".join(head),)], "value string")
     body = df.select(F.concat_ws(" ", *[quoted(f.name, f.dataType.simpleString() == "string") for f in df.schema.fields]).alias("value"))
 
     def run(batches):

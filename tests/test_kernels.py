@@ -234,9 +234,19 @@ def test_representatives_are_equivalent():
 
 
 def test_ball_grid_weights():
-    v, w = G.ball_grid(6.0, 2.0)
+    q, w = G.ball_grid(6.0, 2.0)
     assert np.isclose(w.sum(), 4 * math.pi ** 2 * (1 - math.cos(math.radians(6))))
-    assert np.degrees(np.linalg.norm(v, axis=1)).max() <= 6.0
+    assert np.degrees(2 * np.arccos(q[:, 0])).max() <= 6.0 and np.allclose((q * q).sum(axis=1), 1)
+    # neighbours stand one spacing apart, and the weights are even near the identity
+    gap = np.degrees(2 * np.arccos(np.clip(np.abs(q @ q.T), 0, 1))) + 1e9 * np.eye(len(q))
+    assert np.allclose(gap.min(axis=1), 2.0, rtol=0.01) and w.max() / w.min() < 1.01
+    # a function of the angle alone is averaged as the Haar measure does
+    wide, weight = G.ball_grid(60.0, 2.0)
+    angle, t = 2 * np.arccos(wide[:, 0]), np.linspace(0, math.radians(60), 20001)
+    density = 1 - np.cos(t)
+    assert np.isclose((weight * angle).sum() / weight.sum(), (t * density).sum() / density.sum(), rtol=0.005)
+    m = G.quaternion_matrices(q).reshape(-1, 3, 3)
+    assert np.allclose(m @ m.transpose(0, 2, 1), np.eye(3)) and np.allclose((np.trace(m, axis1=1, axis2=2) - 1) / 2, np.cos(2 * np.arccos(q[:, 0])))
 
 
 def test_noise_spectrum_equals_numpy(spark):
