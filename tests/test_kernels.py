@@ -70,6 +70,28 @@ def test_backproject_does_not_depend_on_partitions(spark):
     assert np.allclose(one, many, atol=1e-9)
 
 
+def test_backproject_in_slabs_gives_the_same_sums(spark):
+    rows, df = image_frame(spark, 12)
+    plane = 2 * 4 * 8 * 8 * 5
+    for planes in (1, 3, 8):
+        assert np.allclose(dense(J.backproject(df.repartition(3), 8, True, "conf", slab_bytes=planes * plane)), slow_insert(rows), atol=1e-9)
+
+
+def test_search_does_not_depend_on_the_memory_it_may_use():
+    f, rng = K.volume_transform(smooth_volume(16)), np.random.default_rng(8)
+    parts = K.to_half_plane(rng.standard_normal((4, 16, 16)))
+    turns = G.zyz_matrices(*rng.uniform(0, 180, (3, 28))).reshape(4, 7, 3, 3)
+    for weight in (np.ones((1, 1, 16, 9)), rng.uniform(0, 1, (4, 1, 16, 9))):
+        want = J._search(parts, f, turns, weight, 0.5)
+        for budget in (1, 3 * 16 * 9 * J.POINT_BYTES):
+            assert all(np.allclose(a, b) for a, b in zip(J._search(parts, f, turns, weight, 0.5, budget), want))
+
+
+def test_erf():
+    x = np.linspace(-8, 8, 1001)
+    assert np.allclose(K.erf(x), [math.erf(v) for v in x], rtol=1e-13, atol=1e-15)
+
+
 def test_uniform_confidence_is_no_confidence(spark):
     _, df = image_frame(spark)
     assert np.allclose(dense(J.backproject(df.withColumn("conf", F.lit(1.0)), 8, True, "conf")), dense(J.backproject(df, 8)), atol=1e-9)
