@@ -20,12 +20,22 @@ CTF = ["defocus_u", "defocus_v", "defocus_ang", "kv", "cs", "w", "px"]
 
 
 def posed(spark, sf):
-    """Every image with the pose, optics and half of the particle of the same number."""
-    p = fx.particles(spark, sf).withColumn("vec_id", F.col("pid") - 1)
-    p = p.select("vec_id", "half", "optics_group", "rot", "tilt", "psi", "dx", "dy", "defocus_u", "defocus_v", "defocus_ang", "fom")
-    rows = fx.images(spark, sf).select("vec_id", "label", "pixels").join(p, "vec_id").join(fx.optics(spark, sf).drop("box"), "optics_group")
+    """Every particle with its optics and picture: the pictures are dealt to the particles in turn."""
+    p = fx.particles(spark, sf).select("pid", "half", "optics_group", "rot", "tilt", "psi", "dx", "dy", "defocus_u", "defocus_v", "defocus_ang", "fom")
+    im = fx.images(spark, sf).select("vec_id", F.col("pixels"))
+    n = im.agg(F.count(F.lit(1))).scalar()
+    rows = p.withColumn("vec_id", F.pmod(F.col("pid") - 1, n)).join(im, "vec_id").join(fx.optics(spark, sf).drop("box"), "optics_group")
     # few bytes per image but much work: the kernels need many tasks, whatever the size of the table says
-    return rows.repartition(shuffle_width(spark), "vec_id")
+    return rows.repartition(shuffle_width(spark), "pid")
+
+
+def pixel_sums(df, col="pixels_out", digits=4):
+    """Per particle the sum of all pixels, and two sums in which every pixel has a weight of its own."""
+    def total(values):
+        return F.round(F.reduce(values, F.lit(0.0), lambda t, v: t + v), digits) + F.lit(0.0)
+
+    return df.select("pid", total(F.col(col)).alias("total"), total(F.transform(col, lambda v, i: v * (i + 1))).alias("by_place"),
+                     total(F.transform(col, lambda v, i: v * ((i * 37) % 64))).alias("by_turn"))
 
 
 def pixel_rows(df, col="pixels_out", digits=6):
@@ -52,25 +62,36 @@ def circular_mask(spark, sf):
     return pixel_rows(m)
 
 
-POSED_SQL = """posed as (select vec_id, half, optics_group, rot, tilt, psi, dx, dy, defocus_u, defocus_v, defocus_ang, fom, px, kv, cs, w
- from embeddings join particles on pid = vec_id + 1 join optics using (optics_group))"""
+POSED_SQL = """posed as (select pid, vec_id, half, optics_group, rot, tilt, psi, dx, dy, defocus_u, defocus_v, defocus_ang, fom, px, kv, cs, w
+ from particles join optics using (optics_group) join (select vec_id, (select count(*) from embeddings) as n_images from embeddings) e on (pid - 1) % n_images = vec_id)"""
 
 
 @query("ctf_image", fx.sql_with("particles", "optics", POSED_SQL, body=f"""
 , f as (select posed.*, i, ((i // 5) - 4) / 8.0 / px as fy, (i % 5) / 8.0 / px as fx from posed, range(40) r(i))
-select vec_id, cast(i as int) as i, round({ctf_sql(LAMBDA)}, 6) + 0.0 as v from f"""))
+select pid, round(sum(v), 4) + 0.0 as total, round(sum(v * (i + 1)), 4) + 0.0 as by_place, round(sum(v * ((i * 37) % 64)), 4) + 0.0 as by_turn
+from (select pid, i, {ctf_sql(LAMBDA)} as v from f) group by 1"""))
 def ctf_image(spark, sf):
-    return pixel_rows(J.ctf_image(posed(spark, sf).select("vec_id", *CTF), ["vec_id"], SIDE), "ctf")
-
-
-@query("phase_flip")
+    return pixel_sums(J.ctf_image(posed(spark, sf).select("pid", *CTF), ["pid"], SIDE), "ctf")
+
+
+@query("phase_flip", fx.sql_with(PIX, "particles", "optics", POSED_SQL, body=f"""
+, part as (select vec_id, ky, kx, case when kx in (0, 4) then 1 else 2 end * sum(v * cos(2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0)) as re,
+ case when kx in (0, 4) then 1 else 2 end * -sum(v * sin(2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0)) as im from px, range(-4, 4) a(ky), range(5) b(kx) group by 1, 2, 3),
+-- what one term of the transform adds to each weighted sum of pixels
+term as (select ky, kx, sum(g * c) / 64 as c1, sum(g * s) / 64 as s1, sum(h * c) / 64 as c2, sum(h * s) / 64 as s2, sum(c) / 64 as c0, sum(s) / 64 as s0
+ from (select ky, kx, i + 1 as g, (i * 37) % 64 as h, cos(2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0) as c, sin(2 * pi() * (ky * (i // 8) + kx * (i % 8)) / 8.0) as s
+  from range(64) p(i), range(-4, 4) a(ky), range(5) b(kx)) group by 1, 2),
+f as (select posed.*, ky, kx, ky / 8.0 / px as fy, kx / 8.0 / px as fx from posed, range(-4, 4) a(ky), range(5) b(kx)),
+sign as (select pid, vec_id, ky, kx, sign({ctf_sql(LAMBDA)}) as t from f)
+select pid, round(sum(t * (re * c0 - im * s0)), 4) + 0.0 as total, round(sum(t * (re * c1 - im * s1)), 4) + 0.0 as by_place, round(sum(t * (re * c2 - im * s2)), 4) + 0.0 as by_turn
+from sign join part using (vec_id, ky, kx) join term using (ky, kx) group by 1"""))
 def phase_flip(spark, sf):
-    return pixel_rows(J.correct_ctf(posed(spark, sf).select("vec_id", "pixels", *CTF), ["vec_id"]))
+    return pixel_sums(J.correct_ctf(posed(spark, sf).select("pid", "pixels", *CTF), ["pid"]))
 
 
 @query("preprocess_images")
 def preprocess_images(spark, sf):
-    return pixel_rows(J.preprocess(posed(spark, sf).select("vec_id", "pixels", *CTF), ["vec_id"], 0.8, 12, radius=4.5))
+    return pixel_sums(J.preprocess(posed(spark, sf).select("pid", "pixels", *CTF), ["pid"], 0.8, 12, radius=4.5))
 
 
 def _spectrum_sql(value, name="ft"):
@@ -112,61 +133,48 @@ def noise_psd(spark, sf):
 
 @query("augment_images")
 def augment_images(spark, sf):
-    copies = posed(spark, sf).select("vec_id", "pixels", "psi").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    seeded = copies.withColumn("seed", (F.col("vec_id") * 4 + F.col("copy")) * F.lit(2654435761) % F.lit(4294967296))
-    a = J.augment(seeded, ["vec_id", "copy"], 0.05)
-    return a.select("vec_id", "copy", "turns", F.round("psi_out", 4).alias("psi"), F.round(F.reduce("pixels_out", F.lit(0.0), lambda t, v: t + v), 6).alias("total"))
+    copies = posed(spark, sf).select("pid", "pixels", "psi").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    seeded = copies.withColumn("seed", (F.col("pid") * 4 + F.col("copy")) * F.lit(2654435761) % F.lit(4294967296))
+    a = J.augment(seeded, ["pid", "copy"], 0.05)
+    return a.select("pid", "copy", "turns", F.round("psi_out", 4).alias("psi"), F.round(F.reduce("pixels_out", F.lit(0.0), lambda t, v: t + v), 6).alias("total"))
 
 
-def first_volume(spark, sf):
-    """The volume with the lowest number as the reference."""
-    v = fx.voxels(spark, sf)
-    return J.share_reference(spark, J.load_volume(v.where(F.col("vol_id") == v.agg(F.min("vol_id")).scalar()), SIDE))
+def mean_volume(spark, sf):
+    """The mean of all volumes as the reference; a missing plane counts as zero."""
+    every = fx.table(spark, sf, "embeddings").select(F.expr("vec_id div 8").alias("vol_id"), F.expr("cast(vec_id % 8 as int)").alias("z"), F.posexplode("embedding").alias("i", "v"))
+    n = fx.table(spark, sf, "embeddings").agg(F.count_distinct(F.expr("vec_id div 8"))).scalar()
+    sums = every.groupBy("z", "i").agg((F.sum(F.col("v").cast("double")) / n).alias("v"))
+    return J.share_reference(spark, J.load_volume(sums.selectExpr("z", "cast(i div 8 as int) as y", "cast(i % 8 as int) as x", "v"), SIDE))
 
 
 @query("project_slices")
 def project_slices(spark, sf):
-    p = J.project(fx.particles(spark, sf).select("pid", "rot", "tilt", "psi"), ["pid"], first_volume(spark, sf))
+    p = J.project(fx.particles(spark, sf).select("pid", "rot", "tilt", "psi"), ["pid"], mean_volume(spark, sf))
     power = F.reduce(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda t, v: t + v)
     return p.select("pid", F.round(power, 6).alias("power"), F.round(F.get("re", F.lit(20)), 6).alias("centre"))
 
 
-def projected(spark, sf):
-    """Projections of the reference at true poses, to be found again from disturbed ones."""
-    ref = first_volume(spark, sf)
-
-    def fn(c):
-        import numpy as np
-        f = K.central_slices(ref.value, J.rotations_of({k: c[k] for k in ("rot", "tilt", "psi")}))
-        real = np.fft.ifftshift(np.fft.irfft2(np.fft.ifftshift(f, axes=-2), s=(SIDE, SIDE)), axes=(-2, -1))
-        return {"pixels": real}
-    p = posed(spark, sf).drop("pixels")
-    return J.map_images(p, p.columns, {"pixels": J.ARRAY}, fn), ref
-
-
 @query("match_projection")
 def match_projection(spark, sf):
     """Each image against the reference at its own pose only."""
-    m = J.match_to_reference(posed(spark, sf), ["vec_id"], first_volume(spark, sf), distance=0.0, step=1.0, max_shift=0.5)
-    return m.select("vec_id", F.round("corr_1", 6).alias("corr"), F.round("dx_1", 4).alias("dx"), F.round("dy_1", 4).alias("dy"))
+    m = J.match_to_reference(posed(spark, sf), ["pid"], mean_volume(spark, sf), distance=0.0, step=1.0, max_shift=0.5)
+    return m.select("pid", F.round("corr_1", 6).alias("corr"), F.round("dx_1", 4).alias("dx"), F.round("dy_1", 4).alias("dy"))
 
 
 def _best(m, k=1):
-    return m.select("vec_id", *[F.round(f"{n}_{i + 1}", 4).alias(f"{n}_{i + 1}") for i in range(k) for n in ("corr", "rot", "tilt", "psi", "dx", "dy", "confidence")])
+    return m.select("pid", *[F.round(f"{n}_{i + 1}", 4).alias(f"{n}_{i + 1}") for i in range(k) for n in ("corr", "rot", "tilt", "psi", "dx", "dy", "confidence")])
 
 
 @query("projection_matching")
 def projection_matching(spark, sf):
-    images, ref = projected(spark, sf)
-    moved = images.withColumn("rot", F.col("rot") + 2.0)
-    return _best(J.match_to_reference(moved, ["vec_id"], ref, 4.0, 2.0, top_k=2, max_shift=0.5, use_ctf=False), 2)
+    """The two best of 27 candidate poses around that of each particle."""
+    return _best(J.match_to_reference(posed(spark, sf), ["pid"], mean_volume(spark, sf), 4.0, 4.0, top_k=2, max_shift=0.5), 2)
 
 
 @query("two_stage_search")
 def two_stage_search(spark, sf):
-    images, ref = projected(spark, sf)
-    moved = images.withColumn("psi", F.col("psi") + 3.0)
-    return _best(J.match_to_reference(moved, ["vec_id"], ref, 4.0, 2.0, max_shift=0.5, use_ctf=False, two_stage=True, refine=True))
+    """The best of 27 candidate poses of each particle, and of a finer grid around the best two of them."""
+    return _best(J.match_to_reference(posed(spark, sf), ["pid"], mean_volume(spark, sf), 4.0, 4.0, max_shift=0.5, two_stage=True, fine=(2.0, 2.0), coarse_k=2, refine=True))
 
 
 @query("backproject")
