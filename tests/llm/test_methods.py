@@ -227,16 +227,54 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_reads_words_of_any_length(spark):
-    own = sorted({g for g in toxicity.word_grams("hateword")} - set(toxicity.word_grams("-")))
+    own = sorted({g for g in toxicity.text_grams("hateword").tolist()} - set(toxicity.text_grams("-").tolist()))
     model = toxicity.ToxicityModel(np.array(own), np.full(len(own), 2.0), -5.0, 0.1)
     rows = [(1, "a" * 300 + ".hateword-x"), (2, "x_" * 40_000 + "hateword"), (3, "a" * 300 + ".other-words"), (4, "hateword")]
     texts = spark.createDataFrame(rows, "doc_id int, text string")
     assert {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(texts, model).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
     assert [r["doc_id"] for r in toxicity.without_toxic(texts, model).collect()] == [3]
-    for word in ("ab" * 20_000 + "c", "x" * 16_380 + "hateword"):
+    for word in ("ab" * 40_000 + "c", "xy" * 16_380 + "hateword", "abc", "hateword"):
         marked = f"^{word}$"
-        cuts = {marked, *(marked[i:i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
-        assert toxicity._Grams().of(word) == {toxicity._feature(c) for c in cuts} == set(toxicity.word_grams(word))
+        runs = {marked[i:i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
+        want = {int(toxicity._keys([r])[0][-1]) for r in runs} | {int(toxicity._whole([marked])[0])}
+        assert set(toxicity.text_grams(word).tolist()) == want
+        known = np.array(sorted(want), np.int64)
+        assert [known[sorted(got)].tolist() for got in toxicity._Grams(known).of([word, "other things", word])] == [known.tolist(), [], known.tolist()]
+
+
+def test_toxicity_reads_disguised_words():
+    assert [toxicity.plain(w) for w in ("L0ser!", "l-o-s-e-r", "Lóóser", "looooser", "2019", "...", "\u0441\u043b\u043e\u0432\u043e")] == ["loser"] * 4 + ["", "", "\u0441\u043b\u043e\u0432\u043e"]
+    assert toxicity.words_in("he is a b l o s e r") == {"he", "is", "abloser"} and toxicity.words_in("x y z 1") == {"xyz1"} and toxicity.words_in("a b") == {"a", "b"}
+
+
+def test_toxicity_of_long_texts_with_a_short_passage_and_of_many_copies(spark):
+    """A marked passage counts in a text of any length, and a large group of copies of one toxic text does not crowd out the others."""
+    rnd = random.Random(11)
+    syllables = ["ba", "ke", "li", "mo", "nu", "ra", "si", "to", "ve", "wy"]
+    marks = ["scumbag", "vequita", "lostrano", "grobulex", "chonadri"]
+
+    def words(n):
+        return ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(n)]
+
+    def toxic(n):
+        w = words(n)
+        for _ in range(2):
+            w.insert(rnd.randrange(len(w)), rnd.choice(marks) + rnd.choice(syllables))
+        return " ".join(w)
+
+    rows, labels = [], []
+    copied = toxic(60)
+    for i in range(2400):
+        kind = "copy" if i % 4 == 0 and i < 1200 else "toxic" if i % 10 == 1 else "clean"
+        rows.append((i, copied if kind == "copy" else toxic(rnd.randint(30, 90)) if kind == "toxic" else " ".join(words(rnd.randint(30, 90)))))
+        if i % 3 != 2:
+            labels.append((i, int(kind != "clean")))
+    tests = [(10_000 + i, toxic(rnd.choice([20, 60, 3000]))) for i in range(60)] + [(20_000 + i, " ".join(words(rnd.choice([20, 60, 3000])))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark.createDataFrame(tests, "doc_id bigint, text string"), model).collect()}
+    assert min(s for k, s in got.items() if k < 20_000) > max(s for k, s in got.items() if k >= 20_000)
+    assert sum(s >= 0.3 for k, s in got.items() if k < 20_000) >= 57 and sum(s >= 0.3 for k, s in got.items() if k >= 20_000) == 0
 
 
 def test_surrogates_keep_form_and_stay_apart(spark):
@@ -297,20 +335,77 @@ def test_language_masks_hold_every_gram(spark):
     model = language.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
     assert model.languages == ["de", "en"]
     assert model.languages_of([" der", " the", " di"]).tolist() == [[1, 0], [0, 1], [1, 0]]
-    assert (model.false_rate < 0.05).all()
-
-
-def test_language_keeps_every_gram_and_answers_the_same_from_a_table(spark):
+    assert (0 < model.false_rate).all() and (model.false_rate < 0.05).all()
+
+
+def test_language_false_positives_are_as_many_as_expected(spark):
+    """Every n-gram of a language answers, and of n-grams that it does not have as many as its measured rate says."""
+    rnd = random.Random(9)
+    words = [["".join(chr(first + rnd.randrange(60)) for _ in range(7)) for _ in range(700)] for first in (0x6000, 0x4E00)]
+    rows = [(" ".join(w), name) for w, name in zip(words, ("ja", "zh")) for _ in range(2)]
+    train = spark.createDataFrame(rows, "text string, lang string")
+    for bytes_ in (1 << 24, 50_000):
+        model = language.fit_languages(train, false_rate=0.05, slice_bytes=bytes_)
+        assert (model.slices > 1) == (bytes_ == 50_000) and (abs(model.false_rate - 0.05) < 0.02).all()
+        own = [sorted({f" {w} "[i:i + n] for w in ws for n in (2, 3, 4) for i in range(len(w) + 3 - n)}) for ws in words]
+        for i in (0, 1):
+            assert model.languages_of(own[i])[:, model.languages.index(("ja", "zh")[i])].all()
+            false = model.languages_of(own[i])[:, 1 - i].mean()
+            assert abs(false - model.false_rate[1 - i]) < 0.01
+
+
+def votes_by_hand(text, own):
+    """Corrected counts of exact sets of n-grams, which have no false hits."""
+    core = [w.strip(language._EDGES) for w in text.lower().split()]
+    grams = Counter(f" {w} "[i:i + n] for w in core if any(c.isalpha() for c in w) for n in (2, 3, 4) for i in range(len(w) + 3 - n))
+    return {name: sum(n for g, n in grams.items() if g in mine) for name, mine in own.items()}
+
+
+def test_language_votes_equal_brute_force_but_for_false_positives(spark, docs):
+    train = [(t, lang) for d, t, _, lang in docs if t and lang]
+    counts = defaultdict(Counter)
+    for t, lang in train:
+        for w in t.lower().split():
+            w = w.strip(language._EDGES)
+            if any(c.isalpha() for c in w):
+                counts[lang].update(f" {w} "[i:i + n] for n in (2, 3, 4) for i in range(len(w) + 3 - n))
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    top = defaultdict(float)
+    for k, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / total[k])
+    own = {k: {g for g, n in c.items() if n >= 2 and n / total[k] >= 0.2 * top[g]} for k, c in counts.items()}
+    model = language.fit_languages(spark.createDataFrame(train, "text string, lang string"))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify_languages(spark.createDataFrame([(d, t) for d, t, _, _ in docs], "doc_id bigint, text string"), model).collect()}
+    for d, t, _, _ in docs:
+        votes = votes_by_hand(t or "", own)
+        if sum(votes.values()) > 200:
+            best = max(sorted(votes), key=votes.__getitem__)
+            assert got[d][0] == best and abs(got[d][1] - votes[best] / sum(votes.values())) < 0.03
+
+
+def test_language_of_more_than_64(spark):
+    rnd = random.Random(6)
+    words = {f"l{i:03d}": ["".join(chr(0x5000 + 40 * i + rnd.randrange(40)) for _ in range(5)) for _ in range(30)] for i in range(70)}
+    train = spark.createDataFrame([(" ".join(ws), name) for name, ws in words.items() for _ in range(2)], "text string, lang string")
+    model = language.fit_languages(train)
+    assert len(model.languages) == 70 and model.words == 2
+    asked = spark.createDataFrame([(i, " ".join(ws[:10])) for i, ws in enumerate(words.values())], "doc_id int, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(asked, model).collect()} == dict(enumerate(words))
+
+
+def test_language_answers_the_same_from_many_slices(spark):
     rnd = random.Random(3)
     spell = lambda first, n: "".join(chr(first + rnd.randrange(600)) for _ in range(n))
     rows = [(i, " ".join(spell(0x4E00 + 700 * (i % 3), 12) for _ in range(160)), "abc"[i % 3]) for i in range(150)]
     asked = [*rows, (None, rows[0][1], None), (None, rows[0][1], None), (900, "1 2 3", None), (901, None, None), (902, "пример", None), (903, rows[1][1].replace(" ", ""), None)]
     train = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id int, text string, lang string")
     asked = spark.createDataFrame(asked, "doc_id int, text string, lang string")
-    sent, joined = language.fit_languages(train), language.fit_languages(train, most_sent=1000)
-    assert sent.table is None and len(sent.keys) == joined.table.count() > 500_000
-    got = [sorted(map(tuple, language.identify_languages(asked, m).collect()), key=str) for m in (sent, joined)]
-    assert got[0] == got[1] and len(got[0]) == len(rows) + 6
+    whole, cut = language.fit_languages(train, slice_bytes=1 << 30), language.fit_languages(train, slice_bytes=1 << 22)
+    assert whole.slices == 1 and cut.slices > 3 and (abs(whole.false_rate - cut.false_rate) < 0.001).all()
+    got = [sorted(map(tuple, language.identify_languages(asked, m).collect()), key=str) for m in (whole, cut)]
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]] and len(got[0]) == len(rows) + 6
+    assert all(abs(a[2] - b[2]) < 0.02 for a, b in zip(*got))
     assert all(pred == "abc"[k % 3] and score > 0.97 for k, pred, score in got[0] if k is not None and k < 150)
 
 
@@ -320,9 +415,9 @@ def test_language_reads_words_of_any_length(spark):
     asked = [(1, "1" * 30 + "." + "0" * 60 + "_the_of_and_which_was"), (2, "the" + "_" * 70 + "der_die_das_und_nicht"), (3, "x" * 70_000 + "nicht")]
     asked = spark.createDataFrame(asked, "doc_id int, text string")
     assert {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(asked, model).collect()} == {1: "en", 2: "de", 3: "de"}
-    joined = language.fit_languages(spark.createDataFrame([("x" * 100 + "der", "de"), ("x" * 100 + "der", "de")], "text string, lang string"), most_sent=0)
-    assert joined.table.count() == len({f" {'x' * 100}der "[i:i + n] for n in (2, 3, 4) for i in range(106 - n)})
-    assert [r["lang_pred"] for r in language.identify_languages(asked, joined).collect()] == ["de"] * 3
+    long = language.fit_languages(spark.createDataFrame([("x" * 100 + "der", "de"), ("x" * 100 + "der", "de")], "text string, lang string"), slice_bytes=256)
+    assert long.languages_of(sorted({f" {'x' * 100}der "[i:i + n] for n in (2, 3, 4) for i in range(106 - n)})).all()
+    assert [r["lang_pred"] for r in language.identify_languages(asked, long).collect()] == ["de"] * 3
     for word in ("ab" * 100_000 + "c", "x" * 59 + "yz"):  # the slices of a long word hold each n-gram once
         parts = np.concatenate(list(language._long_keys(word)))
         assert sorted(parts) == sorted(language._word_keys([word])[0])
