@@ -101,21 +101,73 @@ def zyz_matrices(rot, tilt, psi) -> np.ndarray:
                      -sb * cg, sb * sg, cb], axis=-1).reshape(*np.shape(ca), 3, 3)
 
 
+@lru_cache(maxsize=4)
+def view_bins(order: int) -> tuple[int, int, list[list[int]]]:
+    """Bands of equal height, sectors of equal azimuth, and per bin the cones that a rotation viewed in it may be nearest to.
+
+    The nearest rotation of the grid is no farther than the nearest cone plus
+    half an in-plane step, and no nearer than its own cone. With ``r`` from
+    the middle of a bin to its corners and ``d`` from there to the nearest
+    cone, only cones within d + 2 r + half a step of the middle can win.
+    """
+    bands, sectors = 3 * 2 ** order, 6 * 2 ** order
+    views = grid_matrices(order).reshape(-1, 3, 3)[::psi_count(order), :, 2]
+
+    def direction(z, a):
+        s = np.sqrt(np.maximum(0, 1 - z * z))
+        return np.stack([s * np.cos(a), s * np.sin(a), z], axis=-1)
+
+    edge, turn = np.linspace(-1, 1, bands + 1), np.linspace(0, 2 * math.pi, sectors + 1)
+    low, west = np.meshgrid(edge[:-1], turn[:-1], indexing="ij")
+    high, east = np.meshgrid(edge[1:], turn[1:], indexing="ij")
+    middle = direction((low + high) / 2, (west + east) / 2).reshape(-1, 3)
+    corners = np.stack([direction(z, a).reshape(-1, 3) for z in (low, high) for a in (west, east)])
+    radius = np.arccos(np.clip((corners * middle).sum(axis=-1), -1, 1)).max(axis=0)
+    away = np.arccos(np.clip(middle @ views.T, -1, 1))
+    reach = away.min(axis=1) + 2 * radius + math.pi / psi_count(order) + 1e-6
+    return bands, sectors, [np.flatnonzero(row <= r).tolist() for row, r in zip(away, reach)]
+
+
 def nearest_grid_index(order: int):
-    """Pandas UDF: index of the grid rotation with the largest trace (lowest index on ties).
+    """Column function of (rot, tilt, psi): index of the grid rotation with the largest trace (lowest index on ties).
 
-    The grid is a constant of known size (72 * 8^order rotations), built once
-    per worker; each Arrow batch is one matrix product, in bounded slices.
+    A rotation's view falls into one bin, and the bin's constant list of cones
+    is tried. For a cone the trace is a cosine of the in-plane angle, so the
+    two steps around its peak decide. No row meets the whole grid.
     """
-    @F.pandas_udf(T.LongType())
-    def nearest(rot: pd.Series, tilt: pd.Series, psi: pd.Series) -> pd.Series:
-        grid = grid_matrices(order)
-        m = zyz_matrices(rot.to_numpy(), tilt.to_numpy(), psi.to_numpy()).reshape(-1, 9)
-        out = np.empty(len(m), dtype=np.int64)
-        step = max(1, (1 << 22) // len(grid))
-        for i in range(0, len(m), step):
-            out[i:i + step] = np.round(m[i:i + step] @ grid.T, 9).argmax(axis=1)
-        return pd.Series(out)
+    k = psi_count(order)
+    step = 2 * math.pi / k
+    bands, sectors, cones = view_bins(order)
+    first = grid_matrices(order).reshape(-1, 3, 3)[::k]  # in-plane angle 0: rotation by azimuth, then by tilt
+    entries = [F.lit([float(v) for v in first[:, i, j]]) for i in range(3) for j in range(3)]
+
+    def nearest(rot, tilt, psi) -> Column:
+        a, b, g = (F.radians(F.col(c) if isinstance(c, str) else c) for c in (rot, tilt, psi))
+        ca, sa, cb, sb, cg, sg = F.cos(a), F.sin(a), F.cos(b), F.sin(b), F.cos(g), F.sin(g)
+        rows = [ca * cb * cg - sa * sg, -ca * cb * sg - sa * cg, ca * sb, sa * cb * cg + ca * sg, -sa * cb * sg + ca * cg, sa * sb, -sb * cg, sb * sg, cb]
+        pose = F.struct(*[v.alias(f"m{i // 3}{i % 3}") for i, v in enumerate(rows)])
+
+        def best(m: Column) -> Column:
+            band = F.least(F.floor((m["m22"] + 1) * (bands / 2)), F.lit(bands - 1))
+            sector = F.least(F.floor(F.pmod(F.atan2(m["m12"], m["m02"]), F.lit(2 * math.pi)) * (sectors / (2 * math.pi))), F.lit(sectors - 1))
+            listed = F.get(F.from_json(F.lit(json.dumps(cones)), "array<array<int>>"), (F.greatest(band, F.lit(0)) * sectors + sector).cast("int"))
+
+            def of_cone(cone: Column) -> Column:
+                grid = [F.get(e, cone) for e in entries]
+
+                def dot(i: int, j: int) -> Column:
+                    return grid[i] * m[f"m0{j}"] + grid[3 + i] * m[f"m1{j}"] + grid[6 + i] * m[f"m2{j}"]
+
+                wave = F.array(F.struct((dot(0, 0) + dot(1, 1)).alias("c"), (dot(1, 0) - dot(0, 1)).alias("s"), dot(2, 2).alias("z")))
+
+                def steps(w: Column) -> Column:
+                    low = F.floor(F.atan2(w["s"], w["c"]) / step)
+                    tried = [F.struct((-F.round(w["c"] * F.cos((low + i) * step) + w["s"] * F.sin((low + i) * step) + w["z"], 9)).alias("t"),
+                                      (cone * k + F.pmod(low + i, F.lit(k))).alias("i")) for i in (0, 1)]
+                    return F.least(*tried)
+                return F.get(F.transform(wave, steps), F.lit(0))
+            return F.array_min(F.transform(listed, of_cone))["i"].cast("bigint")
+        return F.get(F.transform(F.array(pose), best), F.lit(0))
     return nearest
 
 

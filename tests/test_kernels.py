@@ -242,6 +242,19 @@ def test_equal_area_grid():
         assert len(np.unique(np.round(views, 6), axis=0)) == G.cone_count(order)
 
 
+def test_nearest_grid_rotation_equals_trying_all(spark):
+    rng = np.random.default_rng(12)
+    for order in range(4):
+        grid = G.grid_matrices(order)
+        angles = np.stack([rng.uniform(-720, 720, 400), rng.uniform(0, 180, 400), rng.uniform(-720, 720, 400)], axis=1)
+        angles[:8, 1] = [0, 180, 1e-9, 180 - 1e-9, 90, 45, 0, 180]
+        df = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(angles)], "id int, rot double, tilt double, psi double")
+        trace = np.round(G.zyz_matrices(*angles.T).reshape(-1, 9) @ grid.T, 9)
+        got = {r["id"]: r["g"] for r in df.select("id", G.nearest_grid_index(order)("rot", "tilt", "psi").alias("g")).collect()}
+        for i, row in enumerate(trace):
+            assert row[got[i]] >= row.max() - 2e-9 and (got[i] == row.argmax() or abs(row[row.argmax()] - row[got[i]]) < 2e-9)
+
+
 def test_group_orders():
     for name, n in (("C1", 1), ("C5", 5), ("D3", 6), ("T", 12), ("O", 24), ("I", 60)):
         ops = np.array(group_matrices(name)).reshape(-1, 3, 3)
