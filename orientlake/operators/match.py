@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orientlake.frames import ColumnRoles, require_columns
 from orientlake.functions import strings as S
@@ -96,8 +96,10 @@ def _deciding_points(right: DataFrame, margin: float) -> DataFrame:
 
     Within one cell all points are close enough, so one does. For a cell
     beside, the point nearest the shared edge does. For a cell across a
-    corner, the nearest y for each x does. All are real points, so the plain
-    distance test stays exact.
+    corner, a point counts only if none is nearer in x and in y: walking away
+    from the corner in x, those that come nearer in y than all before them.
+    All are real points, so the plain distance test stays exact, and a crowded
+    cell is sorted once instead of being given to its corners whole.
     """
     columns = (right.withColumns({"bx": _cell("px", margin), "by": _cell("py", margin)})
                .groupBy("mic", "bx", "by", "px").agg(F.min("py").alias("lo"), F.max("py").alias("hi")))
@@ -111,9 +113,15 @@ def _deciding_points(right: DataFrame, margin: float) -> DataFrame:
 
     beside = edges.select("mic", "bx", "by", F.inline(F.array(
         row("w", 0, 0), row("w", -1, 0), row("e", 1, 0), row("s", 0, -1), row("n", 0, 1))))
-    across = columns.select("mic", "bx", "by", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("px").alias("px"), F.col(c).alias("py"))
-        for i in (-1, 1) for j, c in ((-1, "lo"), (1, "hi"))])))
+    cell = Window.partitionBy("mic", "bx", "by")
+    before = {-1: cell.orderBy("px").rowsBetween(Window.unboundedPreceding, -1), 1: cell.orderBy(F.desc("px")).rowsBetween(Window.unboundedPreceding, -1)}
+    walked = columns.select("*", *[c for i, w in before.items() for c in (F.min("lo").over(w).alias(f"lo{i}"), F.max("hi").over(w).alias(f"hi{i}"))])
+    steps = []
+    for i in (-1, 1):
+        for j, c, nearer in ((-1, "lo", F.col("lo") < F.col(f"`lo{i}`")), (1, "hi", F.col("hi") > F.col(f"`hi{i}`"))):
+            point = F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("px").alias("px"), F.col(c).alias("py"))
+            steps.append(F.when(F.coalesce(nearer, F.lit(True)), point))
+    across = walked.select("mic", "bx", "by", F.inline(F.array_compact(F.array(*steps))))
     return beside.unionByName(across).select("mic", (F.col("bx") + F.col("i")).alias("bx"), (F.col("by") + F.col("j")).alias("by"), "px", "py")
 
 

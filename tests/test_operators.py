@@ -319,3 +319,16 @@ def test_seeded_order_of_large_keys(spark):
     keys = [0, 1, 5, 65535, 65536, 3_470_000_000, 4_000_000_000, 10 ** 13, 2 ** 62]
     got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", seeded_order("k").alias("h")).collect()
     assert {r["k"]: r["h"] for r in got} == {k: k * 2654435761 % 2 ** 32 for k in keys}
+
+
+def test_near_any_with_a_crowded_cell(spark):
+    """A cell full of distinct places is sorted once; its corners still decide exactly."""
+    rng = random.Random(21)
+    right = [(i, "m", 20 + rng.random() * 10, 20 + rng.random() * 10) for i in range(20000)]
+    left = [(i, "m", 10 + rng.random() * 30, 10 + rng.random() * 30) for i in range(3000)]
+    a, b = (spark.createDataFrame(rows, "id int, micrograph string, x double, y double") for rows in (left, right))
+    points = np.array([r[2:] for r in right])
+    for margin in (10.0, 4.0):
+        want = {r[0] for r in left if (np.abs(points - np.array(r[2:])).max(axis=1) <= margin).any()}
+        assert {r["id"] for r in M.near_any(a, b, margin).collect()} == want
+    assert M._deciding_points(b.selectExpr("micrograph as mic", "x as px", "y as py"), 10.0).count() < 400
