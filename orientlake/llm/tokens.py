@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 from pyarrow import fs
@@ -14,11 +16,14 @@ from orientlake.llm.common import keep_columns, map_rows, place_of
 from orientlake.session import cut, shuffle_width
 
 NO_KEY = -(1 << 63)  # stands for a null key in an index file
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 300_000
 _LONG_WORD = 100
 _FLUSH_BYTES = 1 << 21
-#: Between a letter or digit and a full stop or comma a tokenizer by word always cuts.
-_CUT = re.compile(r"(?<=[a-z0-9\u00e0-\u00f6\u00f8-\u00ff])(?=[.,])")
+#: Around a run of ASCII marks (no apostrophe among them) that stands between letters, digits or blanks a tokenizer by word always cuts.
+_MARKS, _PLAIN = r"""!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~""", r"a-z0-9\u00df-\u00f6\u00f8-\u00ff"
+_CUT = re.compile(rf"([{_MARKS}](?<=[{_PLAIN} ][{_MARKS}])[{_MARKS}]*)(?=[{_PLAIN} \n]|\Z)")
+#: White space for Python, but not for every tokenizer.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Encoders of this worker process; later tasks find the words of earlier ones.
 _ENCODERS: dict[tuple, "WordEncoder"] = {}
 
@@ -26,8 +31,9 @@ _ENCODERS: dict[tuple, "WordEncoder"] = {}
 class WordEncoder:
     """Ids of a text, as bytes, from a lower-casing tokenizer that never joins words across ASCII white space.
 
-    Words are encoded once per worker process and remembered; the memory is
-    emptied when it is full. Tokenizers that keep white space or case, or
+    Words are encoded once per worker process and remembered in two halves of
+    bounded size, of which the older goes when the newer is full. A text that
+    holds the string of a special token is read as a whole. Tokenizers that keep white space or case, or
     whose special tokens contain these, must encode whole texts
     (``by_word=False``).
     """
@@ -39,7 +45,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.kind = {2: "<u2", 4: "<u4"}[width]
         self.by_word = by_word
-        self.known: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.special = [str(t).lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if by_word else []
+        #: ids that end a word, if the tokenizer marks them
+        self.last = np.array([bool(suffix) and str(self.tokenizer.id_to_token(i)).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, tokenizer_file: str, width: int, by_word: bool) -> "WordEncoder":
@@ -49,26 +60,52 @@ class WordEncoder:
         return _ENCODERS[made]
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        packed = array({"<u2": "H", "<u4": "I"}[self.kind], ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words of letters only are read together and told apart by the ids that end a word."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
+        for start in range(0, len(plain) if self.last.any() else 0, 1024):
+            part = plain[start:start + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                packed, at = ids.tobytes(), (ids.itemsize * ends).tolist()
+                out.update(zip(part, [packed[a:b] for a, b in zip([0, *at], at)]))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, [self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]))
+        return [out[w] for w in words]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_word:
             return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        low = text.lower()
+        if any(s in low for s in self.special):
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         # the one capital letter whose lower case depends on its neighbours is left to the tokenizer
-        words = _CUT.sub(" ", text if "\u03a3" in text else text.lower()).split(" ")
-        known = self.known
-        new = list({w for w in words if w not in known})
+        cut = _CUT.sub(r" \1 ", text if "\u03a3" in text else low)
+        words = cut.split(" ") if _SEPARATORS.search(cut) else cut.split()
+        newer, older = self.newer, self.older
+        new = list({w for w in words if w not in newer})
         if new:
-            if len(known) + len(new) > _CACHE_WORDS:
-                known.clear()
+            if len(newer) + len(new) > _CACHE_WORDS:
+                self.older = older = newer
+                self.newer = newer = {}
                 new = list(set(words))
-            known.update((w, self._packed(e.ids)) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)))
-        out = b"".join(map(known.__getitem__, words))
+            fresh = [w for w in new if w not in older]
+            if len(fresh) < len(new):
+                newer.update((w, older[w]) for w in new if w in older)
+            newer.update(zip(fresh, self._words(fresh)))
+        out = b"".join(map(newer.__getitem__, words))
         for w in new:
             if len(w) > _LONG_WORD:
-                del known[w]
+                del newer[w]
         return out
 
 
