@@ -55,8 +55,16 @@ def stream_ingest(spark, sf):
 
 @query("stream_by_queue", "select event_type as queue, count(*) as n, round(sum(value), 4) as total from events group by 1")
 def stream_by_queue(spark, sf):
-    s = I.queue_counts(day_stream(spark, sf).withColumnRenamed("event_type", "queue"), "queue")
-    return I.latest(sink_of(spark, s, "update"), ["queue"]).withColumn("total", F.round("total", 4))
+    """One stream per queue, each over its own folder with its own bound and checkpoint."""
+    inbox, sink = new_dir(spark, "queues"), new_dir(spark, "sink")
+    fx.events(spark, sf).select("event_type", "event_id", "value").write.partitionBy("event_type").parquet(inbox)
+    names = [r[0] for r in spark.read.parquet(inbox).select("event_type").distinct().collect()]
+    schema = fx.events(spark, sf).select("event_id", "value").schema
+    streams = {name: I.file_stream(spark, f"{inbox}/event_type={name}", schema, 1 + i) for i, name in enumerate(sorted(names))}
+    failed = I.finish_queues(I.start_queues(streams, lambda name: I.numbered_sink(f"{sink}/queue={name}"), new_dir(spark, "state")))
+    if any(failed.values()):
+        raise RuntimeError(f"queues failed: {failed}")
+    return spark.read.parquet(sink).groupBy("queue").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("stream_zscore", "select event_id, event_type, value from events where value > 20")
@@ -92,9 +100,9 @@ def stream_accum(spark, sf):
     parts = accumulators(spark, sf)
     path, root = new_dir(spark, "parts"), new_dir(spark, "running")
     parts.repartition(8, "part").write.parquet(path)
-    q = I.start(I.file_stream(spark, path, parts.schema, 4), I.running_accumulators(root), new_dir(spark, "state"))
+    q = I.start(I.file_stream(spark, path, parts.schema, 4), I.running_accumulators(root, compact=3), new_dir(spark, "state"))
     I.run_to_end(q)
-    return spark.read.parquet(f"{root}/v{I.last_batch(q)}").select("half", "z", "y", "x", *[
+    return I.accumulator_state(spark, root).select("half", "z", "y", "x", *[
         (F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("re", "im", "w", "ctfsq")])
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_BASE: dict[str, str] = {}
@@ -55,6 +57,26 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def place_of(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a local path or of an address with a scheme."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def batches_in(path: str) -> list[int]:
+    """Numbers of the whole ``batch=N`` tables in a folder, in order."""
+    system, at = place_of(path)
+    found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+    numbers = [int(f.base_name.split("=", 1)[1]) for f in found if f.base_name.startswith("batch=")]
+    return sorted(n for n in numbers if system.get_file_info(f"{at}/batch={n}/_SUCCESS").type != fs.FileType.NotFound)
+
+
+def remove_dir(path: str) -> None:
+    system, at = place_of(path)
+    system.delete_dir(at)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation of what came before."""

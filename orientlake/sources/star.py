@@ -72,17 +72,20 @@ def _parse_headers(headers: pd.Series) -> pd.Series:
 
 
 def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Every data row: file, block, position, columns and tokens."""
+    """Every data row: file, block, position, columns and tokens; and one row without tokens for each table, which may have no rows."""
     raw = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_at"), F.col("value"),
     ).withColumn("line_at", F.monotonically_increasing_id())
     lines = raw.withColumn("text", F.trim("value")).where((F.col("text") != "") & ~F.col("text").startswith("#"))
     lines = lines.select("file", "text", _position(F.col("block_at"), F.col("line_at")).alias("at"))
-    return assign_blocks(lines)
+    return assign_blocks(lines, tables=True)
 
 
-def assign_blocks(lines: DataFrame) -> DataFrame:
-    """Data rows of (file, at, text) lines, each with its block, the columns of that and a number for their layout."""
+def assign_blocks(lines: DataFrame, tables: bool = False) -> DataFrame:
+    """Data rows of (file, at, text) lines, each with its block, the columns of that and a number for their layout.
+
+    With ``tables`` every table also has a row of its own, without tokens.
+    """
     named = F.col("text").startswith("_")
     is_header = named | F.col("text").startswith("data_") | F.col("text").startswith("loop_")
     pair = named & F.col("text").rlike(r"^_\S*\s+[^#\s]")
@@ -99,7 +102,11 @@ def assign_blocks(lines: DataFrame) -> DataFrame:
         .otherwise(F.split("text", r"\s+")).alias("tokens"))
     single = headers.select("file", F.explode("blocks").alias("b")).where(F.size("b.values") > 0).select(
         "file", F.col("b.at").alias("at"), F.col("b.block").alias("block"), F.col("b.columns").alias("columns"), F.col("b.values").alias("tokens"))
-    return looped.unionByName(single).withColumn("layout", F.xxhash64("columns"))
+    found = looped.unionByName(single)
+    if tables:
+        found = found.unionByName(headers.select("file", F.explode("blocks").alias("b")).where("b.looped").select(
+            "file", F.col("b.at").alias("at"), F.col("b.block").alias("block"), F.col("b.columns").alias("columns"), F.lit(None).cast("array<string>").alias("tokens")))
+    return found.withColumn("layout", F.xxhash64("columns"))
 
 
 def block_layouts(rows: DataFrame) -> dict[str, dict[int, list[str]]]:
@@ -144,7 +151,7 @@ def typed_table(rows: DataFrame, block: str, layouts: dict[int, list[str]]) -> D
     Whole numbers of more than 18 digits keep their column text, so that none loses a digit.
     """
     columns = layout_columns(layouts)
-    texts = rows.where(F.col("block") == block).select("file", "at", *[_value(c, layouts).alias(c) for c in columns])
+    texts = rows.where((F.col("block") == block) & F.col("tokens").isNotNull()).select("file", "at", *[_value(c, layouts).alias(c) for c in columns])
     tests = []
     for c in columns:
         present = F.col(c).isNotNull()

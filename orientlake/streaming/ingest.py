@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orientlake.fourier.shells import merge_accumulators
 from orientlake.operators.filters import score_filter
-from orientlake.session import new_dir
+from orientlake.session import batches_in, new_dir, remove_dir
 from orientlake.sources.star import _position, assign_blocks, write_star
 
 
@@ -86,8 +87,26 @@ def push_table(df: DataFrame, optics: DataFrame | None, inbox: str) -> None:
 
 # --- operators ----------------------------------------------------------------------------------
 
-def queue_counts(stream: DataFrame, queue: str) -> DataFrame:
-    return stream.groupBy(queue).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def start_queues(streams: dict[str, DataFrame], handle: Callable[[str], Callable[[DataFrame, int], None]], checkpoints: str,
+                 every: str | None = None) -> dict[str, StreamingQuery]:
+    """One streaming query per named queue: its own source and bound, its own checkpoint below ``checkpoints``, its own failure.
+
+    ``handle`` gives the batch handler of a queue. A queue that fails stops
+    alone; started again under its name it goes on from its checkpoint.
+    """
+    return {name: start(stream, handle(name), f"{checkpoints}/{name}", every=every) for name, stream in streams.items()}
+
+
+def finish_queues(queries: dict[str, StreamingQuery]) -> dict[str, str | None]:
+    """Wait for every queue; what it failed with, or None."""
+    ended: dict[str, str | None] = {}
+    for name, query in queries.items():
+        try:
+            query.awaitTermination()
+            ended[name] = None
+        except StreamingQueryException as failure:
+            ended[name] = str(failure)
+    return ended
 
 
 def latest(sink: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,17 +145,40 @@ def buffer_survivors(score: str, threshold: float, size: int, root: str, key: st
     return handle, flush
 
 
-def running_accumulators(root: str) -> Callable[[DataFrame, int], None]:
-    """Each batch of partial sums is merged into a new version of the state table."""
+_VOXEL = ("half", "z", "y", "x", "re", "im", "w", "ctfsq")
+
+
+def running_accumulators(root: str, compact: int = 8) -> Callable[[DataFrame, int], None]:
+    """Running sums as a base and the batches after it.
+
+    A batch writes its own voxels only, summed. Every ``compact`` batches the
+    base and all batches after it become the next base, and what went into it
+    is deleted once the new base is whole. A batch that is repeated replaces
+    itself, before or after that.
+    """
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        parts = batch.select("half", "z", "y", "x", "re", "im", "w", "ctfsq")
-        if number > 0:
-            parts = parts.unionByName(spark.read.parquet(f"{root}/v{number - 1}"))
-        merge_accumulators(parts).write.mode("overwrite").parquet(f"{root}/v{number}")
+        spark, bases = batch.sparkSession, batches_in(f"{root}/base")
+        if not bases or bases[-1] < number:
+            merge_accumulators(batch.select(*_VOXEL)).write.mode("overwrite").parquet(f"{root}/delta/batch={number}")
+            if (number + 1) % compact == 0:
+                accumulator_state(spark, root, number).write.mode("overwrite").parquet(f"{root}/base/batch={number}")
+                bases.append(number)
+        if bases:
+            for kind in ("base", "delta"):
+                for old in batches_in(f"{root}/{kind}"):
+                    if old < bases[-1] or (kind == "delta" and old == bases[-1]):
+                        remove_dir(f"{root}/{kind}/batch={old}")
     return handle
 
 
+def accumulator_state(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """Sums of everything taken in so far (up to batch ``upto``)."""
+    numbers = {kind: [n for n in batches_in(f"{root}/{kind}") if upto is None or n <= upto] for kind in ("base", "delta")}
+    base = numbers["base"][-1:]
+    paths = [f"{root}/base/batch={n}" for n in base] + [f"{root}/delta/batch={n}" for n in numbers["delta"] if not base or n > base[0]]
+    return merge_accumulators(spark.read.parquet(*paths).select(*_VOXEL))
+
+
 def last_batch(query: StreamingQuery) -> int:
     return query.lastProgress["batchId"] if query.lastProgress else -1
 
