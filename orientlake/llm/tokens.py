@@ -226,6 +226,8 @@ def read_tokens(spark: SparkSession, folder: str, key: str = "pid") -> DataFrame
 
     The checksum is over the ids as little-endian 32-bit integers, whatever
     width the file has. Each task maps whole files and reads them in place.
+    Null keys come back as null, repeated rows each; a folder without files
+    gives no rows.
     """
     listed = spark.read.parquet(f"{folder}/shards").select("name", "base")
     if not listed.take(1):
