@@ -344,8 +344,8 @@ def coned(spark, sf):
 
 
 CONED_SQL = ("particles", "particles_b", f"grid as ({grid_sql(0)})", SQL_MATRIX("ma", "particles", "a"), SQL_MATRIX("mb", "particles_b", "b", "pid, score"), f"""
-ta as (select pid, idx // 6 as cone from (select ma.pid, g.idx, row_number() over (partition by ma.pid order by round({trace_sql('a', 'g')}, 9) desc, idx) as k from ma cross join grid g) q where k = 1)""", f"""
-tb as (select pid, score, idx // 6 as cone from (select mb.pid, mb.score, g.idx, row_number() over (partition by mb.pid order by round({trace_sql('b', 'g')}, 9) desc, idx) as k from mb cross join grid g) q where k = 1)""", """
+ta as materialized (select pid, min({{'t': -round({trace_sql('a', 'g')}, 9), 'i': g.idx}}).i // 6 as cone from ma cross join grid g group by pid)""", f"""
+tb as materialized (select pid, score, min({{'t': -round({trace_sql('b', 'g')}, 9), 'i': g.idx}}).i // 6 as cone from mb cross join grid g group by pid, score)""", """
 rows as (select tb.pid, tb.cone, tb.score, ta.cone = tb.cone as good from tb join ta on ta.pid = tb.pid),
 rule as (select cone, count(*) as n_all, count(*) filter (where good) as n_good, quantile_cont(score, 0.95) as edge from rows group by cone),
 chosen as (select r.cone, r.score from rows r join rule u on u.cone = r.cone where case when n_good >= 10 and r.cone % 2 = 0 then good when n_all >= 10 then score >= edge else true end),
