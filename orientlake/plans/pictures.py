@@ -112,7 +112,16 @@ def lowpass(spark, sf):
     return pixel_rows(J.low_pass(fx.images(spark, sf).select("vec_id", "pixels"), ["vec_id"], 0.25, 0.1))
 
 
-@query("to_fourier")
+SOFT_SQL = "(case when {d} <= 4 then 1.0 when {d} >= 4.2 then 0.0 else 0.5 * (1 + cos(pi() * ({d} - 4) / 0.2)) end)".format(
+    d="sqrt(pow(i // 8 - 4, 2) + pow(i % 8 - 4, 2))")
+
+
+@query("to_fourier", fx.sql_with(PIX, _spectrum_sql(f"v * (1 - {SOFT_SQL})"), _spectrum_sql(f"v * {SOFT_SQL}", "fm"), body=f"""
+, amp as (select ky, kx, {R_SQL} <= 0.5 as band, avg(sqrt(re * re + im * im)) as a from ft where kx <= 4 group by 1, 2, 3),
+white as (select ky, kx, case when band then 1 / (a + (select avg(a) * 1e-3 + 1e-8 from amp where band)) else 0 end as w from amp),
+out as (select vec_id, cast((ky + 4) % 8 * 5 + kx as int) as i, case when ky = 0 and kx = 0 then 0 else w * case when (ky + kx) % 2 = 0 then 1 else -1 end end as t, re, im
+ from fm join white using (ky, kx))
+select vec_id, i, round(t * re, 6) + 0.0 as re, round(t * im, 6) + 0.0 as im from out"""))
 def to_fourier(spark, sf):
     im = fx.images(spark, sf).select("vec_id", "pixels")
     whiten = J.whitening_map(J.noise_spectrum(im, SIDE), SIDE)
@@ -121,10 +130,6 @@ def to_fourier(spark, sf):
         "vec_id", "i", (F.round("p.re", 6) + F.lit(0.0)).alias("re"), (F.round("p.im", 6) + F.lit(0.0)).alias("im"))
 
 
-SOFT_SQL = "(case when {d} <= 4 then 1.0 when {d} >= 4.2 then 0.0 else 0.5 * (1 + cos(pi() * ({d} - 4) / 0.2)) end)".format(
-    d="sqrt(pow(i // 8 - 4, 2) + pow(i % 8 - 4, 2))")
-
-
 @query("noise_psd", fx.sql_with(PIX, _spectrum_sql(f"v * (1 - {SOFT_SQL})"), body="""
 select cast((ky + 4) % 8 as int) as ky, cast(kx as int) as kx, round(avg(sqrt(re * re + im * im)), 6) as amplitude from ft where kx <= 4 group by 1, 2"""))
 def noise_psd(spark, sf):
