@@ -129,7 +129,15 @@ def sym_representatives(spark, sf):
     return idx.select(F.get(table, F.col("idx").cast("int")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("grid_dedupe")
+RASTER = "raster as (select pid, round_even(rot / 5, 0) * 5 + (pid % 5) * 0.03::double as rot, round_even(tilt / 5, 0) * 5 + (pid % 3) * 0.03::double as tilt, round_even(psi / 5, 0) * 5 as psi from particles)"
+_EITHER = "unnest(list_distinct([floor(({c} - 0.0018) / 0.02), floor(({c} + 0.0018) / 0.02)]))"  # 0.1 degrees move an entry by less
+
+
+@query("grid_dedupe", fx.sql_with("particles", RASTER, SQL_MATRIX("m", "raster", "r"), f"""
+e as (select {", ".join(f"m.r{i}{j} as e{i}{j}" for i in range(3) for j in range(3))}, m.pid as k, a, b, c from m, {_EITHER.format(c="m.r00")} t(a), {_EITHER.format(c="m.r10")} u(b), {_EITHER.format(c="m.r02")} v(c))""", body=f"""
+select raster.pid, rot, tilt, psi from raster where not exists (
+ select 1 from m join e on e.a = floor(m.r00 / 0.02) and e.b = floor(m.r10 / 0.02) and e.c = floor(m.r02 / 0.02) and e.k < m.pid
+ where m.pid = raster.pid and {trace_sql("m.r", "e.e")} >= 1 + 2 * cos(radians(0.1)))"""))
 def grid_dedupe(spark, sf):
     """Poses on a 5 degree raster with small deviations, freed of those within 0.1 degrees of an earlier one."""
     p = fx.particles(spark, sf).selectExpr(
