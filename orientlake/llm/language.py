@@ -264,8 +264,10 @@ def _votes(sent, model_words: int, languages: int, number: int, slices: int):
                         votes[start:start + len(new)] = told(*_word_keys(new), len(new))
                     sums += votes[np.fromiter(map(known.__getitem__, some), np.int64, len(some))].sum(0, dtype=np.int64)
                 for w in long:
-                    for keys in _long_keys(w):
-                        sums += told(keys, np.zeros(len(keys), np.int64), 1)[0]
+                    keys = np.empty(0, np.int64)
+                    for part_of in _long_keys(w):
+                        keys = np.union1d(keys, part_of)
+                    sums += told(keys, np.zeros(len(keys), np.int64), 1)[0]
                 out["votes"].append(sums.tolist())
             yield out
     return run
@@ -280,7 +282,8 @@ def identify_languages(texts: DataFrame, model: LanguageModel, key: str = "doc_i
     for, as many as its false-positive rate lets expect are taken off again
     (hits = own + rate * (all - own)); hits within three standard errors of
     that are none. The highest rest wins (ties: the first by name). Each slice of the filter is sent to the tasks in turn and adds
-    its counts.
+    its counts. In words over 60 characters an n-gram counts once, as its
+    repeats would all hit or all miss.
 
     Text with letters of which no n-gram is left gets the language with most
     training text and score 0. Null text and text without a letter: ``und``,
