@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from orientlake.llm.common import Scratch, keep_columns, map_rows
 
-_CACHE_WORDS = 120_000
+_CACHE_WORDS = 200_000
 _LONG_WORD = 100  # characters from which on a word is not remembered
-_STEP = 2048
+_STEP = 1024  # words that are read together
+_TOGETHER = 64  # texts whose new words are
 _FLUSH_BYTES = 8 << 20
 MOST_SENT = 1 << 21  # links that are sent to all tasks at a time, 17 bytes each
 #: Both tokenizers always cut before a single blank between other characters.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_BLANKS = re.compile(r" (?=\s|\Z)|\s(?= )|\A ")
+#: Aligners of this worker process; later tasks find the words of earlier ones.
+_ALIGNERS: dict[tuple[str, str], "TokenAligner"] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -27,39 +31,31 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def byte_ends(begins: Sequence[int], ends: Sequence[int], sizes: Sequence[int]) -> list[int]:
+def byte_ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Byte offsets at which tokens end.
 
     ``begins`` and ``ends`` are a tokenizer's own spans in bytes. A span that
-    starts where the last token ended and ends where the next one starts is a
+    starts where the last one ended and ends where the next one starts is a
     coarse cut and taken as it is; tokens that share a character with a
     neighbour (parts of a multibyte character, byte-fallback tokens) are
-    placed by the length of their decoded bytes.
+    placed by the lengths of decoded bytes since the last coarse cut.
     """
-    out, at, last = [], 0, len(ends) - 1
-    for i, (begin, end, size) in enumerate(zip(begins, ends, sizes)):
-        at = end if begin == at < end and (i == last or begins[i + 1] == end) else at + size
-        out.append(at)
-    return out
-
-
-def overlaps(a_ids: Sequence[int], a_ends: Sequence[int], b_ids: Sequence[int], b_ends: Sequence[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of tokens between the offsets at which both sides end, and all pairs of tokens whose byte ranges overlap."""
-    groups, links, i, j = [], [], 0, 0
-    one, two = [], []
-    while i < len(a_ids):
-        links.append((a_ids[i], b_ids[j]))
-        a_end, b_end = a_ends[i], b_ends[j]
-        if a_end <= b_end:
-            one.append(a_ids[i])
-            i += 1
-        if b_end <= a_end:
-            two.append(b_ids[j])
-            j += 1
-        if a_end == b_end:
-            groups.append((one, two))
-            one, two = [], []
-    return groups, links
+    decoded = np.cumsum(sizes)
+    coarse = (ends > begins) & (begins == np.append(0, ends[:-1])) & (ends == np.append(begins[1:], ends[-1:]))
+    last = np.maximum.accumulate(np.where(coarse, np.arange(len(ends)), -1))
+    return decoded + np.where(last >= 0, (ends - decoded)[last], 0)
+
+
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens of both sides whose byte ranges overlap, pair by pair, and the offsets at which both end.
+
+    Between two neighbouring ends of any side lies a part of exactly one token
+    of each; these parts are the pairs.
+    """
+    every = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    twice = every[1:] == every[:-1]
+    cuts = every[np.append(True, ~twice)]
+    return np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts), every[1:][twice]
 
 
 class TokenAligner:
@@ -86,79 +82,119 @@ class TokenAligner:
             self.b_bytes.append(bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.width = len(self.b_bytes)
         self.kind = "<u4" if (max(self.a_bytes) + 1) * self.width <= 1 << 32 else "<u8"
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)], np.int64)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        top = max(len(self.a_size), self.width)
+        # an id and what follows it: another id of the group, the other side, another group
+        self.told = [[f"{i}{mark}" for i in range(top)] for mark in ",|;"]
+        self.digits = np.array([len(str(i)) for i in range(top)], np.int64)
         self.newer: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
     def align(self, words: list[str]) -> list[tuple | None]:
-        """(tokens of A, tokens of B, groups, groups as text, links) of each whole text, None where its bytes are not those of a side."""
-        out = []
-        for start in range(0, len(words), _STEP):
-            part = words[start:start + _STEP]
-            sides = zip(part, self.a.encode_batch([f" {w}" for w in part], add_special_tokens=False), self.b.encode(part, return_type="proto", num_threads=1))
-            out += [self._one(f" {w}", a, b) for w, a, b in sides]
-        return out
-
-    def _one(self, text: str, a, b) -> tuple | None:
-        raw = text.encode("utf-8", "surrogatepass")
-        a_ids, b_ids = a.ids, [p.id for p in b.pieces]
-        a_parts, b_parts = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
+        """(tokens of A, tokens of B, groups, groups as text, links) of each whole text, None where its bytes are not those of a side.
+
+        Words are read together, a blank between them, as both tokenizers cut there.
+        """
+        found: dict[int, tuple | None] = {}
+        joined: list[int] = []
+        for i, w in enumerate(words):
+            if not w or w[0].isspace() or w[-1].isspace() or len(w) > _LONG_WORD:
+                found[i] = (self._together([w]) or [None])[0]
+            else:
+                joined.append(i)
+        for start in range(0, len(joined), _STEP):
+            part = joined[start:start + _STEP]
+            got = self._together([words[i] for i in part])
+            found.update(zip(part, got if got is not None else [(self._together([words[i]]) or [None])[0] for i in part]))
+        return [found[i] for i in range(len(words))]
+
+    def _together(self, words: list[str]) -> list[tuple] | None:
+        text = " ".join(words)
+        framed = f" {text}"
+        raw = framed.encode("utf-8", "surrogatepass")
+        a = self.a.encode(framed, add_special_tokens=False)
+        b = self.b.encode(text, return_type="proto", num_threads=1)
+        b_spans = [(p.id, p.begin, p.end) for p in b.pieces]
+        if not a.ids or not b_spans or b"".join(map(self.a_bytes.__getitem__, a.ids)) != raw or b"".join([self.b_bytes[p[0]] for p in b_spans]) != raw:
             return None
-        a_begins, a_ends = zip(*a.offsets)
-        if len(raw) != len(text):
+        a_ids, b_spans = np.array(a.ids, np.int64), np.array(b_spans, np.int64)
+        a_spans, b_ids = np.array(a.offsets, np.int64), b_spans[:, 0]
+        edges = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        if len(raw) != len(framed):
             # spans of A count characters
-            place = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])]).tolist()
-            a_begins, a_ends = [place[i] for i in a_begins], [place[i] for i in a_ends]
+            codes = np.frombuffer(framed.encode("utf-32-le", "surrogatepass"), np.uint32)
+            place = np.append(0, np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)))
+            a_spans, edges = place[a_spans], place[edges]
         # spans of B count bytes of the text, without the blank before it
-        b_begins, b_ends = [0] + [p.begin + 1 for p in b.pieces[1:]], [p.end + 1 for p in b.pieces]
-        groups, links = overlaps(a_ids, byte_ends(a_begins, a_ends, list(map(len, a_parts))), b_ids, byte_ends(b_begins, b_ends, list(map(len, b_parts))))
-        told = ";".join([f"{','.join(map(str, one))}|{','.join(map(str, two))}" for one, two in groups])
-        return len(a_ids), len(b_ids), len(groups), told, np.array([x * self.width + y for x, y in links], self.kind).tobytes()
+        b_begins = b_spans[:, 1] + 1
+        b_begins[0] = 0
+        a_ends = byte_ends(a_spans[:, 0], a_spans[:, 1], self.a_size[a_ids])
+        b_ends = byte_ends(b_begins, b_spans[:, 2] + 1, self.b_size[b_ids])
+        one, two, cuts = overlaps(a_ends, b_ends)
+        if not (cuts[np.minimum(np.searchsorted(cuts, edges), len(cuts) - 1)] == edges).all():
+            return None
+        links = (a_ids[one] * self.width + b_ids[two]).astype(self.kind).tobytes()
+        step = np.dtype(self.kind).itemsize
+        # ids of both sides by group, A's first, each with the mark that follows it
+        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        ids = np.concatenate([a_ids, b_ids])[order]
+        marks = np.concatenate([np.where(cuts[a_group] == a_ends, 1, 0), np.where(cuts[b_group] == b_ends, 2, 0)])[order]
+        told = self.told
+        pieces = "".join([told[m][i] for m, i in zip(marks.tolist(), ids.tolist())])
+        at = np.cumsum(self.digits[ids] + 1)
+        n_a, n_b, n_g = (np.searchsorted(x, edges, "right") for x in (a_ends, b_ends, cuts))
+        n_l = n_a + n_b - n_g  # every end of a side closes a part, and those of both sides are one
+        text_ends = at[n_a + n_b - 1].tolist()
+        out, last = [], (0, 0, 0, 0, 0)
+        for now in zip(n_a.tolist(), n_b.tolist(), n_g.tolist(), text_ends, n_l.tolist()):
+            out.append((now[0] - last[0], now[1] - last[1], now[2] - last[2], pieces[last[3]:now[3] - 1], links[step * last[4]:step * now[4]]))
+            last = now
+        return out
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Have all of these words in the newer half."""
         newer, older = self.newer, self.older
-        new = [w for w in dict.fromkeys(words) if w not in newer]
+        new = [w for w in words if w not in newer]
         if len(newer) + len(new) > _CACHE_WORDS:
             self.older = older = newer
             self.newer = newer = {}
-            new = list(dict.fromkeys(words))
-        fresh = []
-        for w in new:
-            if w in older:
-                newer[w] = older[w]
-            else:
-                fresh.append(w)
+            new = list(words)
+        fresh = [w for w in new if w not in older]
+        if len(fresh) < len(new):
+            newer.update((w, older[w]) for w in new if w in older)
         newer.update(zip(fresh, self.align(fresh)))
 
-    def text(self, text: str | None) -> tuple:
-        """The alignment of a whole text, word by word: what ``align`` gives, zeros where there is none."""
+    def texts(self, texts: list[str | None]) -> Iterator[tuple]:
+        """The alignment of whole texts, word by word: what ``align`` gives, zeros where there is none."""
         nothing = (0, 0, 0, "", b"")
-        if not text:
-            return nothing
-        words = _CUT.split(text)
-        parts = []
-        for start in range(0, len(words), 20_000):
-            some = words[start:start + 20_000]
-            self.learn(some)
-            parts += map(self.newer.__getitem__, some)
-            for w in some:
-                if len(w) > _LONG_WORD:
-                    self.newer.pop(w, None)
-        if None in parts:
-            whole = self.align([text])[0]
-            return whole or nothing
-        a, b, groups, told, links = zip(*parts)
-        return sum(a), sum(b), sum(groups), ";".join(told), b"".join(links)
+        for start in range(0, len(texts), _TOGETHER):
+            split = [(_CUT.split(t) if _OTHER_BLANKS.search(t) else t.split(" ")) if t else [] for t in texts[start:start + _TOGETHER]]
+            words = set().union(*split)
+            long = {w for w in words if len(w) > _LONG_WORD}
+            self.learn(words - long)
+            known = self.newer
+            for text, words in zip(texts[start:start + _TOGETHER], split):
+                if not words:
+                    yield nothing
+                    continue
+                parts = [known[w] if w not in long else self.align([w])[0] for w in words] if long else list(map(known.__getitem__, words))
+                if None in parts:
+                    whole = self._together([text])
+                    yield whole[0] if whole else nothing
+                    continue
+                a, b, groups, told, links = zip(*parts)
+                yield sum(a), sum(b), sum(groups), ";".join(told), b"".join(links)
 
 
 def _aligned(a_file: str, b_file: str):
     def run(batches) -> Iterator[dict]:
-        aligner = TokenAligner(a_file, b_file)
+        aligner = _ALIGNERS.setdefault((a_file, b_file), None) or TokenAligner(a_file, b_file)
+        _ALIGNERS[a_file, b_file] = aligner
         for batch in batches:
             out, held = {c: [] for c in ("_key", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "times")}, 0
-            for key, text in zip(batch["_key"], batch["_text"]):
-                n_a, n_b, n_groups, groups, links = aligner.text(text)
+            for key, (n_a, n_b, n_groups, groups, links) in zip(batch["_key"], aligner.texts(batch["_text"])):
                 every = np.frombuffer(links, aligner.kind)
                 distinct, times = np.unique(every, return_counts=True)
                 for c, v in zip(out, (key, n_a, n_b, n_groups, len(every), groups, distinct.astype("<u8").tobytes() if aligner.kind == "<u8" else distinct.tobytes(),

@@ -5,6 +5,7 @@ import random
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -97,17 +98,20 @@ def test_alignment_edges(spark, brute):
 
 def test_words_are_forgotten_and_aligned_again(monkeypatch, brute):
     monkeypatch.setattr(token_alignment, "_CACHE_WORDS", 3)
+    monkeypatch.setattr(token_alignment, "_TOGETHER", 1)
     aligner = token_alignment.TokenAligner(A, B)
-    for text in ("one two three four five six", "one two one two", "six five été four"):
-        n_a, n_b, n_groups, groups, links = aligner.text(text)
+    texts = ("one two three four five six", "one two one two", "six five été four")
+    for text, (n_a, n_b, n_groups, groups, links) in zip(texts, aligner.texts(list(texts))):
         assert (n_a, n_b, n_groups, hashlib.sha256(groups.encode()).hexdigest()) == tuple(brute([text])[0][i] for i in (0, 1, 2, 6))
         assert len(links) // 4 == brute([text])[0][3]
 
 
 def test_spans_are_refined_by_decoded_bytes():
     # one character of four bytes in two tokens that both claim it, then a plain one
-    assert token_alignment.byte_ends([0, 0, 4], [4, 4, 5], [3, 1, 1]) == [3, 4, 5]
-    assert token_alignment.overlaps([1, 2, 3], [2, 3, 6], [7, 8], [3, 6]) == ([([1, 2], [7]), ([3], [8])], [(1, 7), (2, 7), (3, 8)])
+    ends = token_alignment.byte_ends(np.array([0, 0, 4]), np.array([4, 4, 5]), np.array([3, 1, 1]))
+    assert ends.tolist() == [3, 4, 5]
+    one, two, cuts = token_alignment.overlaps(np.array([2, 3, 6]), np.array([3, 6]))
+    assert list(zip(one, two)) == [(0, 0), (1, 0), (2, 1)] and cuts.tolist() == [3, 6]
 
 
 def test_query(spark, brute):
